@@ -105,7 +105,7 @@ def _gather(payloads, n: int) -> list[np.ndarray]:
     join = lambda k, kind: np.concatenate([np.frombuffer(r[k], kind) for r in rows])
     keys, sizes, counts = join(0, "<i8"), join(1, "<u4"), join(2, "<u4")
     out = [keys, sizes, np.repeat(np.arange(len(keys)), counts), np.concatenate([_unpack7(r[3]) for r in rows])]
-    return out + [join(4, np.uint8)] * (n > 4)
+    return [*out, join(4, np.uint8)] if n > 4 else out
 
 
 def _size_of(size: int):

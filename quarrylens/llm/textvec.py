@@ -145,9 +145,9 @@ def shingles(word: np.ndarray, at: np.ndarray, size: int = 4) -> Iterator[np.nda
                 own = own[np.concatenate(([True], own[1:] != own[:-1]))]
             yield own
         elif b > a:
-            h = U64(b - a)
-            for w in word[a:b]:
-                h = mix(np.array([h * _STEP[0] + w], U64))[0]
-            yield np.array([h], U64)
+            h = np.full(1, b - a, U64)
+            for k in range(a, b):
+                h = mix(h * _STEP[0] + word[k : k + 1])
+            yield h
         else:
             yield np.zeros(0, U64)
