@@ -34,9 +34,9 @@ from .components import components
 BITS = 56
 LOW = np.uint64((1 << BITS) - 1)
 #: Shingles in a bucket, sets in a block, on average.
-BUCKET, BLOCK = 1_500_000, 1024
+BUCKET, BLOCK = 4_000_000, 1024
 #: Shingles that a map task gathers before it packs them.
-FLUSH = 6_000_000
+FLUSH = 4_000_000
 
 
 def fingerprint(own: np.ndarray) -> int:
