@@ -87,13 +87,8 @@ def _cuts(data: np.ndarray, at: np.ndarray, separator: np.ndarray) -> Iterator[t
         i += 1
 
 
-def words(data: np.ndarray, at: np.ndarray, separator: np.ndarray = SEPARATOR, value: np.ndarray = FOLDED) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words in order, and the n + 1 offsets that say which row has which.
-
-    A word of more than ``BLOCK`` bytes counts as its pieces' sequence folded into one hash.
-    """
-    hashes, starts = [], []
-    carry = False  # the last block ended inside a word
+def blocks(data: np.ndarray, at: np.ndarray, separator: np.ndarray = SEPARATOR, value: np.ndarray = FOLDED) -> Iterator[tuple]:
+    """(start, end, words' starts, words' ends, words' hashes) of blocks that have words; positions in ``data``."""
     for a, b, begins in _cuts(data, at, separator):
         body = data[a:b]
         inside = ~separator[body]
@@ -105,19 +100,25 @@ def words(data: np.ndarray, at: np.ndarray, separator: np.ndarray = SEPARATOR, v
         right[:-1] &= ~inside[1:] | fresh[1:-1]
         s, e = np.flatnonzero(left), np.flatnonzero(right) + 1
         if not len(s):
-            carry = False
             continue
         total = np.empty(len(body) + 1, U64)
         total[0] = 0
         np.cumsum(value[body] * _POW[: len(body)], out=total[1:])
         h = (total[e] - total[s]) * _INV[s]
-        h = mix(h ^ ((e - s).astype(U64) * U64(0xD6E8FEB86659FD93)))
-        s = s + a
-        goes_on = carry and s[0] == a and not len(begins)
-        if goes_on:
+        yield a, b, s + a, e + a, mix(h ^ ((e - s).astype(U64) * U64(0xD6E8FEB86659FD93)))
+
+
+def words(data: np.ndarray, at: np.ndarray, separator: np.ndarray = SEPARATOR, value: np.ndarray = FOLDED) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words in order, and the n + 1 offsets that say which row has which.
+
+    A word of more than ``BLOCK`` bytes counts as its pieces' sequence folded into one hash.
+    """
+    hashes, starts, last = [], [], -1
+    for a, _, s, e, h in blocks(data, at, separator, value):
+        if s[0] == last == a and a != at[min(int(np.searchsorted(at, a)), len(at) - 1)]:  # the last block ended inside this word
             hashes[-1][-1] = mix(hashes[-1][-1:] * U64(31) + h[:1])[0]
             h, s = h[1:], s[1:]
-        carry = bool(inside[-1])
+        last = int(e[-1])
         if len(h):
             hashes.append(h)
             starts.append(s)

@@ -1,0 +1,416 @@
+"""The corpus operators on small tables: brute force, round trips, held-out accuracy, odd rows."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from quarrylens.llm import logbilinear, media, mixing, packing, pii, quality, rules, setjoin, textvec, toxicity, warc
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+FOLD = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, class long, score double, target double, kept boolean, label int, `Size` long"
+
+
+def words(text):
+    return WORD.findall((text or "").translate(FOLD))
+
+
+def prose(rng, n, syllables="the and ing er on ti re an th ha"):
+    s = syllables.split()
+    return " ".join("".join(rng.choice(s) for _ in range(rng.randint(1, 3))) + ("." if i % 9 == 8 else "") for i in range(n))
+
+
+@pytest.fixture(scope="module")
+def odd_rows():
+    """Nulls in every column, empty and long texts, equal rows, equal keys, ties; extra columns with clashing names."""
+    rng = random.Random(4)
+    base = prose(rng, 160)
+    near = base.replace("the", "thee", 1)
+    texts = [base, near, base, None, "", "  \n\t ", "one two", "ONE TWO", "a b c", prose(rng, 30_000), prose(rng, 12), "x" * 200_000, "1 " * 5000, base + " " + prose(rng, 3), "mail bob.1@mail.example.com or +1 (555) 123-4567, host 10.2.3.4 card 4111 1111 1111 1111.", "É È naïve 'don't' <|endoftext|> ﬁ Σς"]
+    rows = [(i, t, "en", f"s{i % 3}", len(t or ""), 1, 0.5, 2.0, True, 1, 7) for i, t in enumerate(texts)]
+    rows += [rows[0], rows[0], (3, base, None, None, None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None, None, None), (None, near, None, None, None, None, None, None, None, None, None)]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def odd(spark, odd_rows):
+    return spark.createDataFrame(odd_rows, SCHEMA).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def marked(spark):
+    """Documents and labels: bad ones shout, toxic ones hold one of a few words."""
+    rng = random.Random(9)
+    docs, labels = [], []
+    for i in range(500):
+        bad, toxic = rng.random() < 0.3, rng.random() < 0.3
+        w = prose(rng, rng.randint(20, 200)).split()
+        if toxic:
+            for _ in range(2):
+                w.insert(rng.randrange(len(w)), rng.choice(["zork", "blarg", "quux"]))
+        t = " ".join(w)
+        docs.append((i, t.upper().replace(" ", "!! ") if bad else t))
+        labels.append((i, int(not bad), int(toxic)))
+    return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), {k: (q, x) for k, q, x in labels}
+
+
+def brute_components(rows, size, percent):
+    sets = []
+    for _, text in rows:
+        w = words(text)
+        sets.append(frozenset(tuple(w[k : k + size]) for k in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)] if w else []))
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                parent[find(a)] = find(b)
+    low = {}
+    for i, (k, _) in enumerate(rows):
+        if k is not None:
+            low[find(i)] = min(low.get(find(i), k), k)
+    return sorted(((k, len(sets[i]), (low.get(find(i)) if sets[i] else k)) for i, (k, _) in enumerate(rows)), key=str)
+
+
+def test_words_and_shingles_match_plain_python():
+    texts = ["A bB\tc\x0bd  e", "", None, "x" * 3_000_000 + " y", "q r " * 400_000, "é È\x1cz", "tail"]
+    h, at = textvec.words(*textvec.raw(pa.array(texts)))
+    assert np.diff(at).tolist() == [len(words(t)) for t in texts]
+    known = {}
+    for t, a in zip(texts, at):
+        for k, w in enumerate(words(t)[:50]):
+            assert known.setdefault(w, h[a + k]) == h[a + k]
+    assert len(set(known.values())) == len(known)
+    assert [len(s) for s in textvec.shingles(h, at)] == [len({tuple(words(t)[k : k + 4]) for k in range(len(words(t)) - 3)}) if len(words(t)) > 3 else min(1, len(words(t))) for t in texts]
+
+
+@pytest.mark.parametrize("size,percent", [(4, 85), (5, 80)])
+def test_near_copies_against_brute_force(spark, odd, odd_rows, size, percent):
+    got = setjoin.near_copies(odd, size=size, percent=percent).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute_components([r[:2] for r in odd_rows], size, percent)
+
+
+def test_near_copies_of_a_group(spark):
+    rng = random.Random(1)
+    base = prose(rng, 150).split()
+    rows = []
+    for i in range(160):
+        w = list(base)
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(len(w))] = f"new{rng.randrange(10**6)}"
+        rows.append((1000 - i, " ".join(w)))
+    rows += [(2000 + i, prose(rng, 40)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = setjoin.near_copies(docs).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute_components(rows, 4, 85)
+    kept = setjoin.keep_one(docs, size=4, percent=85)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, _, c in brute_components(rows, 4, 85)})
+
+
+def test_near_copies_of_nothing(spark, empty, odd):
+    assert setjoin.near_copies(empty).collect() == []
+    assert setjoin.keep_one(empty).collect() == []
+    assert setjoin.near_copies(odd.where("trim(text) = '' or text is null")).where("n_shingles > 0").count() == 0
+    kept = setjoin.keep_one(odd)
+    assert kept.columns == odd.columns and kept.where("doc_id = 0").count() == 1 and kept.where("doc_id in (1, 2)").count() == 0
+    assert kept.where("text is null or trim(text, ' \n\t') = ''").count() == odd.where("text is null or trim(text, ' \n\t') = ''").count()
+
+
+def test_local_search_in_blocks_finds_all_links():
+    rng = random.Random(3)
+    sets = []
+    for _ in range(20):
+        b = rng.sample(range(10**6), rng.randint(5, 120))
+        for _ in range(rng.randint(1, 25)):
+            x = set(b) - set(rng.sample(b, rng.randint(0, len(b) // 8))) | {rng.randrange(10**6) for _ in range(rng.randint(0, len(b) // 10))}
+            sets.append(frozenset(x))
+    sets = list(dict.fromkeys(sets))
+    links = setjoin.t_occurrence_links([len(s) for s in sets], [np.array(sorted(s), np.uint64) for s in sets])
+    comp = list(range(len(sets)))
+    for a, b in links:
+        assert 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])
+        comp = [comp[b] if c == comp[a] else c for c in comp]
+    for a in range(len(sets)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                assert comp[a] == comp[b]
+
+
+def test_quality_learns_and_ignores_held_out_labels(spark, marked, odd, empty):
+    docs, labels, truth = marked
+    got = quality.quality_scores(docs, labels).collect()
+    held = [r for r in got if r["held_out"]]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in got)
+    assert sum(r["predicted"] == truth[r["doc_id"]][0] for r in held) >= 0.95 * len(held)
+    flipped = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, 1 - F.col("quality")).otherwise(F.col("quality")))
+    again = {r["doc_id"]: r["score"] for r in quality.quality_scores(docs, flipped).collect()}
+    assert all(abs(again[r["doc_id"]] - r["score"]) < 1e-6 for r in got)
+    rows = quality.quality_scores(odd, labels).collect()
+    assert len(rows) == odd.count() and all(0 <= r["score"] <= 1 for r in rows)
+    assert quality.quality_scores(empty, labels).collect() == []
+    assert {r["score"] for r in quality.quality_scores(docs, labels.limit(0)).collect()} == {0.5}
+    assert quality.keep_good(odd, labels).columns == odd.columns
+
+
+def test_toxicity_learns(spark, marked, odd, empty):
+    docs, labels, truth = marked
+    got = toxicity.toxicity_scores(docs, labels).collect()
+    held = [r for r in got if r["held_out"]]
+    assert sum(r["predicted"] == truth[r["doc_id"]][1] for r in held) >= 0.95 * len(held)
+    rows = toxicity.toxicity_scores(odd, labels).collect()
+    assert len(rows) == odd.count() and all(0 <= r["score"] <= 1 for r in rows)
+    assert toxicity.toxicity_scores(empty, labels).collect() == []
+    assert toxicity.drop_toxic(odd, labels).columns == odd.columns
+
+
+def test_language_model_base_score_and_normalisation(spark, odd, odd_rows, empty):
+    got = logbilinear.lm_scores(odd).collect()
+    held = lambda k: zlib.crc32(("" if k is None else str(k)).encode()) % 7 == 2
+    train = [[*words(r[1]), None] for r in odd_rows if not held(r[0])]
+    c = Counter(w for t in train for w in t)
+    total, kinds = sum(c.values()), len(c)
+    want = []
+    for r in odd_rows:
+        t = [*words(r[1]), None]
+        want.append((str(r[0]), held(r[0]), len(t), sum(c[w] > 0 for w in t), total, round(sum(math.log10((c[w] + 1) / (total + kinds + 1)) for w in t), 4)))
+    assert sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in got) == sorted(want)
+    assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
+    assert logbilinear.lm_scores(empty).collect() == []
+    k = logbilinear.VOCAB
+    table = logbilinear.train(np.array([5 * k + 4, (4 * k + 5) * k + 1]), np.array([50, 50]), steps=200)
+    assert np.allclose((10.0 ** table.reshape(-1, k)).sum(1), 1, atol=1e-3)
+
+
+def test_language_model_beats_unigrams_on_sequences(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join(["red", "green", "blue", "gold"] * rng.randint(10, 30))) for i in range(60)]
+    got = logbilinear.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").agg(F.sum("score").alias("m"), F.sum("base_score").alias("b")).first()
+    assert got["m"] > 0.5 * got["b"]
+
+
+def test_mixture_meets_targets(spark, odd, empty):
+    rng = random.Random(6)
+    rows = [(i, prose(rng, rng.randint(0, 60)), rng.choice(["a", "b", "c", "d", None])) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mixture(docs).collect()
+    assert {r["doc_id"]: r["size"] for r in got} == {i: len(words(t)) for i, t, _ in rows}
+    src = {i: s for i, _, s in rows}
+    size, taken, target = Counter(), Counter(), {}
+    for r in got:
+        s = src[r["doc_id"]]
+        size[s] += r["size"]
+        taken[s] += r["taken"]
+        target[s] = r["target"]
+        assert 0 <= r["taken"] <= 2 * r["size"]
+    order = ["a", "b", "c", "d", None]
+    weight = dict(zip(order, (5, 2, 1, 5, 2)))
+    level = [0.0, 1e12]
+    for _ in range(200):
+        mid = sum(level) / 2
+        level[sum(min(2 * size[s], weight[s] * mid) for s in order) > 1.5 * sum(size.values())] = mid
+    for s in order:
+        assert abs(target[s] - min(2 * size[s], weight[s] * level[0])) < 1e-3
+        assert abs(taken[s] - target[s]) <= 5
+    again = mixing.mixture(docs.repartition(3)).collect()
+    assert sorted(got) == sorted(again)
+    assert mixing.mixture(odd).count() == odd.count() and mixing.mixture(empty).collect() == []
+    whole = mixing.mix(docs)
+    assert whole.columns == docs.columns
+    assert whole.agg(F.sum(mixing.n_words(F.col("text")))).first()[0] == sum(taken.values())
+    assert mixing.mix(odd).columns == odd.columns
+
+
+def plain_rules(text):
+    text = text or ""
+    w = WORD.findall(text)
+    grams = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    covered = {j for i in range(len(w) - 4) if grams[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)}
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered), len(w) < 10 or 100 * len(covered) > 20 * len(w)
+
+
+def test_line_rules(spark, odd, odd_rows, empty):
+    got = rules.line_rules(odd).collect()
+    assert sorted(map(str, ((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in got))) == sorted(str((r[0], *plain_rules(r[1]))) for r in odd_rows)
+    rng = random.Random(8)
+    texts = ["\n".join(rng.choice(["a b c d e f g h.", "Home | News | About | Contact", "all rights reserved by us", prose(rng, 15) + ".", "x" * 30, ""]) for _ in range(rng.randint(1, 12))) for _ in range(80)]
+    rows = rules.line_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in rows} == {i: plain_rules(t) for i, t in enumerate(texts)}
+    assert rules.line_rules(empty).collect() == [] and rules.clean_lines(odd).columns == odd.columns
+    good = " ".join(f"word{i}" for i in range(40)) + "."
+    verdicts = rules.line_rules(spark.createDataFrame([(0, good), (1, good + "\nHome | A | B | C | D"), (2, "\n".join(f"Item {i}" for i in range(60)))], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["kept"] for r in verdicts} == {0: True, 1: True, 2: False}
+
+
+def plain_pii(text):
+    text, out = text or "", []
+    pats = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def luhn(d):
+        return sum(int(x) if i % 2 == 0 else sum(divmod(2 * int(x), 10)) for i, x in enumerate(reversed(d))) % 10 == 0
+
+    for kind, p in pats.items():
+        for m in re.finditer(p, text):
+            d = re.sub("[^0-9]", "", m[0])
+            if kind == "email" or kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")) or kind == "card" and 13 <= len(d) <= 19 and luhn(d) or kind == "phone" and 9 <= len(d) <= 15:
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+def test_personal_data_base_spans(spark, odd, odd_rows, empty):
+    rng = random.Random(12)
+    bits = ["a.b@c.de", "x@y", "a@b.c_d@e.fg", "1.2.3.4.5.6.7.8", "300.1.1.1", "010.001.255.0", "4111-1111-1111-1111", "4111111111111112", "+49 (30) 1234567", "+1", "+12-", "tel +1 (555) 123-4567 4111 1111 1111 1111", 'token = "' + "ab12" * 10 + '"', "AKIA" + "ABCD1234" * 2, "é@ü.de", "password=0123456789abcdef01", "word", "\n", "555-867-5309"]
+    texts = [" ".join(rng.choice(bits) for _ in range(rng.randint(1, 14))) for _ in range(150)] + ["".join(rng.choice("19.+-@a ()") for _ in range(60)) for _ in range(200)] + [r[1] for r in odd_rows] + ["7" * 40_000, "a" * 40_000 + "@", "1-" * 20_000 + "1"]
+    got = pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in got:
+        want = plain_pii(texts[r["doc_id"]])
+        n = Counter(k for k, _, _ in want)
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        assert (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) == tuple(n[k] for k in pii.BASE), texts[r["doc_id"]]
+        assert r["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
+        spans = r["spans"].split(",") if r["spans"] else []
+        assert set(joined.split(",")) - {""} <= set(spans)
+    added = {s.split(":")[0] for r in got for s in r["spans"].split(",")} - {""}
+    assert "secret" in added
+    assert pii.personal_data(empty).collect() == [] and pii.redact(empty).collect() == []
+    clean = pii.redact(odd)
+    assert clean.columns == odd.columns and clean.count() == odd.count()
+    said = clean.where("doc_id = 14").first()
+    assert said["text"] == "mail <EMAIL> or <PHONE>, host <IP> card <CARD>." and said["n_chars"] == len(said["text"])
+
+
+def test_expectation_maximisation_finds_the_reliable_labeler():
+    rng = random.Random(3)
+    count = Counter()
+    for _ in range(4000):
+        true = rng.random() < 0.4
+        votes = tuple(pii.YES if rng.random() < (p if true else 1 - p) else pii.NO for p in (0.95, 0.85, 0.55))
+        count["x", *votes, 0] += 1
+    z = pii.span_classifier([(*k, n) for k, n in count.items()])
+    assert z["x", pii.YES, pii.YES, pii.NO, 0] > 0.5 > z["x", pii.NO, pii.NO, pii.YES, 0]
+
+
+def test_media_round_trip(spark, odd, odd_rows, empty):
+    got = media.document_media(odd).collect()
+    want = []
+    for r in odd_rows:
+        raw = (r[1] or "").encode()
+        padded = raw + b"\xff" * (576 * max(1, -(-len(raw) // 576)) - len(raw))
+        want.append((str(r[0]), len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-32:])))
+    assert sorted((str(r["doc_id"]), r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in got) == sorted(want)
+    assert all(r["position"] == 1 for r in got) and {r["caption"] for r in got if r["doc_id"] == 7} == {"Text of 7"}
+    assert media.document_media(empty).collect() == []
+    payload = media.padded(b"abc" * 5000)
+    assert media.load(media.store(payload)).tobytes() == payload
+    with pytest.raises(ValueError):
+        media.load(media.store(payload)[:-40] + b"\0" * 40)
+
+
+def test_interleaved_parsing_keeps_order_and_captions(spark):
+    page = "<h1>T &amp; U</h1><script>var t='</p>'</script><p>one<img src='sha256:aa' alt='first'>two</p><figure><img data-digest='sha256:bb'><video src='m.mp4'></video><figcaption>both <b>of</b> them</figcaption></figure>end"
+    items = media.parse(page)
+    assert [(i["position"], i["kind"], i["text"] or i["media"], i["caption"]) for i in items] == [(0, "text", "T & U", None), (1, "text", "one", None), (2, "media", "sha256:aa", "first"), (3, "text", "two", None), (4, "media", "sha256:bb", "both of them"), (5, "media", "m.mp4", "both of them"), (6, "text", "end", None)]
+    assert media.parse(media.page_of(items[:4]))[2]["media"] == "sha256:aa" and media.parse(None) == [] == media.parse("")
+    pages = spark.createDataFrame([(1, page), (2, None)], "page_id long, html string")
+    store = spark.createDataFrame([("bb", 5)], "digest string, size int")
+    got = {(r["key"], r["position"]): r["size"] for r in media.resolve(pages, store).collect()}
+    assert len(got) == 7 and got[1, 4] == 5 and got[1, 2] is None
+
+
+def test_packing(spark, odd, odd_rows, empty):
+    from tokenizers import Tokenizer
+
+    coder = Tokenizer.from_file(packing.vocabulary())
+    got = packing.pack(odd, batch=7, group=3).collect()
+    want, places = Counter(), {}
+    for r in odd_rows:
+        ids = [*coder.encode(r[1] or "", add_special_tokens=False).ids, 0]
+        for k, a in enumerate(range(0, len(ids), 2048)):
+            own = ids[a : a + 2048]
+            want[str(r[0]), k, a, len(own), zlib.crc32(np.array(own, "<u4").tobytes())] += 1
+    assert Counter((str(r["doc_id"]), r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+    for r in got:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for own in places.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert packing.pack(empty).collect() == []
+
+
+def test_cached_tokens_equal_the_library():
+    from tokenizers import Tokenizer
+
+    coder, own = Tokenizer.from_file(packing.vocabulary()), packing.Words(packing.vocabulary(), cache=50)
+    rng = random.Random(5)
+    texts = ["", "Don't STOP's we'll x1y22", "ÉCOLE déjà ñandú straße", "a b\u0085c", "İstanbul ΑΣ ς", "<|endoftext|> x", "tab\tnew\x0bline\x1cq", "“q” – … €5", "é combining", "中文 字", "😀 ok", "x" * 3000] + ["".join(rng.choice("abcÄß ’'12.,!$-\n\tÉÿ") for _ in range(80)) for _ in range(300)]
+    for i in range(0, len(texts), 20):
+        for t, b in zip(texts[i : i + 20], own.encode(texts[i : i + 20])):
+            assert np.frombuffer(b, "<u2").tolist() == coder.encode(t, add_special_tokens=False).ids, t
+
+
+def test_best_fit_is_tight():
+    rng = np.random.default_rng(1)
+    sizes = np.minimum(2048, rng.geometric(1 / 500, 5000))
+    which, place, fill = packing.best_fit(sizes)
+    assert fill.max() <= 2048 and fill.sum() == sizes.sum() and len(fill) <= math.ceil(sizes.sum() / 2048) + 2
+    assert (np.bincount(which, weights=sizes) == fill).all()
+
+
+def test_revisits(spark):
+    rows = [
+        ("a", "response", "http://www.x.org/p/?utm_source=f", "2024-01-01 00:00:00", 200, {"etag": '"1"', "content-type": "text/html", "cache-control": "a"}, "d1"),
+        ("b", "response", "https://X.org/p#top", "2024-01-02 00:00:00", 200, {"etag": '"2"', "last-modified": "m"}, "d2"),
+        ("c", "response", "https://x.org/p", "2024-01-03 00:00:00", 500, {"etag": '"3"'}, "d3"),
+        ("v1", "revisit", "https://x.org/p", "2024-03-01 00:00:00", 304, {"etag": 'W/"2"', "content-length": "0", "cache-control": "b"}, None),
+        ("v2", "revisit", "https://x.org/p", "2024-01-01 12:00:00", 304, {"etag": '"1"'}, None),
+        ("v3", "revisit", "https://x.org/p", "2023-01-01 00:00:00", 304, {"etag": '"1"'}, None),
+        ("v4", "revisit", "https://x.org/p", "2024-01-04 00:00:00", 304, {"last-modified": "m"}, None),
+        ("v5", "revisit", "https://x.org/p", "2024-01-04 00:00:00", 304, {"etag": '"9"', "last-modified": "m"}, None),
+        ("v6", "revisit", "https://x.org/p", "2024-01-04 00:00:00", 304, None, None),
+        ("v7", "revisit", None, None, None, None, None),
+        ("v8", "revisit", "https://x.org/p", None, 304, {"etag": '"1"'}, None),
+        (None, None, None, None, None, None, None),
+        ("w", "request", "https://x.org/p", "2024-01-01 00:00:00", None, None, None),
+    ]
+    caps = spark.createDataFrame([(*r, 1) for r in rows], "record_id string, type string, url string, ts string, status int, headers map<string,string>, digest string, own int").withColumn("ts", F.col("ts").cast("timestamp"))
+    got = {r["record_id"]: r for r in warc.resolve_revisits(caps).collect()}
+    assert {k: (r["resolution"], r["refers_to"]) for k, r in got.items()} == {"a": ("full", None), "b": ("full", None), "c": ("full", None), "v1": ("etag", "b"), "v2": ("etag", "a"), "v3": ("orphan", None), "v4": ("last-modified", "b"), "v5": ("mismatch", None), "v6": ("mismatch", None), "v7": ("orphan", None), "v8": ("orphan", None)}
+    assert got["v1"]["headers"] == {"etag": 'W/"2"', "last-modified": "m", "cache-control": "b"} and got["v1"]["digest"] == "d2" and got["v1"]["status"] == 200
+    assert warc.resolve_revisits(caps.limit(0)).collect() == []
+    assert warc.resolve_revisits(caps.union(caps)).count() == 2 * len(got)
+
+
+def test_warc_files_round_trip(spark):
+    files = b"".join(warc.format_record("response" if i % 2 else "revisit", f"r{i}", f"http://h/{i}", "2024-01-01T00:00:00Z", 200, {"ETag": f'"{i}"'}, b"\r\n\r\nWARC/" * i, pack=True) for i in range(6))
+    plain = warc.format_record("response", "p", "http://h/", "bad date", 200, {}, b"x")
+    rows = warc.records(spark.createDataFrame([(bytearray(files),), (bytearray(plain),), (None,), (bytearray(b"WARC/1.0\r\ncut"),)], "content binary")).collect()
+    assert len(rows) == 7
+    one = {r["record_id"]: r for r in rows}
+    assert bytes(one["r5"]["payload"]) == b"\r\n\r\nWARC/" * 5 and one["r5"]["headers"] == {"etag": '"5"'} and one["p"]["ts"] is None
+
+
+def test_page_revisits_of_odd_pages(spark):
+    pages = spark.createDataFrame([(1, "http://a/", "<p>x"), (1, "http://a/", "<p>x"), (2, None, None), (None, "http://b", ""), (3, "", "y")], "page_id long, url string, html string").withColumn("status", F.lit(1))
+    assert warc.page_revisits(pages).count() == 10
+    assert warc.page_revisits(pages.limit(0)).collect() == []
