@@ -100,7 +100,7 @@ def clean_lines(docs: DataFrame, text: str = "text") -> DataFrame:
 #: DuckDB's SQL for ``line_rules`` over ``documents``.
 SQL = rf"""
 with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
-w as (select r, doc_id, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), x -> x <> '') as ws, list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from d),
+w as (select r, doc_id, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from d),
 p as (select r, unnest(range(len(ws) - 4)) as i from w where len(ws) >= 5),
 g as (select p.r, p.i, array_to_string(ws[p.i + 1 : p.i + 5], ' ') as g from p join w using (r)),
 t as (select r, i from (select r, i, count(*) over (partition by r, g) as n from g) where n > 1),

@@ -184,7 +184,7 @@ with p as (select coalesce(page_id, 0) as n, trim(url) as url, sha256(coalesce(h
 u as (select *, regexp_replace(url, '#.*$', '') as u from p),
 v as (select *, lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?@]*@)?([^/?]*)', 1)) as h, regexp_replace(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*', '') as rest from u),
 w as (select *, regexp_replace(regexp_replace(h, ':(?:80|443)$', ''), '^www[0-9]*\.', '') as host, regexp_replace(regexp_extract(rest, '^([^?]*)', 1), '/+$', '') as path,
-  list_sort(list_filter(string_split(regexp_extract(rest, '^[^?]*\?(.*)$', 1), '&'), x -> x <> '' and not regexp_matches(x, '(?i)^(?:utm_[a-z]+|gclid|fbclid|ref|sessionid)='))) as q from v),
+  list_sort(list_filter(string_split(regexp_extract(rest, '^[^?]*\?(.*)$', 1), '&'), lambda x: x <> '' and not regexp_matches(x, '(?i)^(?:utm_[a-z]+|gclid|fbclid|ref|sessionid)='))) as q from v),
 k as (select n, digest, size, host || path || case when len(q) > 0 then '?' || array_to_string(q, '&') else '' end as url_key,
   timestamp '2024-01-01 00:00:00' + to_minutes(n) as at, strftime(timestamp '2024-01-01 00:00:00' + to_minutes(n) - interval 1 day, '%Y-%m-%d') as day,
   '"' || substr(digest, 1, 16) || '"' as tag from w),
