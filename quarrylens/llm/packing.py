@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import bisect
 import json
-import unicodedata  # noqa: F401  (documents which normal form plain text is in)
 import zlib
 from collections import defaultdict
 
@@ -31,7 +30,7 @@ LENGTH = 2048
 SLACK = 8
 #: Pieces that a task packs at a time, and bins that a group of a later round holds on average.
 BATCH, GROUP = 20_000, 20_000
-CACHE = 700_000
+CACHE = 350_000
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -67,7 +66,7 @@ class Words:
 
     def _learn(self, chunks: list[str]) -> None:
         find, words = self.piece.findall, self.words
-        parts = [find(c) for c in chunks]
+        parts = [[c] if len(p) == 1 and p[0] == c else p for c in chunks for p in (find(c),)]  # one string for both caches
         new = list({w for p in parts for w in p if w not in words})
         if new:
             e = self.bare.encode(new, is_pretokenized=True, add_special_tokens=False)

@@ -36,7 +36,7 @@ LOW = np.uint64((1 << BITS) - 1)
 #: Shingles in a bucket, sets in a block, on average.
 BUCKET, BLOCK = 4_000_000, 1024
 #: Shingles that a map task gathers before it packs them.
-FLUSH = 4_000_000
+FLUSH = 2_500_000
 
 
 def fingerprint(own: np.ndarray) -> int:
@@ -88,8 +88,8 @@ def _out(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
 
 def _spread(keys: np.ndarray, sizes: np.ndarray, counts: np.ndarray, tokens: np.ndarray, extra: np.ndarray | None, bucket: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """Packed rows (bucket, payload) of tokens that belong to the documents ``keys`` by ``counts``."""
-    doc = np.repeat(np.arange(len(keys)), counts)
-    order = np.argsort(bucket, kind="stable")
+    doc = np.repeat(np.arange(len(keys), dtype=np.int32), counts)
+    order = np.argsort(bucket, kind="stable").astype(np.int32)
     doc, tokens, bucket = doc[order], tokens[order], bucket[order]
     extra = extra[order] if extra is not None else None
     for b, i, j in _runs(bucket):
@@ -101,11 +101,17 @@ def _spread(keys: np.ndarray, sizes: np.ndarray, counts: np.ndarray, tokens: np.
 
 def _gather(payloads, n: int) -> list[np.ndarray]:
     """keys, sizes, document of each token, tokens (and the rest) of all packed rows."""
-    rows = [_unframe(p, n) for p in payloads]
-    join = lambda k, kind: np.concatenate([np.frombuffer(r[k], kind) for r in rows])
-    keys, sizes, counts = join(0, "<i8"), join(1, "<u4"), join(2, "<u4")
-    out = [keys, sizes, np.repeat(np.arange(len(keys)), counts), np.concatenate([_unpack7(r[3]) for r in rows])]
-    return [*out, join(4, np.uint8)] if n > 4 else out
+    kinds, found = ("<i8", "<u4", "<u4", None, np.uint8)[:n], [[] for _ in range(n)]
+    for p in payloads:
+        for k, part in enumerate(_unframe(p, n)):
+            found[k].append(part)
+    made = []
+    for k, kind in enumerate(kinds):  # one after the other, so that the packed parts go as they are used
+        body = b"".join(found[k])
+        found[k] = []
+        made.append(_unpack7(body) if kind is None else np.frombuffer(body, kind))
+    keys, sizes, counts, tokens = made[:4]
+    return [keys, sizes, np.repeat(np.arange(len(keys), dtype=np.int32), counts), tokens, *made[4:]]
 
 
 def _size_of(size: int):
@@ -157,9 +163,10 @@ def _lists(back: int):
     """In one bucket: inverted lists of two classes or more, sent back to their classes."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys, sizes, doc, tokens = _gather(table.column("payload").to_pylist(), 4)
-        order = np.argsort(tokens)
+        keys, sizes, doc, tokens = _gather((p.as_py() for p in table.column("payload")), 4)
+        order = np.argsort(tokens).astype(np.int32)
         t = tokens[order]
+        del tokens
         new = np.concatenate(([True], t[1:] != t[:-1])) if len(t) else np.zeros(0, bool)
         many = ~(new & np.append(new[1:], True)) if len(t) else new
         order, t = order[many], t[many]
@@ -196,7 +203,7 @@ def _survivors(percent: int):
     """In one bucket of classes: those that keep T shingles, with all of these and the short lists' ones."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys, sizes, doc, tokens, level = _gather(table.column("payload").to_pylist(), 5)
+        keys, sizes, doc, tokens, level = _gather((p.as_py() for p in table.column("payload")), 5)
         key = keys[doc]
         order = np.lexsort((tokens, level, key))
         key, tokens, size = key[order], tokens[order], sizes[doc][order].astype(np.int64)
@@ -364,10 +371,11 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     _, named = _grouped(docs, key, text, size, percent)
     least = F.min(F.struct(F.col("low").isNull().alias("none"), "low", "class")).alias("first")
     kept = named.groupBy("root").agg(least).select(F.xxhash64("first.low").alias("kept_key"), F.col("first.class").alias("kept_class"), F.lit(True).alias("kept"))
-    own, row, at = fresh(docs, "class"), fresh(docs, "row"), fresh(docs, "at")
+    own, row, at, hit = fresh(docs, "class"), fresh(docs, "row"), fresh(docs, "at"), fresh(docs, "hit")
+    kept = kept.toDF(*[fresh(docs, c) for c in kept.columns[:2]], hit)
     mark = docs.withColumns({own: _class_of(size)(docs[text].cast("string")), row: F.xxhash64(docs[key])})
-    both = mark.join(kept, (mark[row] == kept["kept_key"]) & (mark[own] == kept["kept_class"]), "left")
-    both = both.where((F.col(own) == 0) | F.col("kept"))
+    both = mark.join(kept, (mark[row] == kept[kept.columns[0]]) & (mark[own] == kept[kept.columns[1]]), "left")
+    both = both.where((F.col(own) == 0) | F.col(hit))
     turn = F.row_number().over(Window.partitionBy(row, own).orderBy(row))
     return both.withColumn(at, turn).where((F.col(own) == 0) | (F.col(at) == 1)).select(*[mark[c] for c in docs.columns])
 
