@@ -96,7 +96,9 @@ def classify(candidates: DataFrame, now: Column) -> DataFrame:
     out = out.when(public_key(leaf) & ~sensitive_key(leaf), public).when(values.jwt_shaped(F.col("value")) & sensitive_key(leaf), unclear)
     out = out.when(kind.isNotNull() & weak, unclear)
     out = out.when(kind.isNotNull(), F.struct(kind.alias("classification"), F.when(kind == "persisted_session", "medium").otherwise("high").alias("severity"), F.lit("finding").alias("disposition")))
-    return rows.withColumn("v", out).where("v is not null").select(*candidates.columns, "claims", "v.classification", "v.severity", "v.disposition")
+    # behind a generator, so that the filter isn't pushed down with a copy of the claims for each mention
+    made = rows.select(*candidates.columns, "claims", F.explode(F.array(out)).alias("v")).where("v is not null")
+    return made.select(*candidates.columns, "claims", "v.classification", "v.severity", "v.disposition")
 
 
 def assess(classified: DataFrame, limit: int = GROUPS) -> DataFrame:
