@@ -186,10 +186,10 @@ v as (select *, lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?@]*@)
 w as (select *, regexp_replace(regexp_replace(h, ':(?:80|443)$', ''), '^www[0-9]*\.', '') as host, regexp_replace(regexp_extract(rest, '^([^?]*)', 1), '/+$', '') as path,
   list_sort(list_filter(string_split(regexp_extract(rest, '^[^?]*\?(.*)$', 1), '&'), lambda x: x <> '' and not regexp_matches(x, '(?i)^(?:utm_[a-z]+|gclid|fbclid|ref|sessionid)='))) as q from v),
 k as (select n, digest, size, host || path || case when len(q) > 0 then '?' || array_to_string(q, '&') else '' end as url_key,
-  timestamp '2024-01-01 00:00:00' + to_minutes(n) as at, strftime(timestamp '2024-01-01 00:00:00' + to_minutes(n) - interval 1 day, '%Y-%m-%d') as day,
+  timestamp '2024-01-01 00:00:00' + to_minutes(n) as tm, strftime(timestamp '2024-01-01 00:00:00' + to_minutes(n) - interval 1 day, '%Y-%m-%d') as day,
   '"' || substr(digest, 1, 16) || '"' as tag from w),
-r as (select 'r' || n as record_id, n, url_key, at as ts, digest, size, tag, day from k),
-s as (select 'v' || n as record_id, n, url_key, at + interval 30 day as ts, case when n % 3 = 1 then null when n % 7 = 3 then '"outdated"' else tag end as tag, day from k),
+r as (select 'r' || n as record_id, n, url_key, tm as ts, digest, size, tag, day from k),
+s as (select 'v' || n as record_id, n, url_key, tm + interval 30 day as ts, case when n % 3 = 1 then null when n % 7 = 3 then '"outdated"' else tag end as tag, day from k),
 j as (select s.*, r.record_id as base, r.digest as base_digest, r.size as base_size, r.tag as base_tag, r.day as base_day
   from s left join r on s.url_key = r.url_key and r.ts <= s.ts qualify row_number() over (partition by s.record_id order by r.ts desc, r.record_id desc) = 1),
 x as (select *, case when base is null then 'orphan' when tag is not null then case when tag = base_tag then 'etag' else 'mismatch' end when day = base_day then 'last-modified' else 'mismatch' end as resolution from j),
