@@ -87,7 +87,7 @@ def nested_paths(entries: DataFrame, hops: int = HOPS) -> DataFrame:
     """(page_id, id, full_path) of ``entries(page_id, id, parent_id, path)``: segments from the root down.
 
     Chains that miss a parent, or run over ``hops`` (cycles), are left out.  One recursive query walks
-    all pages' chains at once.
+    all pages' chains at once; its ``limit all`` lifts Spark's bound on the rows of a recursion (1,000,000).
     """
     segment = F.array_join(F.transform(F.split(F.coalesce("path", F.lit("")), "/"), lambda p: F.when(p == "$", "*").when(F.startswith(p, F.lit("$")), F.concat(F.lit(":"), F.regexp_replace(p, r"^\$", ""))).otherwise(p)), "/")
     spark = entries.sparkSession
@@ -98,5 +98,5 @@ def nested_paths(entries: DataFrame, hops: int = HOPS) -> DataFrame:
             union all
             select w.page_id, w.id, e.parent_id, case when e.seg = '' then w.full when w.full = '' then e.seg else concat(e.seg, '/', w.full) end, w.hop + 1
             from walk w join nested_entries e on w.page_id = e.page_id and w.at = e.id where w.hop < {hops}
-        ) select page_id, id, replace(concat('/', full), '//', '/') as full_path from walk where at is null""")
+        ) select page_id, id, replace(concat('/', full), '//', '/') as full_path from (select * from walk limit all) where at is null""")
     return walked

@@ -74,10 +74,10 @@ CHUNKS = """select p_partkey % 100 as page_id, concat('https://s.example.com/ass
   when 0 then concat('UserProfile', cast(p_partkey % 3 as string), '-a1b2c3d4.js') when 1 then 'index-abcdef12.js' when 2 then concat(cast(p_partkey as string), '.js')
   when 3 then concat('checkout.', substr(md5(cast(p_partkey as string)), 1, 8), '.mjs') when 4 then concat(substr(md5(cast(p_partkey as string)), 1, 12), '.js') when 5 then 'style.css' else 'turbopack-runtime.js' end) as url from part"""
 
-#: Nested routes; every 50th is its page's root, some parents are missing.
+#: Nested routes of 40 pages over all of part: row k of a page is the child of row k div 8, its first row is the root; some parents are missing.
 ROUTES = """select p_partkey % 40 as page_id, concat('r', cast(p_partkey as string)) as id,
- case when p_partkey <= 40 then cast(null as string) when p_partkey % 11 = 0 then 'missing' else concat('r', cast(p_partkey - 40 as string)) end as parent_id,
- case when p_partkey <= 40 then '' when p_partkey % 4 = 0 then '$' when p_partkey % 4 = 1 then '$id' when p_partkey % 4 = 2 then concat('s', cast(p_partkey % 9 as string)) else 'a/b' end as path from part where p_partkey <= 400"""
+ case when p_partkey <= 40 then cast(null as string) when p_partkey % 11 = 0 then 'missing' else concat('r', cast(cast((p_partkey - p_partkey % 320) / 8 as bigint) + p_partkey % 40 as string)) end as parent_id,
+ case when p_partkey <= 40 then '' when p_partkey % 4 = 0 then '$' when p_partkey % 4 = 1 then '$id' when p_partkey % 4 = 2 then concat('s', cast(p_partkey % 9 as string)) else 'a/b' end as path from part"""
 
 #: Policies.
 POLICIES = """select s_suppkey as page_id, case s_suppkey % 9

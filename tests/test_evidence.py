@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from quarrylens.functions import jsparse, scoring, urls, values
 from quarrylens.functions.patterns import BUILT_IN, catalog
-from quarrylens.operators import javascript, posture, secrets, sourcemaps, storage, technologies
+from quarrylens.operators import javascript, manifests, posture, secrets, sourcemaps, storage, technologies
 from quarrylens.plans import catalog as plans
+from quarrylens.plans import samples
 from quarrylens.sources import captures
 from quarrylens.streaming import network
 
@@ -148,3 +149,23 @@ def test_queries_equal_their_sql(spark, name):
     want = con.sql(plans.ORACLES[name])
     df = plans.QUERIES[name](spark, folder).select(*want.columns)
     assert sorted(map(str, (tuple(r) for r in df.collect()))) == sorted(map(str, want.fetchall()))
+
+
+def test_remix_paths_reads_all_of_part(spark):
+    folder = "/root/testdata/sf0.01"
+    assert samples.sample(spark, folder, samples.ROUTES).count() == spark.read.parquet(f"{folder}/part.parquet").count()
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from read_parquet('{folder}/part.parquet')")
+    want = con.sql(plans.ORACLES["remix_paths"])
+    assert sorted(map(str, (tuple(r) for r in plans.QUERIES["remix_paths"](spark, folder).select(*want.columns).collect()))) == sorted(map(str, want.fetchall()))
+
+
+def test_nested_paths_hops_cycles_and_many_rows(spark):
+    chain = [(1, f"c{i}", f"c{i - 1}" if i else None, "a" if i else "") for i in range(65)]
+    odd = [(1, "x", "y", "q"), (1, "y", "x", "q"), (1, "z", "none", "q"), (2, "c1", "c0", "q")]
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "100")
+    try:
+        got = {(r["page_id"], r["id"]): r["full_path"] for r in manifests.nested_paths(spark.createDataFrame(chain + odd, "page_id long, id string, parent_id string, path string")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+    assert got == {(1, f"c{i}"): "/" + "/".join("a" * i) for i in range(64)}
