@@ -1,13 +1,13 @@
 """Language-model scoring: a log-bilinear neural model trained by noise-contrastive estimation.
 
-Counts of all training tokens are gathered by hash.  The most frequent words, one class for all other
-words, and the end form the model's vocabulary of K classes.  The model predicts the next class from
-the two before it: q = r_a C_1 + r_b C_2, s(w) = q . r_w + b_w.  It learns from the counts of all class
-triples of the training corpus, of which there are at most K**3 whatever its size; minibatches are drawn
-from that table in proportion to the counts, against k noise classes from the unigram distribution.  A
-batched matrix product then gives the normalised log-probability of every class in every context, which
-is the table that texts are scored by.  A word outside the vocabulary costs its class and, given that,
-its own add-one estimate among such words.
+Counts of all training tokens are gathered by hash.  The most frequent words have a class and vectors
+each; their number grows with the cube root of the corpus' distinct words.  Less frequent ones share a class
+with all words of their frequency's power of two, as far as the executors hold them; the rest is one class.
+The model predicts the next class from the two before it: q = r_a C_1 + r_b C_2, s(w) = q . r_w + b_w.
+Executors learn from every triple of the training corpus against noise classes from the unigram
+distribution, some millions of triples a task, and their weights are averaged after each round.
+Scores are normalised: the sum over all classes is a batched matrix product, once for a pair of context
+classes.  A word in a shared class costs its class and, given that, its own add-one estimate among such words.
 
 Words are told apart by 64 bits of their hash.
 """
@@ -25,12 +25,28 @@ from . import textvec as tv
 from .common import fold, materialize
 from .samples import Adam, sigmoid
 
-#: Classes: 0 stands before a text, 1 is the end, 2 any word outside the vocabulary, the rest are words.
+#: The least number of word classes with START, END, OTHER: 0 stands before a text, 1 is the end, 2 any word that the executors don't hold.
 VOCAB = 150
 START, END, OTHER = 0, 1, 2
 #: So many of the most frequent words are looked up in the executors' memory (16 bytes each); rarer ones are joined.
 HEAD = 1 << 16
-DIM, NOISE = 20, 10
+DIM, NOISE = 20, 128
+#: Triples of a minibatch, and the least a round learns from (small corpora are repeated) and a task is given.
+BATCH, LEAST, TASK = 1024, 1_500_000, 4_000_000
+ROUNDS = 2
+
+
+def own_classes(distinct: int) -> int:
+    """Classes up to the last word that has one of its own, in a corpus of so many distinct words."""
+    return max(VOCAB, 3 + round(16 * distinct ** (1 / 3)))
+
+
+def classes_of(c: np.ndarray, own: int) -> tuple[np.ndarray, int]:
+    """The class of each of the most frequent words by their falling counts, and the number of all classes."""
+    cls = np.arange(3, 3 + len(c), dtype=np.int32)
+    shared = np.log2(np.maximum(c[own - 3 :], 1)).astype(np.int32)
+    cls[own - 3 :] = own + shared
+    return cls, own + (int(shared.max()) + 1 if len(shared) else 0)
 
 
 @dataclass
@@ -100,74 +116,175 @@ def _classes(head: Head, w: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.
     return place, cls, ends
 
 
-def _triples(cls: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The code of (the class two before, the class before, the class) of every token."""
-    one = np.concatenate(([START], cls[:-1]))
-    two = np.concatenate(([START, START], cls[:-2]))[: len(cls)]
+def _triples(cls: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The class two before, the class before and the class of every token."""
+    one = np.concatenate(([START], cls[:-1])).astype(np.int32)
+    two = np.concatenate(([START, START], cls[:-2]))[: len(cls)].astype(np.int32)
     begin = ends[:-1]
     one[begin] = START
     two[begin] = START
     second = begin + 1
     two[second[second < ends[1:]]] = START
-    return (two.astype(np.int64) * VOCAB + one) * VOCAB + cls
+    return two, one, cls
+
+
+def _sum_rows(at: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
+    return np.bincount((at[:, None].astype(np.int64) * DIM + np.arange(DIM)).ravel(), rows.ravel(), k * DIM).reshape(k, DIM).astype(np.float32)
+
+
+class Model:
+    """The model of ``len(uni)`` classes; ``uni`` is the noise distribution."""
+
+    NAMES = ("R", "C1", "C2", "Q", "b")
+
+    def __init__(self, uni: np.ndarray, seed: int = 5):
+        rng = np.random.default_rng(seed)
+        k = len(uni)
+        small = lambda *s: (rng.standard_normal(s) * 0.1).astype(np.float32)
+        self.uni, self.k = uni, k
+        self.p = {"R": small(k, DIM), "C1": small(DIM, DIM), "C2": small(DIM, DIM), "Q": small(k, DIM), "b": np.log(np.maximum(uni, 1e-9)).astype(np.float32)}
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([self.p[n].ravel() for n in self.NAMES])
+
+    def load(self, flat: np.ndarray) -> Model:
+        at = 0
+        for n in self.NAMES:
+            size = self.p[n].size
+            self.p[n] = flat[at : at + size].astype(np.float32).reshape(self.p[n].shape)
+            at += size
+        return self
+
+    def learner(self, seed: int):
+        """step(x, y, w, rate): one minibatch; all its triples share the noise."""
+        p, k, rng = self.p, self.k, np.random.default_rng(seed)
+        lift, ucum, adam = np.log(NOISE * np.maximum(self.uni, 1e-12)).astype(np.float32), np.cumsum(self.uni), Adam(self.p, 0.01)
+
+        def step(x, y, w, rate):
+            z = np.minimum(np.searchsorted(ucum, rng.random(NOISE)), k - 1)
+            q = p["Q"][x] @ p["C1"] + p["Q"][y] @ p["C2"]
+            g = ((sigmoid(np.einsum("bd,bd->b", q, p["R"][w]) + p["b"][w] - lift[w]) - 1) / len(w)).astype(np.float32)
+            gz = (sigmoid(q @ p["R"][z].T + (p["b"][z] - lift[z])) / len(w)).astype(np.float32)
+            dq = g[:, None] * p["R"][w] + gz @ p["R"][z]
+            gr = _sum_rows(np.concatenate((w, z)), np.concatenate((g[:, None] * q, gz.T @ q)), k)
+            gb = np.bincount(np.concatenate((w, z)), np.concatenate((g, gz.sum(0))), k).astype(np.float32)
+            gq = _sum_rows(np.concatenate((x, y)), np.concatenate((dq @ p["C1"].T, dq @ p["C2"].T)), k)
+            adam.rate = rate
+            adam.step({"R": gr, "b": gb, "Q": gq, "C1": p["Q"][x].T @ dq, "C2": p["Q"][y].T @ dq})
+
+        return step
+
+    def sums(self, pair: np.ndarray) -> np.ndarray:
+        """The logarithm of the normalising sum after each pair of classes (first * k + second)."""
+        first, second = self.p["Q"] @ self.p["C1"], self.p["Q"] @ self.p["C2"]
+        out, n = np.empty(len(pair), np.float32), max(1, (1 << 21) // self.k)
+        for i in range(0, len(pair), n):
+            s = (first[pair[i : i + n] // self.k] + second[pair[i : i + n] % self.k]) @ self.p["R"].T
+            s += self.p["b"]
+            s[:, START] = -np.inf
+            m = s.max(1)
+            s -= m[:, None]
+            out[i : i + n] = m + np.log(np.exp(s, out=s).sum(1))
+        return out
+
+    def log10(self, x: np.ndarray, y: np.ndarray, w: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
+        """log10 P(w | x, y); ``known`` keeps sums by pair between calls."""
+        first, second = self.p["Q"] @ self.p["C1"], self.p["Q"] @ self.p["C2"]
+        out = np.empty(len(w))
+        pair = x.astype(np.int64) * self.k + y
+        if known is None:
+            u, back = np.unique(pair, return_inverse=True)
+            z = self.sums(u)[back]
+        else:
+            u = np.unique(pair[np.isnan(known[pair])])
+            known[u] = self.sums(u)
+            z = known[pair]
+        for i in range(0, len(w), 1 << 16):
+            s = slice(i, i + (1 << 16))
+            out[s] = np.einsum("bd,bd->b", first[x[s]] + second[y[s]], self.p["R"][w[s]]) + self.p["b"][w[s]] - z[s]
+        return out / np.log(10)
+
+
+def noise(n: np.ndarray) -> np.ndarray:
+    """The unigram distribution of classes from their counts."""
+    uni = n + 1e-3
+    uni[START] = 0
+    return uni / uni.sum()
+
+
+def train(code: np.ndarray, n: np.ndarray, steps: int = 3000, batch: int = 512, seed: int = 5) -> np.ndarray:
+    """log10 P(class | two classes) as a K x K x K table for K = VOCAB, from the counts of class triples."""
+    k, rng = VOCAB, np.random.default_rng(seed)
+    a, b, w = code // (k * k), code // k % k, code % k
+    model = Model(noise(np.bincount(w, weights=n, minlength=k)), seed)
+    step, cum = model.learner(seed), np.cumsum(n / n.sum())
+    for i in range(steps):
+        pick = np.minimum(np.searchsorted(cum, rng.random(batch)), len(code) - 1)
+        step(a[pick], b[pick], w[pick], 0.01 * (1 - i / steps) + 0.0003)
+    x, y, z = (v.ravel() for v in np.meshgrid(*[np.arange(k)] * 3, indexing="ij"))
+    out = model.log10(x, y, z)
+    out[z == START] = -np.inf
+    return out.astype(np.float32)
+
 
+def _learn(head, model, epochs: int, expected: int, begin: float, end: float, block: int = 4096, hold: int = 2_000_000):
+    """(block, n, weights): the model after all triples of a task; the rate falls from ``begin`` to ``end`` over the expected ones."""
 
-def _count_triples(head):
     def run(batches):
-        total = None
+        own = Model(model.value.uni).load(model.value.flat())
+        step, rng, seen, held, waiting = own.learner(7), np.random.default_rng(11), 0, [], 0
+
+        def learn():
+            x, y, z = (np.concatenate(v) for v in zip(*held, strict=True))
+            done = seen
+            for _ in range(epochs):
+                order = rng.permutation(len(z))
+                for i in range(0, len(z), BATCH):
+                    pick = order[i : i + BATCH]
+                    step(x[pick], y[pick], z[pick], begin + (end - begin) * min(1.0, done / expected))
+                    done += len(pick)
+            return done
+
         for b in batches:
             w, at = tv.words(*tv.raw(b.column(0)))
             if len(at) < 2:
                 continue
             _, cls, ends = _classes(head.value, w, at)
-            n = np.bincount(_triples(cls, ends), minlength=VOCAB**3)
-            total = n if total is None else total + n
-        if total is not None:
-            code = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(total[code])], ["code", "n"])
+            held.append(_triples(cls, ends))
+            waiting += len(cls)
+            if waiting > hold:
+                seen, held, waiting = learn(), [], 0
+        if held:
+            seen = learn()
+        if seen:
+            flat = own.flat()
+            parts = [flat[i : i + block].tobytes() for i in range(0, len(flat), block)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([seen] * len(parts), pa.int64()), pa.array(parts, pa.binary())], ["block", "n", "v"])
 
     return run
 
 
-def train(code: np.ndarray, n: np.ndarray, steps: int = 3000, batch: int = 512, seed: int = 5) -> np.ndarray:
-    """log10 P(class | two classes) as a K x K x K table, from the counts of class triples."""
-    rng = np.random.default_rng(seed)
-    k = VOCAB
-    a, b, w = code // (k * k), code // k % k, code % k
-    uni = np.bincount(w, weights=n, minlength=k) + 1e-3
-    uni[START] = 0
-    uni /= uni.sum()
-    small = lambda *s: (rng.standard_normal(s) * 0.1).astype(np.float32)
-    p = {"R": small(k, DIM), "C1": small(DIM, DIM), "C2": small(DIM, DIM), "Q": small(k, DIM), "b": np.log(np.maximum(uni, 1e-9)).astype(np.float32)}
-    lift = np.log(NOISE * np.maximum(uni, 1e-12)).astype(np.float32)
-    if len(code):
-        cum, ucum = np.cumsum(n / n.sum()), np.cumsum(uni)
-        adam = Adam(p, 0.01)
-        for step in range(steps):
-            adam.rate = 0.01 * (1 - step / steps) + 0.0003
-            pick = np.minimum(np.searchsorted(cum, rng.random(batch)), len(code) - 1)
-            noise = np.minimum(np.searchsorted(ucum, rng.random((batch, NOISE))), k - 1)
-            x, y = a[pick], b[pick]
-            cand = np.concatenate([w[pick][:, None], noise], 1)
-            q = p["Q"][x] @ p["C1"] + p["Q"][y] @ p["C2"]
-            delta = np.einsum("bd,bkd->bk", q, p["R"][cand]) + p["b"][cand] - lift[cand]
-            g = sigmoid(delta)
-            g[:, 0] -= 1
-            g = (g / batch).astype(np.float32)
-            gr, gb, gq = np.zeros_like(p["R"]), np.bincount(cand.ravel(), weights=g.ravel(), minlength=k), np.zeros_like(p["Q"])
-            np.add.at(gr, cand.ravel(), (g[:, :, None] * q[:, None]).reshape(-1, DIM))
-            dq = np.einsum("bk,bkd->bd", g, p["R"][cand])
-            np.add.at(gq, x, dq @ p["C1"].T)
-            np.add.at(gq, y, dq @ p["C2"].T)
-            adam.step({"R": gr, "b": gb.astype(np.float32), "Q": gq, "C1": p["Q"][x].T @ dq, "C2": p["Q"][y].T @ dq})
-    first, second = p["Q"] @ p["C1"], p["Q"] @ p["C2"]
-    out = np.empty((k, k, k), np.float32)
-    for i in range(k):
-        s = (first[i] + second) @ p["R"].T + p["b"]
-        s[:, START] = -np.inf
-        m = s.max(1, keepdims=True)
-        out[i] = (s - m - np.log(np.exp(s - m).sum(1, keepdims=True))) / np.log(10)
-    return out.ravel()
+def _mean(rows: pa.Table) -> pa.Table:
+    """The mean of a block's weights over tasks, by their triples."""
+    n = rows.column("n").to_pylist()
+    total = sum(np.frombuffer(v, np.float32).astype(np.float64) * c for v, c in zip(rows.column("v").to_pylist(), n, strict=True)) / sum(n)
+    return pa.table({"block": pa.array([rows.column("block")[0].as_py()], pa.int32()), "v": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+
+
+def fit(corpus: DataFrame, head, uni: np.ndarray, total: int) -> Model:
+    """The model of a corpus of ``total`` tokens: each round learns from all its triples."""
+    spark, model = corpus.sparkSession, Model(uni)
+    if not total:
+        return model
+    tasks, epochs = max(1, total // TASK), max(1, -(-LEAST // total))
+    expected = max(1, total * epochs // tasks)
+    for r in range(ROUNDS):
+        rate = lambda i: 0.01 * (1 - i / ROUNDS) + 0.0003
+        shared = spark.sparkContext.broadcast(model)
+        learned = corpus.coalesce(tasks).mapInArrow(_learn(head, shared, epochs, expected, rate(r), rate(r + 1)), "block int, n long, v binary")
+        rows = learned.groupBy("block").applyInArrow(_mean, "block int, v binary").collect()
+        model = Model(uni).load(np.concatenate([np.frombuffer(x["v"], np.float32) for x in sorted(rows, key=lambda x: x["block"])]))
+    return model
 
 
 def _tail(head):
@@ -187,17 +304,20 @@ def _tail(head):
     return run
 
 
-def _score(head, table, end: int, total: int, distinct: int):
+def _score(head, model, first_shared: int, end: int, total: int, distinct: int):
     """Of each text: tokens, known ones, and the sums that don't need rare words' counts."""
     base_at = np.log10(total + distinct + 1)
 
     def run(batches):
-        hd = head.value
+        hd, m = head.value, model.value
         own = np.log10(hd.c + 1.0)
-        inside = hd.cls != OTHER
-        mass = total - end - int(hd.c[inside].sum())
-        kinds = max(0, distinct - (1 if end else 0) - int(inside.sum()))
-        other_at = np.log10(mass + kinds + 1)
+        mass = np.bincount(hd.cls, weights=hd.c, minlength=m.k)
+        kinds = np.bincount(hd.cls, minlength=m.k)
+        mass[OTHER] = total - end - int(hd.c.sum())
+        kinds[OTHER] = max(0, distinct - (1 if end else 0) - len(hd.h)) + 1
+        shared_at = np.log10(np.maximum(mass + kinds, 1))
+        shared_at[START], shared_at[END], shared_at[3:first_shared] = 0, 0, 0
+        sums = np.full(m.k * m.k, np.nan, np.float32) if m.k <= 3000 else None
         for b in batches:
             w, at = tv.words(*tv.raw(b.column(3)))
             n = len(at) - 1
@@ -210,9 +330,9 @@ def _score(head, table, end: int, total: int, distinct: int):
             known = np.bincount(row, weights=found, minlength=n).astype(np.int64) + (1 if end else 0)
             tokens = np.diff(at) + 1
             base = np.bincount(row, weights=add, minlength=n) + np.log10(end + 1.0) - tokens * base_at
-            seq = np.add.reduceat(table.value[_triples(cls, ends)].astype(np.float64), ends[:-1])
-            outside = np.where(found, hd.cls[np.maximum(place, 0)] == OTHER, True) if len(own) else np.ones(len(w), bool)
-            seq += np.bincount(row, weights=np.where(outside, add - other_at, 0.0), minlength=n)
+            seq = np.add.reduceat(m.log10(*_triples(cls, ends), sums) - shared_at[cls], ends[:-1])
+            shared = hd.cls[np.maximum(place, 0)] >= first_shared if len(own) else np.zeros(len(w), bool)
+            seq += np.bincount(row, weights=np.where(found & shared, add, 0.0), minlength=n)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(tokens), pa.array(known), pa.array(base), pa.array(seq)], ["key", "doc_id", "held_out", "n_tokens", "known", "base", "seq"])
 
     return run
@@ -225,7 +345,7 @@ def lm_scores(docs: DataFrame, modulus: int = 7, remainder: int = 2, key: str =
     it.  Tokens are words, A-Z folded, and an end.  ``base_score`` is the add-one unigram log10 probability,
     ``score`` the model's.  A null text is empty and has its end only.  A null key counts as the
     empty text in the fold and stays null.  Repeated rows all get their row; other columns are ignored; an
-    empty table gives an empty result, a table without training rows the uniform model.
+    empty table gives an empty result, a table without training rows an untrained model.
     """
     spark = docs.sparkSession
     whole = F.coalesce(docs[text].cast("string"), F.lit(""))
@@ -235,17 +355,17 @@ def lm_scores(docs: DataFrame, modulus: int = 7, remainder: int = 2, key: str =
     end = corpus.count()
     seen = counts.agg(F.sum("c"), F.count("*")).first()
     total, distinct = (seen[0] or 0) + end, seen[1] + (1 if end else 0)
-    top = counts.orderBy(F.col("c").desc(), "h").limit(HEAD).toArrow()
-    h = top.column("h").to_numpy().view(np.uint64)
-    cls = np.full(len(h), OTHER, np.int32)
-    cls[: VOCAB - 3] = np.arange(3, 3 + min(len(h), VOCAB - 3))
-    head = spark.sparkContext.broadcast(Head(h, top.column("c").to_numpy().astype(np.int64), cls))
-    triple = corpus.mapInArrow(_count_triples(head), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    order = np.argsort(triple.column("code").to_numpy())
-    table = spark.sparkContext.broadcast(train(triple.column("code").to_numpy()[order], triple.column("n").to_numpy()[order]))
+    first_shared = own_classes(distinct)
+    top = counts.orderBy(F.col("c").desc(), "h").limit(max(HEAD, first_shared - 3)).toArrow()
+    h, c = top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy().astype(np.int64)
+    cls, k = classes_of(c, first_shared)
+    n = np.bincount(cls, weights=c, minlength=k)
+    n[END], n[OTHER] = end, total - end - c.sum()
+    head = spark.sparkContext.broadcast(Head(h, c, cls))
+    model = spark.sparkContext.broadcast(fit(corpus, head, noise(n), total))
     pairs = own.select("key", "text").mapInArrow(_tail(head), "key long, h long, n int")
     rare = pairs.join(counts, "h").groupBy("key").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("add"), F.sum("n").alias("hits"))
-    rows = own.mapInArrow(_score(head, table, end, total, distinct), f"key long, doc_id {docs.schema[key].dataType.simpleString()}, held_out boolean, n_tokens long, known long, base double, seq double")
+    rows = own.mapInArrow(_score(head, model, first_shared, end, total, distinct), f"key long, doc_id {docs.schema[key].dataType.simpleString()}, held_out boolean, n_tokens long, known long, base double, seq double")
     rows = rows.withColumn("copies", F.count("*").over(Window.partitionBy("key")))  # equal rows have sent their words as often
     add, hits = F.coalesce(F.col("add") / F.col("copies"), F.lit(0.0)), F.coalesce(F.expr("hits div copies"), F.lit(0))
     return rows.join(rare, "key", "left").select("doc_id", "held_out", "n_tokens", (F.col("known") + hits).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + add).alias("base_score"), (F.col("seq") + add).alias("score"))

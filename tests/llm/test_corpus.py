@@ -415,3 +415,13 @@ def test_page_revisits_of_odd_pages(spark):
     pages = spark.createDataFrame([(1, "http://a/", "<p>x"), (1, "http://a/", "<p>x"), (2, None, None), (None, "http://b", ""), (3, "", "y")], "page_id long, url string, html string").withColumn("status", F.lit(1))
     assert warc.page_revisits(pages).count() == 10
     assert warc.page_revisits(pages.limit(0)).collect() == []
+
+
+def test_language_model_classes_grow_and_cover_the_tail():
+    assert logbilinear.own_classes(500) == logbilinear.VOCAB and logbilinear.own_classes(400_000) > 1000 and logbilinear.own_classes(40_000_000) > 2 * logbilinear.own_classes(400_000)
+    c = np.sort(np.random.default_rng(3).zipf(1.3, 5000).clip(max=10**6))[::-1]
+    cls, k = logbilinear.classes_of(c, 300)
+    assert (cls >= 3).all() and (cls[:297] == np.arange(3, 300)).all() and all(c[cls == x].max() < 2 * c[cls == x].min() for x in np.unique(cls))
+    model = logbilinear.Model(logbilinear.noise(np.bincount(cls, weights=c, minlength=k)))
+    p = 10.0 ** model.log10(np.full(k, 5), np.full(k, k - 1), np.arange(k))
+    assert abs(p[np.arange(k) != logbilinear.START].sum() - 1) < 1e-3
