@@ -6,14 +6,12 @@ own for the next round, where groups of several tasks' bins are packed best fit
 tree; a round has fewer groups than the last.  A piece's place is its place in the local bin plus that
 bin's place in the bins above it.
 
-Tokens come from a vocabulary file of the ``tokenizers`` library.  Its words are looked up in a cache,
-which makes it several times faster; texts with anything unusual in them take the library's own path.
+Tokens come from a vocabulary file of the ``tokenizers`` library; see ``tokens``.
 """
 
 from __future__ import annotations
 
 import bisect
-import json
 import zlib
 from collections import defaultdict
 
@@ -24,13 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, text_of
+from .tokens import coder
 
 LENGTH = 2048
 #: A bin that lacks at most so many tokens is done.
 SLACK = 8
 #: Pieces that a task packs at a time, and bins that a group of a later round holds on average.
 BATCH, GROUP = 20_000, 20_000
-CACHE = 350_000
+#: Texts that are encoded at once, in number and in characters.
+TEXTS, CHARACTERS = 400, 2_000_000
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -40,62 +40,6 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class Words:
-    """Token ids of texts under a vocabulary with word ends, as bytes of little-endian 16-bit numbers.
-
-    Plain text, that is letters, digits and signs below U+0250 besides common punctuation, is in normal
-    form already, and neither its white space nor its pieces depend on what stands around them; each
-    piece between white space is encoded once and remembered.  Any other text goes through the
-    library whole.
-    """
-
-    def __init__(self, path: str, cache: int = CACHE):
-        import regex
-        from tokenizers import Tokenizer
-
-        with open(path, encoding="utf-8") as f:
-            raw = json.load(f)
-        self.whole = Tokenizer.from_file(path)
-        step = raw["pre_tokenizer"]["pretokenizers"]
-        self.piece = regex.compile(step[0]["pattern"]["Regex"])
-        self.bare = Tokenizer.from_str(json.dumps(raw | {"normalizer": None, "pre_tokenizer": step[1], "added_tokens": []}))
-        self.odd = regex.compile(r"[^\t-\r\x20-\x7e\xa1-ɏ‐-‧‰-⁞€]|<\|")
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
-        self.cache = cache
-
-    def _learn(self, chunks: list[str]) -> None:
-        find, words = self.piece.findall, self.words
-        parts = [[c] if len(p) == 1 and p[0] == c else p for c in chunks for p in (find(c),)]  # one string for both caches
-        new = list({w for p in parts for w in p if w not in words})
-        if new:
-            e = self.bare.encode(new, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(e.ids, "<u2").tobytes()
-            cut = (2 * np.searchsorted(np.array(e.word_ids), np.arange(len(new) + 1))).tolist()
-            words.update(zip(new, [ids[a:b] for a, b in zip(cut[:-1], cut[1:])]))
-        self.chunks.update((c, words[p[0]] if len(p) == 1 else b"".join([words[w] for w in p])) for c, p in zip(chunks, parts))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list = [None] * len(texts)
-        if len(self.chunks) > self.cache:
-            self.chunks.clear()
-            self.words.clear()
-        plain, split = [], []
-        for i, t in enumerate(texts):
-            if self.odd.search(t):
-                out[i] = np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u2").tobytes()
-            else:
-                plain.append(i)
-                split.append(t.lower().split())
-        miss = set().union(*split).difference(self.chunks) if split else ()
-        if miss:
-            self._learn(list(miss))
-        get = self.chunks.__getitem__
-        for i, s in zip(plain, split):
-            out[i] = b"".join(map(get, s))
-        return out
-
-
 def best_fit(sizes: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bin of each item, its place there, fill of each bin); longest first, each into the fullest bin with room."""
     order = np.argsort(-sizes, kind="stable")
@@ -124,24 +68,39 @@ def best_fit(sizes: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.nd
     return which, place, np.array(fill, np.int64)
 
 
+def _some(column: pa.Array):
+    """(first row, texts) of stretches of a column."""
+    held, size, first = [], 0, 0
+    for i, t in enumerate(column):
+        t = t.as_py()
+        if held and (len(held) == TEXTS or size + len(t) > CHARACTERS):
+            yield first, held
+            held, size, first = [], 0, i
+        held.append(t)
+        size += len(t)
+    if held:
+        yield first, held
+
+
 def _pieces(path: str, length: int, end: int, batch: int):
+    kinds = (("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()))
+
     def run(batches):
-        coder, task, turn = Words(path), TaskContext.get().partitionId(), 0
+        code, task, turn = coder(path).encode, TaskContext.get().partitionId(), 0
         held: list = []
 
         def out():
-            sizes = np.array([h[3] for h in held])
-            which, place, fill = best_fit(sizes, length)
+            which, place, fill = best_fit(np.array([h[3] for h in held]), length)
             bins = (np.int64(task) << 32) + np.int64(turn) + which
-            return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], kind), *(pa.array([h[k] for h in held], t) for k, t in ((1, pa.int32()), (2, pa.int64()), (3, pa.int64()), (4, pa.int64()))), pa.array(bins), pa.array(place), pa.array(fill[which])], ["doc_id", "piece", "start", "length", "ids_crc32", "bin", "place", "fill"]), len(fill)
+            own = [pa.array([h[0] for h in held], kind), *(pa.array([h[k] for h in held], t) for k, (_, t) in enumerate(kinds, 1))]
+            return pa.RecordBatch.from_arrays([*own, pa.array(bins), pa.array(place), pa.array(fill[which])], ["doc_id", *(n for n, _ in kinds), "bin", "place", "fill"]), len(fill)
 
-        tail = np.array([end], "<u4").tobytes()
         for b in batches:
             kind = b.column(0).type
-            keys, texts = b.column(0).to_pylist(), b.column(1)
-            for i in range(0, len(keys), 400):
-                for key, ids in zip(keys[i : i + 400], coder.encode(texts.slice(i, 400).to_pylist())):
-                    wide = np.frombuffer(ids, "<u2").astype("<u4").tobytes() + tail
+            keys = b.column(0).to_pylist()
+            for i, texts in _some(b.column(1)):
+                for key, ids in zip(keys[i : i + len(texts)], code(texts)):
+                    wide = np.append(ids, end).astype("<u4").tobytes()
                     for k, a in enumerate(range(0, len(wide), 4 * length)):
                         own = wide[a : a + 4 * length]
                         held.append((key, k, a // 4, len(own) // 4, zlib.crc32(own)))
@@ -172,7 +131,8 @@ def _again(length: int, turn: int):
 def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end: int = 0, key: str = "doc_id", text: str = "text", batch: int = BATCH, group: int = GROUP) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    A document's ids are its text's, without special tokens, then ``end``.  Only documents longer than
+    Rounds end when one group is left, or when one after the fourth closes less than a tenth of the open bins:
+    what is packed by then is whole, only a little looser.  A document's ids are its text's, without special tokens, then ``end``.  Only documents longer than
     ``length`` are cut, into pieces of ``length``; sequences hold at most ``length`` ids and have no gaps.  A null
     text is empty: one piece with the end alone.  Null keys stay null; repeated rows are packed each;
     other columns are ignored; an empty table gives an empty result.

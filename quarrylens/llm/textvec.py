@@ -26,6 +26,18 @@ def _powers(n: int, base: int) -> np.ndarray:
 
 _POW = _powers(BLOCK + 1, _P)
 _INV = _powers(BLOCK + 1, pow(_P, -1, 1 << 64))
+
+
+def powers(n: int) -> np.ndarray:
+    """The weights of the first ``n`` places of a rolling hash; n is at most a block's size."""
+    return _POW[:n]
+
+
+def inverses(at: np.ndarray) -> np.ndarray:
+    """What takes a hash's sum back to its place."""
+    return _INV[at]
+
+
 #: One random 64-bit value for each byte value.
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylens.llm import logbilinear, media, mixing, packing, pii, quality, rules, setjoin, textvec, toxicity, warc
+from quarrylens.llm import logbilinear, media, mixing, packing, pii, quality, rules, setjoin, textvec, tokens, toxicity, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FOLD = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -359,15 +359,20 @@ def test_packing(spark, odd, odd_rows, empty):
     assert packing.pack(empty).collect() == []
 
 
-def test_cached_tokens_equal_the_library():
+def test_tokens_equal_the_library():
     from tokenizers import Tokenizer
 
-    coder, own = Tokenizer.from_file(packing.vocabulary()), packing.Words(packing.vocabulary(), cache=50)
+    coder, own = Tokenizer.from_file(packing.vocabulary()), tokens.Coder(packing.vocabulary(), slots=64)
     rng = random.Random(5)
-    texts = ["", "Don't STOP's we'll x1y22", "ÉCOLE déjà ñandú straße", "a b\u0085c", "İstanbul ΑΣ ς", "<|endoftext|> x", "tab\tnew\x0bline\x1cq", "“q” – … €5", "é combining", "中文 字", "😀 ok", "x" * 3000] + ["".join(rng.choice("abcÄß ’'12.,!$-\n\tÉÿ") for _ in range(80)) for _ in range(300)]
+    texts = ["", "Don't STOP's we'll x1y22", "a''s 's't 'st 're'x !'ll 1've '", "ÉCOLE déjà ñandú straße", "a b\u0085c", "İstanbul ΑΣ ς", "<|endoftext|> x", "tab\tnew\x0bline\x1cq", "“q” – … €5", "é combining", "中文 字", "😀 ok", "x" * 3000, "aaaaaaaa " * 40, "ab" * 31, "é" * 40, "7" * 70, "²½ªº"]
+    texts += ["".join(rng.choice("abcÄß ’'12.,!$-\n\tÉÿ") for _ in range(80)) for _ in range(300)] + [prose(rng, 60) for _ in range(30)]
     for i in range(0, len(texts), 20):
-        for t, b in zip(texts[i : i + 20], own.encode(texts[i : i + 20])):
-            assert np.frombuffer(b, "<u2").tolist() == coder.encode(t, add_special_tokens=False).ids, t
+        for t, ids in zip(texts[i : i + 20], own.encode(texts[i : i + 20])):
+            assert ids.tolist() == coder.encode(t, add_special_tokens=False).ids, t
+    long = ["w" * 1_500_000 + " x", " ".join(["le vent"] * 200_000), "end"]
+    assert [len(x) for x in own.encode(long)] == [len(coder.encode(t, add_special_tokens=False).ids) for t in long]
+    with pytest.raises(ValueError):
+        tokens.Coder(packing.vocabulary("byte_bpe_50k.json"))
 
 
 def test_best_fit_is_tight():
