@@ -18,13 +18,15 @@ from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .common import fold, fresh
-from .samples import PER_CLASS, Adam, fetch, labelled, score_column, scored, sigmoid
+from .samples import PER_CLASS, Adam, fetch, labelled, score_column, scored, sigmoid, spread
 
 WORDS = 64
 HASHED = 96
 CLASSES = 8
 WIDTH = CLASSES * CLASSES + HASHED + 3
 HIDDEN, GATE = 24, 12
+#: Passages of a document that are learned from at most, evenly spread over the whole text; all are scored.
+LEARNED = 128
 
 _CLASS = np.full(256, 6, np.uint8)
 _CLASS[97:123] = 0
@@ -53,6 +55,8 @@ def passages(column: pa.Array):
         body = _CLASS[data[a:b]].astype(np.int32)
         pair = body * CLASSES
         pair[:-1] += body[1:]
+        last = ends - 1 - a
+        pair[last] = body[last] * CLASSES + _CLASS[32]  # what follows a passage doesn't count
         index = np.repeat(s[first] - a - np.concatenate(([0], np.cumsum(span)[:-1])), span) + np.arange(int(span.sum()))
         which = np.repeat(np.arange(n, dtype=np.int32), span)
         x = np.zeros((n, WIDTH), np.float32)
@@ -163,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int
     def encode(column: pa.Array) -> list[bytes]:
         x, owner = _bags(column)
         at = np.searchsorted(owner, np.arange(len(column) + 1))
-        return [x[a:b].astype(np.float16).tobytes() for a, b in zip(at[:-1], at[1:])]
+        return [x[a + spread(b - a, LEARNED)].astype(np.float16).tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
     rows = fetch(labelled(docs, labels, label, modulus, remainder, key, text, per_class), encode)
     return train([(y, s, np.frombuffer(c, np.float16).reshape(-1, WIDTH).astype(np.float32)) for y, s, c in rows])
@@ -173,7 +177,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", m
     """One row per row of ``docs``: doc_id, held_out, score (0 to 1, higher: label 1 likelier), predicted (score >= 0.5).
 
     Only labels outside the fold crc32(key as text) mod ``modulus`` = ``remainder`` are learned from, at most
-    ``per_class`` rows of either class with texts up to ``samples.LONGEST`` characters; every text is scored whole.
+    ``samples.PER_CLASS`` keys of either class and ``LEARNED`` passages of each; every text is scored whole.
     Null and wordless texts are scored as one empty passage.  A null key counts as the empty text in the
     fold and stays null.  Repeated rows get equal scores; other columns are ignored; an empty table, or one
     without labels, gives an empty result or constant scores.
@@ -183,6 +187,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", m
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, columns unchanged, that score at least 0.5."""
+    """The rows of ``docs``, columns unchanged, that score at least 0.5; see ``quality_scores``.
+
+    Null and wordless texts score as one empty passage and stay or go all alike.  Repeated rows stay or go
+    together; extra columns, whatever their names, are kept; an empty table stays empty; without labels all rows stay.
+    """
     model, name = fit(docs, labels, key=key, text=text), fresh(docs, "score")
     return docs.withColumn(name, score_column(model.score, docs[text].cast("string"))).where(F.col(name) >= 0.5).drop(name)

@@ -11,28 +11,34 @@ from pyspark.sql import functions as F
 
 from .common import fold
 
-#: Labelled rows of each class that a classifier learns from at most, and the longest text among them in characters.
-PER_CLASS, LONGEST = 1500, 100_000
+#: Labelled rows of each class that a classifier learns from at most.
+PER_CLASS = 1500
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int, key: str = "doc_id", text: str = "text", per_class: int = PER_CLASS, longest: int = LONGEST) -> DataFrame:
-    """(label, share, text) of at most ``per_class`` labelled rows of either class, never of the held-out fold.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int, key: str = "doc_id", text: str = "text", per_class: int = PER_CLASS) -> DataFrame:
+    """(label, share, text) of at most ``per_class`` labelled keys of either class, never of the held-out fold.
 
-    Rows are taken in the order of a hash of their key, so reruns agree.  ``share`` is the class's part of
-    all labelled rows outside the fold.  The sample is broadcast: its size has the bound 2 * per_class.
-    Null labels count as unlabelled; a key labelled twice has the larger label.
+    Keys that ``docs`` has are taken in the order of their hash, so reruns agree; texts are whole.  ``share`` is
+    the class's part of all such keys.  The chosen keys are broadcast: they are 2 * per_class at most.  Null
+    labels count as unlabelled; a key labelled twice has the larger label; a key that ``docs`` has
+    several times gives its smallest text, so the sample has one row a key.
     """
     known = labels.where(~fold(labels, modulus, remainder, key)).select(labels[key].alias("key"), labels[label].cast("int").alias("label")).where("label in (0, 1) and key is not null")
-    known = known.groupBy("key").agg(F.max("label").alias("label"))
+    own = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"))
+    known = known.groupBy("key").agg(F.max("label").alias("label")).join(own.where("text is not null").select("key"), "key", "left_semi")
     count = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     total = max(1, sum(count.values()))
     order = (F.xxhash64("key"), F.col("key"))
     chosen = None
     for c in (0, 1):
-        own = known.where(F.col("label") == c).orderBy(*order).limit(per_class).withColumn("share", F.lit(count.get(c, 0) / total))
-        chosen = own if chosen is None else chosen.union(own)
-    own = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text")).where(F.length("text") <= longest)
-    return own.join(F.broadcast(chosen), "key").select("label", "share", "text")
+        some = known.where(F.col("label") == c).orderBy(*order).limit(per_class).withColumn("share", F.lit(count.get(c, 0) / total))
+        chosen = some if chosen is None else chosen.union(some)
+    return own.where("text is not null").join(F.broadcast(chosen), "key").groupBy("key", "label", "share").agg(F.min("text").alias("text")).select("label", "share", "text")
+
+
+def spread(n: int, most: int) -> np.ndarray:
+    """At most ``most`` of n places, evenly spread, in order."""
+    return np.arange(n) if n <= most else (np.arange(most) * n) // most
 
 
 def fetch(sample: DataFrame, encode: Callable[[pa.Array], list[bytes]]) -> list[tuple[int, float, bytes]]:

@@ -21,12 +21,14 @@ from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .common import fold, fresh
-from .samples import PER_CLASS, Adam, fetch, labelled, score_column, scored, sigmoid
+from .samples import PER_CLASS, Adam, fetch, labelled, score_column, scored, sigmoid, spread
 
 SLOTS = 1 << 22
 DIM, FILTERS, SPANS = 12, 10, (1, 2, 3)
 PAD = 2
 THRESHOLD = 0.3
+#: Words of a stretch, and stretches of a document that are learned from at most, evenly spread over the whole text; all words are scored.
+STRETCH, LEARNED = 256, 32
 #: Function words that tell a text's language.
 LANGUAGES = {
     "en": "the of and to in is that it was for with",
@@ -220,12 +222,20 @@ def _calibrate(model: Model, texts: list, y: np.ndarray, weight: np.ndarray, hel
         model.threshold[k] = best(own) if y[own].sum() >= 20 and (1 - y[own]).sum() >= 20 else common
 
 
+def _stretches(h: np.ndarray) -> np.ndarray:
+    """A text's word hashes, or those of evenly spread stretches of a long one."""
+    n = -(-len(h) // STRETCH)
+    if n <= LEARNED:
+        return h
+    return np.concatenate([h[k * STRETCH : (k + 1) * STRETCH] for k in spread(n, LEARNED).tolist()])
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 4, remainder: int = 2, key: str = "doc_id", text: str = "text", per_class: int = PER_CLASS) -> Model:
     def encode(column: pa.Array) -> list[bytes]:
         h, at = hashed(column)
-        return [h[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
+        return [_stretches(h[a:b]).tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
-    rows = fetch(labelled(docs, labels, label, modulus, remainder, key, text, per_class, longest=30_000), encode)
+    rows = fetch(labelled(docs, labels, label, modulus, remainder, key, text, per_class), encode)
     return train([(y, s, np.frombuffer(c, np.uint64)) for y, s, c in rows])
 
 
@@ -233,7 +243,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", mo
     """One row per row of ``docs``: doc_id, held_out, score (0 to 1, higher: label 1 likelier), predicted (score >= 0.3).
 
     Only labels outside the fold crc32(key as text) mod ``modulus`` = ``remainder`` are learned from, at most
-    ``per_class`` rows of either class with texts up to 30,000 characters; every text is scored whole.  Null and
+    ``samples.PER_CLASS`` keys of either class and ``LEARNED`` stretches of each; every text is scored whole.  Null and
     wordless texts are scored as one pad.  A null key counts as the empty text in the fold and stays
     null.  Repeated rows get equal scores; other columns are ignored; an empty table, or one without
     labels, gives an empty result or constant scores.
@@ -243,6 +253,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", mo
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, columns unchanged, that score below the threshold."""
+    """The rows of ``docs``, columns unchanged, that score below the threshold; see ``toxicity_scores``.
+
+    Null and wordless texts score as one pad and stay or go all alike.  Repeated rows stay or go together;
+    extra columns, whatever their names, are kept; an empty table stays empty.
+    """
     model, name = fit(docs, labels, key=key, text=text), fresh(docs, "score")
     return docs.withColumn(name, score_column(model.score, docs[text].cast("string"))).where(F.col(name) < THRESHOLD).drop(name)

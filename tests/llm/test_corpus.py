@@ -126,6 +126,84 @@ def test_near_copies_of_a_group(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, _, c in brute_components(rows, 4, 85)})
 
 
+def test_near_copies_under_one_template(spark, monkeypatch):
+    """A template with a little text of its own in every copy: one candidate cluster of many sizes, dealt into bins and blocks; its shingles are frequent."""
+    rng = random.Random(21)
+    frame = prose(rng, 80).split()
+    rows = []
+    for i in range(400):
+        w = list(frame[: rng.choice([40, 60, 80])])
+        own = [f"item{rng.randrange(40)}" for _ in range(rng.randint(0, 6))]
+        rows.append((i, " ".join(w[:20] + own + w[20:] + prose(random.Random(i % 25), rng.choice([0, 3, 8])).split())))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    want = brute_components(rows, 4, 85)
+    got = setjoin.near_copies(docs, block=8).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == want
+    w = words(rows[0][1])
+    often = np.unique(np.concatenate(list(setjoin._sets(pa.array([" ".join(w[:20]), " ".join(frame[20:40])]), 4))))
+    monkeypatch.setattr(setjoin, "frequent", lambda *a, **k: often)
+    got = setjoin.near_copies(docs).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == want
+
+
+def test_frequent_shingles_are_found_by_counting_some(spark):
+    common = "one two three four five six"
+    docs = spark.createDataFrame([(f"{common} a{i} b{i} c{i} d{i} e{i}",) for i in range(4000)], "text string")
+    often = setjoin.frequent(docs, 32_000, least=1000)
+    want = np.unique(np.concatenate(list(setjoin._sets(pa.array([common]), 4))))
+    assert set(often.tolist()) == set(want.tolist())
+    assert not len(setjoin.frequent(docs, 500, least=1000))
+
+
+def test_components_of_paths_stars_and_hubs(spark, monkeypatch):
+    from quarrylens.llm import common
+    from quarrylens.llm.components import components
+
+    rng = random.Random(2)
+    edges = [(i, i + 1) for i in range(0, 300)] + [(1000, 1001 + i) for i in range(500)] + [(5000 + i, 4000) for i in range(500)] + [(7, 7), (1003, 1004), (1003, 1004)]
+    edges += [(9000 + rng.randrange(400), 9000 + rng.randrange(400)) for _ in range(150)]
+    parent = {v: v for e in edges for v in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    loops = {v for v in parent if all(a == b for a, b in edges if v in (a, b))}
+    want = sorted((v, find(v)) for v in parent if v not in loops)
+    df = spark.createDataFrame(edges, "u long, v long").repartition(5)
+    assert sorted(map(tuple, components(df).collect())) == want
+    monkeypatch.setattr(common, "LIGHT", 20)
+    monkeypatch.setattr(common, "HEAVY", 10**9)
+    assert sorted(map(tuple, components(df).collect())) == want
+    with pytest.raises(RuntimeError):
+        components(df, rounds=1)
+    assert components(df.limit(0)).collect() == []
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    from quarrylens.llm import common
+
+    class Fake:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(RuntimeError):
+        common.scratch(Fake)
+    n = common.written()
+    df = common.materialize(spark.range(3), "test")
+    assert df.count() == 3 and common.written() == n + 1
+    common.discard(spark, n)
+    assert common.written() == n
+
+
 def test_near_copies_of_nothing(spark, empty, odd):
     assert setjoin.near_copies(empty).collect() == []
     assert setjoin.keep_one(empty).collect() == []
@@ -182,6 +260,98 @@ def test_toxicity_learns(spark, marked, odd, empty):
     assert toxicity.drop_toxic(odd, labels).columns == odd.columns
 
 
+def plain_quality(model, text):
+    """The score of one text by the definition, passage by passage."""
+    raw, p = (text or "").encode(), {k: v.astype(float) for k, v in model.p.items()}
+    spans = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    bag = []
+    for k in range(0, len(spans), quality.WORDS):
+        own = spans[k : k + quality.WORDS]
+        body = raw[own[0][0] : spans[k + quality.WORDS][0] if k + quality.WORDS < len(spans) else len(raw)]
+        x, classes = np.zeros(quality.WIDTH), [int(quality._CLASS[c]) for c in body] + [3]
+        for a, b in zip(classes, classes[1:]):
+            x[a * quality.CLASSES + b] += 1 / len(body)
+        hashes = [int(textvec.words(*textvec.raw(pa.array([raw[a:b].decode()])))[0][0]) for a, b in own]
+        for h in hashes:
+            x[quality.CLASSES**2 + (h >> 40) % quality.HASHED] += 1 / len(own)
+        x = np.sqrt(x)
+        x[-3:] = len(set(hashes)) / len(own), math.log1p(len(own)) / 4, math.log1p(len(body) / len(own)) / 3
+        bag.append(x)
+    bag = bag or [np.zeros(quality.WIDTH)]
+    h = [np.tanh(x @ p["W"] + p["b"]) for x in bag]
+    e = [float((np.tanh(v @ p["V"]) / (1 + np.exp(-(v @ p["U"])))) @ p["w"]) for v in h]
+    a = np.exp(np.array(e) - max(e))
+    z = sum(w * v for w, v in zip(a / a.sum(), h))
+    return float(1 / (1 + np.exp(-(z @ p["c"] + p["d"][0]))))
+
+
+def test_quality_against_brute_force(spark, marked, odd_rows):
+    model = quality.fit(marked[0], marked[1])
+    texts = [r[1] for r in odd_rows if r[1] is None or len(r[1]) < 20_000] + [r["text"] for r in marked[0].limit(20).collect()]
+    for column in (texts, texts[::-1]):
+        assert np.allclose(model.score(pa.array(column)), [plain_quality(model, t) for t in column], atol=1e-4)
+
+
+def test_long_and_repeated_labelled_rows_are_learned_from_once(spark):
+    from quarrylens.llm import samples
+
+    docs = spark.createDataFrame([(i, f"text {i} " + "x " * (300_000 if i == 5 else 3)) for i in range(30)] * 3, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)] + [(5, 0, 1)], "doc_id long, quality int, toxic int")
+    got = samples.labelled(docs, labels, "quality", 3, 1, per_class=8).collect()
+    fold = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    keys = [int(r["text"].split()[1]) for r in got]
+    assert len(keys) == len(set(keys)) == 16 and not any(map(fold, keys)) and all(r["label"] == k % 2 for r, k in zip(got, keys))
+    every = samples.labelled(docs, labels, "quality", 3, 1).collect()
+    assert sorted(int(r["text"].split()[1]) for r in every) == [i for i in range(30) if not fold(i)]
+    assert max(len(r["text"]) for r in every) > 500_000 or fold(5)
+    assert samples.spread(1000, 10).tolist() == list(range(0, 1000, 100)) and len(toxicity._stretches(np.arange(10**6))) == 8192
+    assert quality.fit(docs, labels) and toxicity.fit(docs, labels)
+
+
+def plain_toxicity(model, text):
+    """The score of one text by the definition, window by window."""
+    raw = (text or "").encode()
+    found = [raw[a:b].lower() for a, b in (m.span() for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+", raw))]
+    e = model.p["E"].astype(float).copy()
+    e[0] = 0
+    rows = [int(model.rows(toxicity.hashed(pa.array([w], pa.binary()).cast(pa.string()))[0])[0]) for w in found] or [0]
+    rows += [0, 0]
+    out = float(model.p["d"][0])
+    for k, w in enumerate(toxicity.SPANS):
+        filters = model.p[f"F{w}"].astype(float)
+        top = np.max([np.concatenate([e[r] for r in rows[i : i + w]]) @ filters for i in range(len(rows) - 2)], axis=0) + model.p[f"b{w}"]
+        out += float(np.maximum(top, 0) @ model.p["c"][k * toxicity.FILTERS : (k + 1) * toxicity.FILTERS])
+    counts = [sum(w.decode() in names.split() for w in found) for names in toxicity.LANGUAGES.values()]
+    t = model.threshold[counts.index(max(counts)) if max(counts) else len(counts)]
+    return 1 / (1 + math.exp(-(out - math.log(t / (1 - t)) + math.log(0.3 / 0.7))))
+
+
+def test_toxicity_against_brute_force(spark, marked, odd_rows):
+    model = toxicity.fit(marked[0], marked[1])
+    model.threshold[:] = [0.2, 0.3, 0.4, 0.5, 0.6]
+    texts = [r[1] for r in odd_rows if r[1] is None or len(r[1]) < 20_000] + [r["text"] for r in marked[0].limit(20).collect()] + ["the der le el the", "der und", "la les", "el los"]
+    assert np.allclose(model.score(pa.array(texts)), [plain_toxicity(model, t) for t in texts], atol=1e-4)
+
+
+def test_convolution_sees_what_single_words_do_not(monkeypatch):
+    """The same four words in both classes, only their pairing differs: filters over one word alone do no better than chance."""
+    rng = random.Random(3)
+
+    def text(bad):
+        w = [f"w{rng.randrange(300)}" for _ in range(rng.randint(20, 60))]
+        return " ".join([*w, *("hate you" if bad else "hate them").split(), *w[:9], *("love them" if bad else "love you").split(), *w[:5]])
+
+    rows = [(i % 2, text(i % 2)) for i in range(1200)]
+    h, at = toxicity.hashed(pa.array([t for _, t in rows]))
+    coded = [(y, 0.5, h[a:b]) for (y, _), a, b in zip(rows, at[:-1], at[1:])]
+    right = {}
+    for spans in ((1, 2, 3), (1,)):
+        monkeypatch.setattr(toxicity, "SPANS", spans)
+        s = toxicity.train(coded[:900]).score(pa.array([t for _, t in rows[900:]]))
+        right[spans] = np.mean((s >= 0.3) == [y == 1 for y, _ in rows[900:]])
+    assert right[1, 2, 3] > 0.95 and right[1,] < 0.7
+
+
 def test_language_model_base_score_and_normalisation(spark, odd, odd_rows, empty):
     got = logbilinear.lm_scores(odd).collect()
     held = lambda k: zlib.crc32(("" if k is None else str(k)).encode()) % 7 == 2
