@@ -57,6 +57,8 @@ def water_fill(sources: DataFrame, budget: float, epochs: float, weights: tuple
         if new <= level * (1 + 1e-15):
             break
         level = new
+    else:
+        raise RuntimeError("water-filling didn't settle")
     return table.select("source", "source_size", "rows", F.least("cap", F.col("weight") * F.lit(level)).alias("target"))
 
 

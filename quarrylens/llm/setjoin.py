@@ -6,14 +6,18 @@ Two sets x and y with |x ∩ y| >= 0.85 |x ∪ y| share at least T = ceil(0.85 m
 2. The shingles go to buckets of the hash space, packed as binary rows of seven bytes a shingle.  In a
    bucket the inverted lists are formed; lists of one class can never matter and go (most of all
    shingles).  What is left returns to its class, packed again, with the list's length.
+   Shingles of very many documents are known beforehand from a count over a few of them.  Their lists, the
+   longest, are never formed: they go straight to their classes.  Which way a list goes changes no result.
 3. A class that keeps fewer than T shingles has no partner.  For the others the T - 1 longest lists are
    the "long" ones of DivideSkip, so a partner must turn up in one of the remaining short lists (whose
    single-class members are gone already).  The short lists are linked as stars, not as pairs.
-4. The components of those stars are the candidate clusters.  They, or square blocks of the large ones,
-   are searched exactly: short lists merged, long ones probed, see ``t_occurrence_links``.
+4. The components of those stars are the candidate clusters.  Small ones are searched whole.  A large one is
+   dealt by size into bins so wide that linked sets are at most one bin apart, and a bin into blocks; blocks
+   meet only inside a bin and with the next bin's.  See ``t_occurrence_links`` for the search, which is exact.
 5. Verified links form the components.
 
 No step emits the pairs of a group; a group of n copies costs n rows, and n near copies cost blocks.
+Frequent keys (a class of very many copies, a hub, a large cluster) are looked up in a broadcast of bounded size.
 """
 
 from __future__ import annotations
@@ -27,16 +31,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import fresh, materialize
+from .common import WORD, discard, fresh, lookup, materialize, parts, written
 from .components import components
 
 #: Bits of a shingle's hash that travel; the bucket isn't derived from others.
 BITS = 56
 LOW = np.uint64((1 << BITS) - 1)
 #: Shingles in a bucket, sets in a block, on average.
-BUCKET, BLOCK = 4_000_000, 1024
+BUCKET, BLOCK = 3_000_000, 1024
 #: Shingles that a map task gathers before it packs them.
-FLUSH = 2_500_000
+FLUSH = 2_000_000
+#: Shingles that are counted at most to find the frequent ones, how often one of those occurs there at least, and in all.
+COUNTED, TIMES, FREQUENT = 32_000_000, 16, 20_000
+#: The level of a frequent shingle, above that of any list.
+TOP = 255
 
 
 def fingerprint(own: np.ndarray) -> int:
@@ -47,14 +55,16 @@ def fingerprint(own: np.ndarray) -> int:
     return int(h.astype(np.int64)[0])
 
 
-def _sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
-    word, at = tv.words(*tv.raw(column))
-    for own in tv.shingles(word, at, size):
-        own &= LOW
-        if len(own) > 1:
-            own.sort()
-            own = own[np.concatenate(([True], own[1:] != own[:-1]))]
-        yield own
+def _sets(column: pa.Array, size: int, some: int = 500) -> Iterator[np.ndarray]:
+    """The set of each text, for ``some`` texts at a time."""
+    for i in range(0, len(column), some):
+        word, at = tv.words(*tv.raw(column.slice(i, some)))
+        for own in tv.shingles(word, at, size):
+            own &= LOW
+            if len(own) > 1:
+                own.sort()
+                own = own[np.concatenate(([True], own[1:] != own[:-1]))]
+            yield own
 
 
 def _pack7(x: np.ndarray) -> bytes:
@@ -126,15 +136,51 @@ def _size_of(size: int):
     return run
 
 
-def _index(size: int, buckets: int):
+def _tally(size: int):
+    """(shingle, n) of a task's sets; equal ones count once in a batch."""
+
+    def run(batches):
+        for batch in batches:
+            held = {fingerprint(own): own for own in _sets(batch.column(0), size) if len(own)}
+            if held:
+                shingle, n = np.unique(np.concatenate(list(held.values())), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(shingle.astype(np.int64)), pa.array(n)], ["shingle", "n"])
+
+    return run
+
+
+def frequent(docs: DataFrame, total: int, text: str = "text", size: int = 4, counted: int = COUNTED, least: int = FREQUENT) -> np.ndarray:
+    """Shingles that are in more than about ``least`` sets, from a count over some texts; at most ``counted`` / TIMES, in order."""
+    rate = max(16, total // counted)
+    if total < least:
+        return np.zeros(0, np.uint64)
+    some = docs.select(docs[text].cast("string").alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(rate)) == 0)
+    n = some.mapInArrow(_tally(size), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    rows = n.where(F.col("n") >= max(TIMES, least // rate)).select("shingle").toArrow()
+    return np.sort(rows.column(0).to_numpy().astype(np.uint64))
+
+
+def _among(x: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are in the ordered ``names``."""
+    if not len(names):
+        return np.zeros(len(x), bool)
+    return names[np.minimum(np.searchsorted(names, x), len(names) - 1)] == x
+
+
+def _index(size: int, buckets: int, often):
+    """Packed shingles of all distinct sets; the frequent ones go to further buckets, by class."""
+
     def run(batches):
         keys, sizes, sets, held = [], [], [], 0
 
         def flush():
-            tokens = np.concatenate(sets)
+            tokens, key, counts = np.concatenate(sets), np.array(keys, np.int64), np.array(sizes, np.int64)
             bucket = (tv.mix(tokens) % np.uint64(buckets)).astype(np.int32)
-            counts = np.array(sizes, np.int64)
-            return _out(list(_spread(np.array(keys, np.int64), counts, counts, tokens, None, bucket)))
+            many = _among(tokens, often.value)
+            if many.any():
+                own = np.repeat((tv.mix(key.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32), counts)
+                bucket[many] = buckets + own[many]
+            return _out(list(_spread(key, counts, counts, tokens, None, bucket)))
 
         for batch in batches:
             seen = set(keys)
@@ -156,20 +202,31 @@ def _index(size: int, buckets: int):
 
 def _level(n: np.ndarray) -> np.ndarray:
     """A list's length as a byte that grows with it."""
-    return np.minimum(255, 6 * np.log2(n)).astype(np.uint8)
+    return np.minimum(TOP - 1, 6 * np.log2(n)).astype(np.uint8)
+
 
+def _back(key: np.ndarray, size: np.ndarray, token: np.ndarray, level: np.ndarray, buckets: int) -> pa.Table:
+    """Tokens returned to their classes' buckets, with their lists' levels."""
+    order = np.argsort(key, kind="stable")
+    token, key, size, level = token[order], key[order], size[order], level[order]
+    own, at, counts = np.unique(key, return_index=True, return_counts=True)
+    bucket = np.repeat((tv.mix(own.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32), counts)
+    return _table(list(_spread(own, size[at], counts, token, level, bucket)))
 
-def _lists(back: int):
-    """In one bucket: inverted lists of two classes or more, sent back to their classes."""
+
+def _lists(buckets: int):
+    """In one bucket: inverted lists of two classes or more, sent back to their classes; frequent shingles as they are."""
 
     def run(table: pa.Table) -> pa.Table:
+        passing = table.column("bucket")[0].as_py() >= buckets
         keys, sizes, doc, tokens = _gather((p.as_py() for p in table.column("payload")), 4)
         order = np.argsort(tokens).astype(np.int32)
         t = tokens[order]
         del tokens
-        new = np.concatenate(([True], t[1:] != t[:-1])) if len(t) else np.zeros(0, bool)
-        many = ~(new & np.append(new[1:], True)) if len(t) else new
-        order, t = order[many], t[many]
+        if not passing and len(t):
+            new = np.concatenate(([True], t[1:] != t[:-1]))
+            many = ~(new & np.append(new[1:], True))
+            order, t = order[many], t[many]
         key = keys[doc[order]]
         size = sizes[doc[order]]
         order = np.lexsort((key, t))  # a class that several tasks have seen counts once
@@ -177,20 +234,15 @@ def _lists(back: int):
         once = np.ones(len(t), bool)
         once[1:] = (t[1:] != t[:-1]) | (key[1:] != key[:-1])
         t, key, size = t[once], key[once], size[once]
+        if passing:
+            return _back(key, size, t, np.full(len(t), TOP, np.uint8), buckets)
         if not len(t):
             return _table([])
         first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
         n = np.diff(np.append(first, len(t)))
         n = np.repeat(n, n)
         keep = n > 1
-        t, key, size, level = t[keep], key[keep], size[keep], _level(n[keep])
-        if not len(t):
-            return _table([])
-        order = np.argsort(key, kind="stable")
-        t, key, size, level = t[order], key[order], size[order], level[order]
-        own, at, counts = np.unique(key, return_index=True, return_counts=True)
-        bucket = np.repeat((tv.mix(own.astype(np.uint64)) % np.uint64(back)).astype(np.int32), counts)
-        return _table(list(_spread(own, size[at], counts, t, level, bucket)))
+        return _back(key[keep], size[keep], t[keep], _level(n[keep]), buckets)
 
     return run
 
@@ -223,9 +275,11 @@ def _edges(x: np.ndarray) -> Iterator[tuple[int, int]]:
     yield from zip(edge[:-1], edge[1:])
 
 
-def t_occurrence_links(sizes: list[int], sets: list[np.ndarray], percent: int = 85, mu: float = 0.01) -> list[tuple[int, int]]:
+def t_occurrence_links(sizes: list[int], sets: list[np.ndarray], percent: int = 85, mu: float = 0.01, sides: list[int] | None = None) -> list[tuple[int, int]]:
     """Links of a spanning forest among ``sets``: sorted arrays of the shingles that occur elsewhere, with the whole sets' ``sizes``.
 
+    With ``sides``, only links between sets of different sides are looked for.
+
     DivideSkip.  Sets come in order of size and each queries the lists of those before it.  Of its lists
     the L longest are set aside, L = T / (mu log2 M + 1) as the method proposes; the others are merged
     (they are sorted runs, so a stable sort of their concatenation is the multi-way merge) and ids that
@@ -243,6 +297,7 @@ def t_occurrence_links(sizes: list[int], sets: list[np.ndarray], percent: int =
     ends = np.append(first[1:], len(token))
     name = token[first] if len(token) else token
     size = np.array([sizes[i] for i in order], np.int64)
+    side = np.array([sides[i] for i in order]) if sides is not None else np.arange(n)
     root = np.arange(n)
     out = []
     for q in range(n):
@@ -264,7 +319,7 @@ def t_occurrence_links(sizes: list[int], sets: list[np.ndarray], percent: int =
         merged = np.sort(np.concatenate([lists[a:b] for a, b in zip(lo[short].tolist(), hi[short].tolist())]), kind="stable")
         edge = np.flatnonzero(np.concatenate(([True], merged[1:] != merged[:-1])))
         ids, seen = merged[edge], np.diff(np.append(edge, len(merged)))
-        good = (seen >= need - skip) & (100 * size[ids] >= percent * size[q])
+        good = (seen >= need - skip) & (100 * size[ids] >= percent * size[q]) & (side[ids] != side[q])
         ids, seen = ids[good], seen[good]
         for k, f in enumerate(far.tolist()):
             if not len(ids):
@@ -297,9 +352,9 @@ def _before(lists: np.ndarray, lo: np.ndarray, hi: np.ndarray, q: int) -> np.nda
 
 def _search(percent: int):
     def run(table: pa.Table) -> pa.Table:
-        keys = table.column("class").to_pylist()
+        keys, side = table.column("class").to_pylist(), table.column("side").to_pylist()
         sets = [np.frombuffer(b, "<u8") for b in table.column("shingles").to_pylist()]
-        links = t_occurrence_links(table.column("size").to_pylist(), sets, percent)
+        links = t_occurrence_links(table.column("size").to_pylist(), sets, percent, sides=side if len(set(side)) > 1 else None)
         return pa.table({"u": pa.array([keys[a] for a, _ in links], pa.int64()), "v": pa.array([keys[b] for _, b in links], pa.int64())})
 
     return run
@@ -310,42 +365,65 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     return docs.select(docs[key].alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(_size_of(size), f"doc_id {docs.schema[key].dataType.simpleString()}, n_shingles long, class long")
 
 
-def similar_classes(docs: DataFrame, found: DataFrame, text: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
-    """(vertex, root): classes of ``docs`` that links connect.  ``found``: their ``classes``, which are only summed here."""
-    total = found.agg(F.sum("n_shingles")).first()[0] or 0
+def _cells(cluster: DataFrame, percent: int, block: int) -> DataFrame:
+    """(root, bin, n, all, here, below, above): how many sets a cluster has in a bin of sizes and in all, and the blocks of the bin and of its neighbours."""
+    n = cluster.groupBy("root", "bin").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("root").orderBy("bin")  # a root has as many bins as sizes have powers of 100 / percent
+    blocks = F.ceil(F.col("n") / block).cast("long")
+    n = n.withColumn("here", blocks).withColumn("all", F.sum("n").over(Window.partitionBy("root")))
+    near = lambda f, step: F.when(f("bin").over(order) == F.col("bin") + step, f("here").over(order)).otherwise(F.lit(0).cast("long"))
+    return n.withColumn("below", near(F.lag, -1)).withColumn("above", near(F.lead, 1))
+
+
+def _dealt(members: DataFrame, cells: DataFrame, total: int, small: int, block: int) -> DataFrame:
+    """``members`` in each block pair that they must be searched in: block, side, class, size, shingles."""
+    each = lookup(members, cells, ["root", "bin"], total)
+    own = F.floor(F.xxhash64("class").bitwiseAND(F.lit((1 << 62) - 1)) % F.col("here"))
+    upto = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).otherwise(F.array().cast("array<long>"))
+    cell = lambda bin_, i, step, j, side: F.struct(F.xxhash64(F.col("root"), bin_, i, F.lit(step), j).bitwiseOR(F.lit(1 << 62)).alias("block"), side.cast("long").alias("side"))
+    mine = F.col("own")
+    inside = F.transform(upto("here"), lambda k: cell(F.col("bin"), F.least(k, mine), 0, F.greatest(k, mine), k > mine))
+    higher = F.transform(upto("above"), lambda k: cell(F.col("bin"), mine, 1, k, F.lit(0)))
+    lower = F.transform(upto("below"), lambda k: cell(F.col("bin") - 1, k, 1, mine, F.lit(1)))
+    whole = F.array(F.struct(F.pmod(F.xxhash64("root"), F.lit(small)).alias("block"), F.lit(0).cast("long").alias("side")))
+    where = F.when(F.col("all") <= block, whole).otherwise(F.concat(inside, higher, lower))
+    return each.withColumn("own", own).withColumn("cell", F.explode(where)).select("cell.block", "cell.side", "class", "size", "shingles")
+
+
+def similar_classes(docs: DataFrame, total: int, text: str = "text", size: int = 4, percent: int = 85, block: int = BLOCK) -> DataFrame:
+    """(vertex, root): classes of ``docs`` that links connect.  ``total``: shingles of all sets."""
+    spark = docs.sparkSession
     buckets = max(1, -(-total // BUCKET))
-    packed = docs.select(docs[text].cast("string").alias("text")).mapInArrow(_index(size, buckets), "bucket int, payload binary")
-    lists = packed.groupBy("bucket").applyInArrow(_lists(buckets), "bucket int, payload binary")
-    kept = materialize(lists.groupBy("bucket").applyInArrow(_survivors(percent), "class long, size long, short array<long>, shingles binary"), "survivors")
+    often = spark.sparkContext.broadcast(frequent(docs, total, text, size))
+    packed = docs.select(docs[text].cast("string").alias("text")).mapInArrow(_index(size, buckets, often), "bucket int, payload binary")
+    lists = packed.repartition(2 * buckets, "bucket").groupBy("bucket").applyInArrow(_lists(buckets), "bucket int, payload binary")
+    kept = materialize(lists.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_survivors(percent), "class long, size long, short array<long>, shingles binary"), "survivors")
     entry = kept.select("class", F.explode("short").alias("shingle"))
-    hub = entry.groupBy("shingle").agg(F.min("class").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    star = entry.join(hub, "shingle").where("class <> hub").select(F.col("class").alias("u"), F.col("hub").alias("v"))
-    cluster = components(star, "candidates")
-    members = cluster.join(kept.drop("short"), cluster["vertex"] == kept["class"]).select("root", "class", "size", "shingles")
-    count = cluster.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    many = members.join(count, "root")
-    spread = F.floor(F.xxhash64("class").bitwiseAND(F.lit((1 << 62) - 1)) % F.col("blocks"))
-    pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
-    small = max(1, total // (400 * BLOCK))
-    blocks = (
-        many.withColumn("own", spread)
-        .withColumn("pair", F.explode(pair))
-        .withColumn("block", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(small))).otherwise(F.xxhash64("root", "pair.i", "pair.j").bitwiseOR(F.lit(1 << 62))))
-    )
-    links = blocks.select("block", "class", "size", "shingles").groupBy("block").applyInArrow(_search(percent), "u long, v long")
+    hub = materialize(entry.groupBy("shingle").agg(F.min("class").alias("hub"), F.count("*").alias("n")).where("n > 1"), "hubs")
+    star = lookup(entry, hub, "shingle", hub.agg(F.sum("n")).first()[0] or 0).where("class <> hub").select(F.col("class").alias("u"), F.col("hub").alias("v"))
+    step = 1.0001 * math.log(100 / percent)  # a little wider, so that rounding can't part linked sets
+    cluster = components(star, "candidates").join(kept.select("class", "size"), F.col("vertex") == F.col("class"))
+    cluster = materialize(cluster.select("class", "root", F.floor(F.log(F.col("size")) / step).cast("long").alias("bin")), "clusters")
+    members = kept.drop("short").join(cluster, "class")
+    n = cluster.count()
+    blocks = _dealt(members, materialize(_cells(cluster, percent, block), "cells"), n, max(1, total // (400 * BLOCK)), block)
+    tasks = min(20_000, max(parts(spark), n // (2 * block)))
+    links = blocks.repartition(tasks, "block").groupBy("block").applyInArrow(_search(percent), "u long, v long")
     return components(materialize(links, "links"), "groups")
 
 
-def _grouped(docs: DataFrame, key: str, text: str, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The ``classes`` of all rows, and (class, root, low) of the distinct sets: component and smallest key."""
+def _grouped(docs: DataFrame, key: str, text: str, size: int, percent: int, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """The ``classes`` of all rows, and (class, root, low, n) of the distinct sets: component, smallest key and number of rows."""
+    begin = written()
     found = materialize(classes(docs, key, text, size), "classes")
-    roots = similar_classes(docs, found, text, size, percent)
-    own = found.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("low"))
-    named = own.join(roots, own["class"] == roots["vertex"], "left").select("class", F.coalesce("root", "class").alias("root"), "low")
-    return found, materialize(named, "named")
+    own = materialize(found.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"), F.max("n_shingles").alias("size")), "sets")
+    roots = similar_classes(docs, own.agg(F.sum("size")).first()[0] or 0, text, size, percent, block)
+    named = materialize(own.join(roots, own["class"] == roots["vertex"], "left").select("class", F.coalesce("root", "class").alias("root"), "low", "n"), "named")
+    discard(docs.sparkSession, begin + 1, 1)
+    return found, named
 
 
-def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
+def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85, block: int = BLOCK) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
     Words are runs without ASCII white space, A-Z folded.  A set holds the distinct ``size``-word
@@ -356,10 +434,14 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     other columns, whatever their names, are ignored; an empty table gives an empty result.
     Shingles are told apart by 56 bits of their hash, classes by 64.
     """
-    found, named = _grouped(docs, key, text, size, percent)
-    least = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = named.join(least, "root").select("class", "component_id")
-    return found.join(named, "class", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    found, named = _grouped(docs, key, text, size, percent, block)
+    sums = named.agg(F.count("*"), F.sum("n")).first()
+    least = materialize(named.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n")), "least")
+    named = materialize(lookup(named.withColumnRenamed("n", "rows"), least, "root", sums[0]).select("class", "component_id", F.col("rows").alias("n")), "answers")
+    some = lookup(found.where("n_shingles > 0"), named, "class", sums[1] or 0)
+    none = found.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
+    columns = ["doc_id", "n_shingles", "component_id"]
+    return some.select(*columns).union(none.select(*columns))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -370,14 +452,12 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     """
     _, named = _grouped(docs, key, text, size, percent)
     least = F.min(F.struct(F.col("low").isNull().alias("none"), "low", "class")).alias("first")
-    kept = named.groupBy("root").agg(least).select(F.xxhash64("first.low").alias("kept_key"), F.col("first.class").alias("kept_class"), F.lit(True).alias("kept"))
-    own, row, at, hit = fresh(docs, "class"), fresh(docs, "row"), fresh(docs, "at"), fresh(docs, "hit")
-    kept = kept.toDF(*[fresh(docs, c) for c in kept.columns[:2]], hit)
-    mark = docs.withColumns({own: _class_of(size)(docs[text].cast("string")), row: F.xxhash64(docs[key])})
-    both = mark.join(kept, (mark[row] == kept[kept.columns[0]]) & (mark[own] == kept[kept.columns[1]]), "left")
-    both = both.where((F.col(own) == 0) | F.col(hit))
-    turn = F.row_number().over(Window.partitionBy(row, own).orderBy(row))
-    return both.withColumn(at, turn).where((F.col(own) == 0) | (F.col(at) == 1)).select(*[mark[c] for c in docs.columns])
+    own, row = fresh(docs, "class"), fresh(docs, "row")
+    kept = named.groupBy("root").agg(least).select(F.xxhash64("first.low").alias(row), F.col("first.class").alias(own))
+    some = F.coalesce(F.rlike(docs[text].cast("string"), F.lit(WORD)), F.lit(False))
+    mark = docs.where(some).withColumns({own: _class_of(size)(docs[text].cast("string")), row: F.xxhash64(docs[key])})
+    one = mark.join(kept, [row, own], "left_semi").dropDuplicates([row, own])  # combined before the shuffle
+    return one.select(*docs.columns).union(docs.where(~some))
 
 
 def _class_of(size: int):
