@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import lookup, materialize
+
 UNIT, ACROSS = 576, 24
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 ITEMS = "array<struct<position:int,kind:string,text:string,media:string,caption:string>>"
@@ -75,25 +77,48 @@ def feature(rows: np.ndarray) -> str:
 
 
 class _Parser(HTMLParser):
-    """Text runs and media references in order.  A figure's caption goes to its references, else their alt text."""
+    """Text runs and media references in order.
+
+    A figure's caption goes to all its references, wherever it stands in it; without a caption they have their alt
+    text.  The caption of a figure without references is a text run, as is one outside of any figure.
+    """
 
     MEDIA = ("img", "video", "audio", "source", "embed")
     SKIP = ("script", "style", "noscript", "template")
-    BREAK = ("p", "div", "br", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "table", "section", "article", "figure", "blockquote", "nav", "footer", "header", "title")
+    BREAK = ("p", "div", "br", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "table", "section", "article", "figure", "figcaption", "blockquote", "nav", "footer", "header", "title")
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
         self.run: list[str] = []
         self.skip = 0
-        self.figure: list[int] = []
-        self.caption: list[str] | None = None
+        self.figures: list[dict] = []  # the open ones: their references and captions
+        self.caption = False
+
+    def add(self, kind: str, text: str | None = None, media: str | None = None, caption: str | None = None):
+        self.items.append({"position": len(self.items), "kind": kind, "text": text, "media": media, "caption": caption})
 
     def flush(self):
         text = " ".join("".join(self.run).split())
-        if text:
-            self.items.append({"position": len(self.items), "kind": "text", "text": text, "media": None, "caption": None})
         self.run = []
+        if text and self.caption and self.figures:
+            self.figures[-1]["said"].append(text)
+        elif text:
+            self.add("text", text)
+
+    def end_caption(self):
+        self.flush()
+        self.caption = False
+
+    def end_figure(self):
+        self.end_caption()
+        if self.figures:
+            f = self.figures.pop()
+            said = " ".join(f["said"])
+            for i in f["media"] if said else ():
+                self.items[i]["caption"] = said
+            if said and not f["media"]:
+                self.add("text", said)
 
     def handle_starttag(self, tag, attrs):
         if tag in self.SKIP:
@@ -101,43 +126,49 @@ class _Parser(HTMLParser):
         if tag in self.BREAK or tag in self.MEDIA:
             self.flush()
         if tag == "figure":
-            self.figure = []
+            self.caption = False
+            self.figures.append({"media": [], "said": []})
         if tag == "figcaption":
-            self.caption = []
+            self.caption = True
         if tag in self.MEDIA:
             at = dict(attrs)
             ref = at.get("data-digest") or at.get("src")
             if ref:
-                self.items.append({"position": len(self.items), "kind": "media", "text": None, "media": ref, "caption": at.get("alt") or at.get("title")})
-                self.figure.append(len(self.items) - 1)
+                self.add("media", media=ref, caption=at.get("alt") or at.get("title"))
+                if self.figures:
+                    self.figures[-1]["media"].append(len(self.items) - 1)
 
-    handle_startendtag = handle_starttag
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in self.MEDIA:
+            self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
         if tag in self.SKIP and self.skip:
             self.skip -= 1
-        if tag == "figcaption" and self.caption is not None:
-            said = " ".join("".join(self.caption).split())
-            for i in self.figure:
-                self.items[i]["caption"] = said or self.items[i]["caption"]
-            self.caption = None
+        if tag == "figcaption":
+            self.end_caption()
+        if tag == "figure":
+            self.end_figure()
         if tag in self.BREAK:
             self.flush()
-        if tag == "figure":
-            self.figure = []
 
     def handle_data(self, data):
-        if self.skip:
-            return
-        (self.run if self.caption is None else self.caption).append(data)
+        if not self.skip:
+            self.run.append(data)
+
+    def finish(self):
+        self.close()
+        while self.figures:
+            self.end_figure()
+        self.end_caption()
 
 
 def parse(page: str | None) -> list[dict]:
     """A page's items in order; a null or empty page has none."""
     p = _Parser()
     p.feed(page or "")
-    p.close()
-    p.flush()
+    p.finish()
     return p.items
 
 
@@ -152,67 +183,93 @@ def parse_html(page: Column) -> Column:
 
 
 def media_table(texts: DataFrame) -> DataFrame:
-    """(digest, n_bytes, media) of ``texts(text)``, one row for each distinct text; digest is its SHA-256.
+    """(digest, n_bytes, media, n) of ``texts(text)``, one row for each distinct text, n rows of which there are; digest is its SHA-256.
 
     What travels is the stored form, which is smaller than the text.
     """
 
     def run(batches):
         for b in batches:
-            seen: dict[str, tuple[int, bytes]] = {}
+            seen: dict[str, list] = {}
             for t in b.column(0).to_pylist():
                 raw = (t or "").encode()
                 d = hashlib.sha256(raw).hexdigest()
-                if d not in seen:
-                    seen[d] = (len(raw), store(padded(raw)))
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.binary())], ["digest", "n_bytes", "media"])
+                if d in seen:
+                    seen[d][2] += 1
+                else:
+                    seen[d] = [len(raw), store(padded(raw)), 1]
+            kinds = (pa.int64(), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen)), *(pa.array([v[k] for v in seen.values()], t) for k, t in enumerate(kinds))], ["digest", "n_bytes", "media", "n"])
 
-    made = texts.select(texts["text"].cast("string").alias("text")).mapInArrow(run, "digest string, n_bytes long, media binary")
-    return made.dropDuplicates(["digest"])
+    made = texts.select(texts["text"].cast("string").alias("text")).mapInArrow(run, "digest string, n_bytes long, media binary, n long")
+    return made.groupBy("digest").agg(F.first("n_bytes").alias("n_bytes"), F.first("media").alias("media"), F.sum("n").alias("n"))
 
 
 def features(media: DataFrame) -> DataFrame:
-    """digest, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature: all read back from ``media``."""
-    columns = ["digest", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    """digest, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature: all read back from ``media``; and n."""
+    columns = ["digest", "n_bytes", "n", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def run(batches):
         for b in batches:
             out = []
-            for digest, n, m in zip(*(b.column(k).to_pylist() for k in range(3))):
+            for digest, size, n, m in zip(*(b.column(k).to_pylist() for k in range(4))):
                 rows = load(m)
                 back = rows.tobytes()
-                out.append((digest, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature(rows)))
+                out.append((digest, size, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature(rows)))
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], columns)
 
-    return media.mapInArrow(run, "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.select("digest", "n_bytes", "n", "media").mapInArrow(run, "digest string, n_bytes long, n long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+
+
+def _resolved(items: DataFrame, media: DataFrame, prefix: str) -> DataFrame:
+    """Rows of ``items`` (with a column ``i``, one item) and the columns of ``media`` that the item's digest finds."""
+    ref = F.when(F.col("i.media").startswith(prefix), F.expr(f"substring(i.media, {len(prefix) + 1})")).otherwise(F.col("i.media"))
+    flat = items.select("*", "i.position", "i.kind", "i.text", ref.alias("digest"), "i.caption").drop("i")
+    if "n" not in media.columns:
+        return flat.join(media, "digest", "left")
+    return lookup(flat, media, "digest", media.agg(F.sum("n")).first()[0] or 0, how="left")
 
 
 def resolve(pages: DataFrame, media: DataFrame, key: str = "page_id", page: str = "html", prefix: str = "sha256:") -> DataFrame:
     """Every item of every page, in its position, with the columns of ``media`` that its digest resolves to.
 
-    Result: key, position, kind, text, digest, caption and ``media``'s columns but its digest.  Text items and
-    references that nothing resolves have nulls there.  ``media`` has one row for each digest; however
-    many positions share one, the rows that meet in the join are small.  Null pages have no items.
+    Result: digest, key, position, kind, text, caption and ``media``'s further columns.  Text items and
+    references that nothing resolves have nulls there.  ``media`` has one row for each digest; if it has a column n,
+    the number of rows that refer to it, frequent digests are looked up in a broadcast of bounded size.  Null
+    and empty pages have no items; repeated pages each have theirs; a null key stays null; other columns are ignored.
     """
-    items = pages.select(pages[key].alias("key"), F.explode(parse_html(pages[page])).alias("i"))
-    ref = F.when(F.col("i.media").startswith(prefix), F.expr(f"substring(i.media, {len(prefix) + 1})")).otherwise(F.col("i.media"))
-    flat = items.select("key", "i.position", "i.kind", "i.text", ref.alias("_digest"), "i.caption")
-    return flat.join(media, flat["_digest"] == media["digest"], "left").drop("_digest")
+    return _resolved(pages.select(pages[key].alias("key"), F.explode(parse_html(pages[page])).alias("i")), media, prefix)
+
+
+def document_page(docs: DataFrame, key: str, text: str) -> Column:
+    """A page about each document: a heading, half of its lines, its text's image with a caption, the other lines, its source's image."""
+    whole = F.coalesce(docs[text].cast("string"), F.lit(""))
+    safe = F.replace(F.replace(F.replace(whole, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    lines = F.transform(F.split(safe, "\n"), lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>")))
+    half = F.floor(F.size(lines) / 2).cast("int")
+    named = F.coalesce(docs[key].cast("string"), F.lit("no key"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    figure = F.concat(F.lit("<figure><figcaption>Text of "), named, F.lit('</figcaption><img data-digest="sha256:'), digest(whole), F.lit('"></figure>'))
+    return F.concat(F.lit("<article><h1>Document</h1>"), F.array_join(F.slice(lines, F.lit(1), half), ""), figure, F.array_join(F.slice(lines, half + 1, F.size(lines)), ""), F.lit('<img src="logo.png" alt="source"></article>'))
 
 
 def document_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, caption, position.
+    """One row per row of ``docs``: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, caption, position, n_texts, n_media.
 
-    Each document becomes a page that shows its text's image; its reference is resolved by digest.
+    Each document becomes a page that holds its lines and shows its text's image among them; the reference is
+    resolved by digest, ``position`` is its place among the page's items, ``n_texts`` of which are texts.
     Equal texts share one stored image.  A null text is empty.  Repeated rows each get a row; a null key
     stays null; other columns are ignored; an empty table gives an empty result.
     """
     whole = F.coalesce(docs[text].cast("string"), F.lit(""))
-    store_ = features(media_table(docs.select(whole.alias("text"))))
-    page = F.concat(F.lit('<article><h1>Document</h1><figure><img data-digest="sha256:'), F.sha2(whole.cast("binary"), 256), F.lit('"><figcaption>Text of '), F.coalesce(docs[key].cast("string"), F.lit("no key")), F.lit("</figcaption></figure></article>"))
-    found = resolve(docs.select(docs[key].alias("page_id"), page.alias("html")), store_).where("kind = 'media'")
-    return found.select(F.col("key").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "caption", "position")
+    stored = materialize(features(media_table(docs.select(whole.alias("text")))), "media")
+    items = docs.select(docs[key].alias("key"), parse_html(document_page(docs, key, text)).alias("items"))
+    count = lambda kind: F.size(F.filter("items", lambda x: x["kind"] == kind)).alias(f"n_{kind}s" if kind == "text" else f"n_{kind}")
+    own = F.get(F.filter("items", lambda x: x["media"].startswith("sha256:")), F.lit(0))
+    each = materialize(items.select("key", count("text"), count("media"), own.alias("i")), "items")
+    found = _resolved(each, stored, "sha256:")
+    return found.select(F.col("key").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "caption", "position", "n_texts", "n_media")
 
 
 def page_of(items: list[dict]) -> str:
