@@ -787,12 +787,12 @@ class Parser:
 
 
 def parse(text: str | None) -> Node | None:
-    """The tree, or None for empty, oversize or unparseable text."""
+    """The tree, or None for empty, oversize or unparseable text.  RecursionError if it nests too deeply."""
     if not text or not text.strip() or len(text.encode("utf-8", "replace")) > LIMIT:
         return None
     try:
         return Parser(text).program()
-    except (SyntaxError, RecursionError):
+    except SyntaxError:
         return None
 
 

@@ -27,7 +27,9 @@ def any_of(column: Column, parts: tuple[str, ...]) -> Column:
 
 
 def host(url: Column) -> Column:
-    return F.nullif(F.lower(F.try_parse_url(url, F.lit("HOST"))), F.lit(""))
+    """The host in lower case; of a URL that Spark's strict parser refuses (a bar in its path, say) what stands in its place."""
+    placed = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
+    return F.nullif(F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), placed)), F.lit(""))
 
 
 def _below(inner: Column, outer: Column) -> Column:

@@ -14,7 +14,7 @@ import json
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.jsparse import Node, Places, parse
@@ -22,9 +22,19 @@ from .posture import csp_flags
 
 CAP = 200
 #: Reads that give a source, as "first name.last name".
-SOURCES = {f"location.{p}": f"location.{p}" for p in ("href", "search", "hash", "pathname")}
-SOURCES |= {f"document.{p}": f"document.{p}" for p in ("URL", "documentURI", "referrer", "cookie")}
-SOURCES |= {f"{w}.name": "window.name" for w in ("window", "self", "top")}
+SOURCES = {
+    "location.href": "location.href",
+    "location.search": "location.search",
+    "location.hash": "location.hash",
+    "location.pathname": "location.pathname",
+    "document.URL": "document.URL",
+    "document.documentURI": "document.documentURI",
+    "document.referrer": "document.referrer",
+    "document.cookie": "document.cookie",
+    "window.name": "window.name",
+    "self.name": "window.name",
+    "top.name": "window.name",
+}
 #: Constructors, and calls of methods, that give one.
 CONSTRUCTORS = ("URLSearchParams", "URL")
 STORES = ("localStorage", "sessionStorage")
@@ -353,17 +363,18 @@ FACT = "page_id long, seq long, script_url string, kind string, source string, s
 
 
 def analyse_text(text: str, url: str) -> list[dict]:
-    """All facts of one script; unparseable ones have none."""
+    """All facts of one script; unparseable ones have none.  One that nests too deeply has those found by then, and a fact that says so."""
     import sys
 
     limit = sys.getrecursionlimit()
     sys.setrecursionlimit(20_000)
+    out: list[dict] = []
     try:
         tree = parse(text)
         if tree is None:
             return []
         _statements(tree)
-        where, out = Places(text), []
+        where = Places(text)
         loc = lambda at: f"{url}:{where.of(at)}"
         for pollution, kind in ((False, "flow"), (True, "pollution")):
             w = Walk(pollution)
@@ -376,7 +387,7 @@ def analyse_text(text: str, url: str) -> list[dict]:
         out += [{"kind": "literal", "source": kind, "sink": value, "path": [], "location": loc(at), "detail": context} for kind, value, at, context in literals(tree)]
         return out
     except RecursionError:
-        return []
+        return [*out, {"kind": "too deep", "source": None, "sink": None, "path": [], "location": f"{url}:1:1", "detail": None}]
     finally:
         sys.setrecursionlimit(limit)
 
@@ -434,20 +445,29 @@ def sink_class(sink: Column) -> Column:
     )
 
 
-def gadgets(flow: DataFrame, proto: DataFrame, handler: DataFrame, csp: DataFrame, cap: int = CAP) -> DataFrame:
-    """(page_id, category, description, script_url, exploitability_hint): flows, pollution, handlers, then CSP; the first ``cap`` of a page.
+def gadgets(f: DataFrame, csp: DataFrame, cap: int = CAP) -> DataFrame:
+    """(page_id, category, description, script_url, exploitability_hint, place): flows, pollution, handlers, then CSP; the first ``cap`` of a page.
 
-    ``csp``: page_id, header.
+    ``f``: the facts, which are read once; ``csp``: page_id, header.  A page's first flow into HTML or code gives a
+    second row where the page's policy would let it through.
     """
-    from pyspark.sql import Window
-
-    a = flow.withColumn("category", sink_class(F.col("sink"))).where("category is not null").select("page_id", F.lit(0).alias("k"), "seq", "location", "category", rendered(F.col("source"), F.col("path"), F.col("sink")).alias("description"), "script_url", F.lit("a source reaches this sink: confirm that the value can be chosen").alias("exploitability_hint"))
-    b = proto.select("page_id", F.lit(1).alias("k"), "seq", "location", F.lit("prototype-pollution").alias("category"), F.concat("source", F.lit(" → "), "sink", F.lit(" ("), "location", F.lit(")")).alias("description"), F.element_at(F.split("location", ":"), 1).alias("script_url"), F.lit("a source reaches the prototype: confirm that a key can be chosen").alias("exploitability_hint"))
-    c = handler.where("origin_check <> 'strict' and reaches_sink").select("page_id", F.lit(2).alias("k"), "seq", "location", F.lit("postmessage-trust").alias("category"), F.concat(F.lit("message handler with "), "origin_check", F.lit(" origin check reaches a sink ("), "location", F.lit(")")).alias("description"), "script_url", F.lit("little origin checking before a sink: confirm that another frame can drive it").alias("exploitability_hint"))
-    flags = csp_flags(F.col("header"))
-    open_ = csp.withColumn("f", flags).where("f.unsafe_inline or f.unsafe_eval or f.broad").select("page_id")
-    first = flow.where(sink_class(F.col("sink")) == "dom-xss").groupBy("page_id").agg(F.min_by(F.struct("sink", "script_url", "seq", "location"), F.struct("seq", "location")).alias("x"))
-    d = first.join(open_, "page_id").select("page_id", F.lit(3).alias("k"), "x.seq", "x.location", F.lit("csp-bypass").alias("category"), F.concat(F.lit("the policy lets through what the sink `"), "x.sink", F.lit("` needs")).alias("description"), "x.script_url", F.lit("a sink is there and the policy would not stop it").alias("exploitability_hint"))
-    rows = a.unionByName(b).unionByName(c).unionByName(d)
+    kind, sink = F.col("kind"), F.col("sink")
+    each = F.when(kind == "handler", F.struct("seq", "detail"))
+    own = f.where("kind in ('flow', 'pollution', 'handler')").groupBy("page_id", "kind", "source", "sink", "location", each.alias("each")).agg(F.min_by(F.struct("path", "script_url", "seq", "detail"), "seq").alias("x"))
+    own = own.select("page_id", "kind", "source", "sink", "location", "x.*").withColumn("class", F.when(kind == "flow", sink_class(sink)))
+    open_ = csp.withColumn("f", csp_flags(F.col("header"))).where("f.unsafe_inline or f.unsafe_eval or f.broad").select("page_id", F.lit(True).alias("open")).distinct()
+    mark = F.row_number().over(Window.partitionBy("page_id").orderBy((F.col("class") == "dom-xss").desc_nulls_last(), "seq", "location", "sink", "source"))
+    own = own.withColumn("mark", mark).join(open_, "page_id", "left")
+    row = lambda k, category, description, url, hint: F.struct(F.lit(k).alias("k"), category.alias("category"), description.alias("description"), url.alias("script_url"), F.lit(hint).alias("exploitability_hint"))
+    arrow = F.concat("source", F.lit(" → "), "sink", F.lit(" ("), "location", F.lit(")"))
+    heard = F.concat(F.lit("message handler with "), "source", F.lit(" origin check reaches a sink ("), "location", F.lit(")"))
+    first = (
+        F.when((kind == "flow") & F.col("class").isNotNull(), row(0, F.col("class"), rendered(F.col("source"), F.col("path"), sink), F.col("script_url"), "a source reaches this sink: confirm that the value can be chosen"))
+        .when(kind == "pollution", row(1, F.lit("prototype-pollution"), arrow, F.element_at(F.split("location", ":"), 1), "a source reaches the prototype: confirm that a key can be chosen"))
+        .when((kind == "handler") & (F.col("source") != "strict") & (F.col("detail") == "true"), row(2, F.lit("postmessage-trust"), heard, F.col("script_url"), "little origin checking before a sink: confirm that another frame can drive it"))
+    )
+    through = F.concat(F.lit("the policy lets through what the sink `"), "sink", F.lit("` needs"))
+    second = F.when((F.col("class") == "dom-xss") & (F.col("mark") == 1) & F.col("open"), row(3, F.lit("csp-bypass"), through, F.col("script_url"), "a sink is there and the policy would not stop it"))
+    rows = own.select("page_id", "seq", "location", F.explode(F.array_compact(F.array(first, second))).alias("g")).select("page_id", "seq", "location", "g.*")
     place = F.row_number().over(Window.partitionBy("page_id").orderBy("k", "seq", "location", "description"))
     return rows.withColumn("place", place).where(F.col("place") <= cap).select("page_id", "category", "description", "script_url", "exploitability_hint", "place")

@@ -83,6 +83,66 @@ def routes(globals_: DataFrame, chunks: DataFrame | None = None, islands: DataFr
     return first.select("page_id", "path", "kind", "first.source", dynamic(F.col("path")).alias("dynamic"))
 
 
+def remix_entries(globals_: DataFrame) -> DataFrame:
+    """(page_id, id, parent_id, path, has_action) of each page's ``__remixManifest``, else of the manifest in ``__remixContext``."""
+    own = globals_.where("key in ('__remixManifest', '__remixContext')").groupBy("page_id").agg(F.min_by("value", F.when(F.col("key") == "__remixManifest", 0).otherwise(1)).alias("v"))
+    kept = F.from_json(F.coalesce(F.get_json_object("v", "$.manifest.routes"), F.get_json_object("v", "$.routes")), "map<string,struct<path:string,parentId:string,hasAction:boolean>>")
+    each = own.select("page_id", F.explode(kept).alias("id", "r"))
+    return each.select("page_id", "id", F.col("r.parentId").alias("parent_id"), F.col("r.path").alias("path"), F.coalesce("r.hasAction", F.lit(False)).alias("has_action"))
+
+
+def remix_routes(globals_: DataFrame) -> DataFrame:
+    """(page_id, path, kind, source, dynamic) of Remix manifests: full paths; an id or path that says api, or an action of a dotted id, is an API."""
+    entries = remix_entries(globals_)
+    both = nested_paths(entries.drop("has_action")).join(entries.select("page_id", "id", "has_action"), ["page_id", "id"])
+    path, id_ = F.col("full_path"), F.col("id")
+    api = F.startswith(path, F.lit("/api/")) | (path == "/api") | F.contains(id_, F.lit("api.")) | (F.col("has_action") & F.contains(id_, F.lit(".")))
+    return both.select("page_id", path.alias("path"), F.when(api, "api").otherwise("route").alias("kind"), F.lit("remix:manifest").alias("source"), dynamic(path).alias("dynamic")).distinct()
+
+
+def gated(globals_: DataFrame, technologies: DataFrame) -> DataFrame:
+    """``globals_`` without the manifests that no sign of their framework goes with: Remix's needs the technology or its context; the others are such signs themselves."""
+    sign = technologies.where(F.contains(F.lower("name"), F.lit("remix"))).select("page_id").union(globals_.where("key = '__remixContext'").select("page_id")).distinct()
+    other = globals_.where("key <> '__remixManifest'")
+    return other.unionByName(globals_.where("key = '__remixManifest'").join(sign, "page_id", "left_semi").select(*other.columns))
+
+
+def merged(*found: DataFrame) -> DataFrame:
+    """(page_id, path, kind, source, dynamic): routes of several tables, each (path, kind) of a page by the first table that has it."""
+    rows = None
+    for k, f in enumerate(found):
+        own = f.select("page_id", "path", "kind", "source", "dynamic", F.lit(k).alias("order"))
+        rows = own if rows is None else rows.unionByName(own)
+    first = rows.groupBy("page_id", "path", "kind").agg(F.min(F.struct("order", "source", "dynamic")).alias("first"))
+    return first.select("page_id", "path", "kind", "first.source", "first.dynamic")
+
+
+def captured(globals_: DataFrame, chunks: DataFrame | None = None, islands: DataFrame | None = None) -> DataFrame:
+    """(page_id, framework, manifest_type, build_id) of every manifest that a page's globals, islands and chunk names hold."""
+    v, k = F.col("value"), F.col("key")
+    kind = F.schema_of_variant(F.try_parse_json(v))
+    some, object_, list_ = kind.isNotNull(), F.startswith(kind, F.lit("OBJECT")), F.startswith(kind, F.lit("ARRAY"))
+    row = lambda framework, type_, build=None: F.struct(F.lit(framework).alias("framework"), F.lit(type_).alias("manifest_type"), (F.lit(None) if build is None else F.coalesce(*[F.get_json_object(v, b) for b in build])).cast("string").alias("build_id"))
+    paged = F.rlike(v, F.lit(r"app/([A-Za-z0-9_./()\[\]@.-]*?)/(page|layout|route)\b"))
+    routed = F.coalesce(F.get_json_object(v, "$.manifest.routes"), F.get_json_object(v, "$.routes"))
+    made = (
+        F.when((k == "__NEXT_DATA__") & some, row("Next.js", "next-data", ["$.buildId"]))
+        .when((k == "__BUILD_MANIFEST") & object_, row("Next.js", "build-manifest"))
+        .when((k == "__SSG_MANIFEST") & list_, row("Next.js", "ssg-manifest"))
+        .when((k == "__next_f") & paged, row("Next.js", "next-flight"))
+        .when((k == "__NUXT__") & some, row("Nuxt", "nuxt-payload", ["$.config.app.buildId"]))
+        .when((k == "__sveltekit_data") & some, row("SvelteKit", "sveltekit-start"))
+        .when(k.isin("__remixManifest", "__remixContext") & routed.isNotNull(), row("Remix", "remix-manifest", ["$.manifest.version", "$.version"]))
+    )
+    rows = globals_.select("page_id", made.alias("m")).where("m is not null").select("page_id", "m.*")
+    add = lambda pages, framework, type_: pages.select("page_id", F.lit(framework).alias("framework"), F.lit(type_).alias("manifest_type"), F.lit(None).cast("string").alias("build_id")).distinct()
+    if islands is not None:
+        rows = rows.unionByName(add(islands, "Astro", "astro-islands"))
+    if chunks is not None:
+        rows = rows.unionByName(add(chunks.where(chunk_stem(F.col("url")).isNotNull()), "Vite/webpack", "chunk-graph"))
+    return rows.distinct()
+
+
 def nested_paths(entries: DataFrame, hops: int = HOPS) -> DataFrame:
     """(page_id, id, full_path) of ``entries(page_id, id, parent_id, path)``: segments from the root down.
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls, values
@@ -103,8 +106,6 @@ def classify(candidates: DataFrame, now: Column) -> DataFrame:
 
 def assess(classified: DataFrame, limit: int = GROUPS) -> DataFrame:
     """One row for each page, class and value: keys, sources, the first candidate's verdict; the first ``limit`` groups of a page."""
-    from pyspark.sql import Window
-
     first = F.min_by(F.struct("severity", "disposition", "claims"), "seq").alias("first")
     made = classified.groupBy("page_id", "classification", "value").agg(F.array_sort(F.collect_set("key")).alias("keys"), F.array_sort(F.collect_set("source")).alias("sources"), F.min("seq").alias("seq"), first)
     place = F.row_number().over(Window.partitionBy("page_id").orderBy("seq", "value"))
@@ -117,21 +118,74 @@ def url_candidates(calls: DataFrame) -> DataFrame:
     return each.where(sensitive_key(F.col("p.key")) | values.jwt_payload(F.col("p.value")).isNotNull()).select("page_id", "p.key", "p.value", F.lit("network").alias("source"))
 
 
+_LEAF = "array<struct<path:string,value:string>>"
+_LEAVES = pa.list_(pa.struct([("path", pa.string()), ("value", pa.string())]))
+
+
+def _walk(text: str | None, root: str, depth: int) -> list[dict] | None:
+    """Scalars of a JSON object or list, in order, with their paths; null if the text is neither."""
+    try:
+        value = json.loads(text or "", parse_int=str, parse_float=lambda x: repr(float(x)))
+    except (ValueError, RecursionError):
+        return None
+    if not isinstance(value, dict | list):
+        return None
+    out, stack = [], [(root, value, 0)]
+    while stack:
+        path, v, level = stack.pop()
+        if level > depth or v is None:
+            continue
+        if isinstance(v, dict):
+            stack += [(f"{path}.{k}" if path else k, x, level + 1) for k, x in reversed(v.items())]
+        elif isinstance(v, list):
+            stack += [(f"{path}[{i}]", x, level + 1) for i, x in reversed(list(enumerate(v)))]
+        else:
+            out.append({"path": path, "value": str(v).lower() if isinstance(v, bool) else v})
+    return out
+
+
+def leaves_of(text: Column, root: Column, depth: int = DEPTH) -> Column:
+    """The scalars of a JSON object or list, each once, in one walk; null where the text is neither.  Nulls are left out."""
+
+    @F.arrow_udf(_LEAF)
+    def of(texts: pa.Array, roots: pa.Array) -> pa.Array:
+        return pa.array([_walk(t, r or "", depth) for t, r in zip(texts.to_pylist(), roots.to_pylist())], _LEAVES)
+
+    return of(text, root)
+
+
 def json_leaves(rows: DataFrame, json: str = "json", depth: int = DEPTH) -> DataFrame:
-    """(all columns of ``rows`` but ``json``), path and value of every scalar down to ``depth``; nulls are left out."""
+    """(all columns of ``rows`` but ``json``), path and value of every scalar down to ``depth``; nulls are left out.  One scan, one step."""
     keep = [c for c in rows.columns if c != json]
-    level = rows.select(*keep, F.lit("").alias("path"), F.try_parse_json(F.col(json)).alias("v")).where("v is not null")
-    out = None
-    for _ in range(depth):
-        kind = F.schema_of_variant("v")
-        nested = F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY"))
-        level = level.withColumn("nested", nested)
-        flat = level.where(~F.col("nested") & (kind != "VOID")).select(*keep, "path", F.try_variant_get("v", "$", "string").alias("value"))
-        out = flat if out is None else out.unionByName(flat)
-        inner = level.where("nested").select(*keep, "path", "v")
-        each = inner.lateralJoin(inner.sparkSession.tvf.variant_explode(F.col("v").outer()))
-        step = F.when(F.col("key").isNull(), F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).when(F.col("path") == "", F.col("key")).otherwise(F.concat("path", F.lit("."), "key"))
-        level = each.select(*keep, step.alias("path"), F.col("value").alias("v"))
-    kind = F.schema_of_variant("v")
-    last = level.where(~(F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY"))) & (kind != "VOID")).select(*keep, "path", F.try_variant_get("v", "$", "string").alias("value"))
-    return out.unionByName(last)
+    return rows.select(*keep, F.inline(leaves_of(F.col(json), F.lit(""), depth)))
+
+
+#: Where candidates come from, in order.
+AREAS = {"local": "localStorage", "session": "sessionStorage", "runtime": "runtime state"}
+
+
+def gather(maps: DataFrame, cookies: DataFrame, calls: DataFrame, depth: int = DEPTH - 1) -> DataFrame:
+    """Candidates of a page from storage, globals, cookies and URLs: page_id, seq, key, value, source, container, location.
+
+    ``maps``: page_id, area (local, session, runtime), key, value; ``cookies``: page_id, name, value; ``calls``: page_id, seq, url.
+    Values that are JSON objects or lists are taken apart; of their scalars those stay that have a telling key or a
+    token's shape.  If none does and the whole has a sensitive key, the whole is a candidate, as a container.
+    """
+    telling = lambda k, v: sensitive_key(values.leaf_key(k)) | public_key(values.leaf_key(k)) | values.jwt_shaped(v)
+    made = maps.withColumn("leaves", leaves_of(F.col("value"), F.col("key"), depth))
+    bare = F.coalesce(F.from_json(F.when(F.startswith("value", F.lit('"')), F.concat(F.lit('{"v":'), "value", F.lit("}"))), "v string")["v"], F.col("value"))
+    own = F.coalesce("leaves", F.array(F.struct(F.col("key").alias("path"), bare.alias("value"))))
+    made = made.withColumn("some", F.filter(own, lambda x: telling(x["path"], x["value"])))
+    item = lambda x: F.struct(x["path"].alias("key"), x["value"].alias("value"), F.lit(False).alias("container"))
+    whole = F.when(F.col("leaves").isNotNull() & sensitive_key(F.col("key")), F.array(F.struct("key", "value", F.lit(True).alias("container")))).otherwise(F.array())
+    each = made.select("page_id", "area", F.posexplode(F.when(F.size("some") > 0, F.transform("some", item)).otherwise(whole)).alias("pos", "c")).select("page_id", "area", "pos", "c.*")
+    area = F.create_map(*[F.lit(x) for kv in AREAS.items() for x in kv])[F.col("area")]
+    order = F.when(F.col("area") == "local", 0).when(F.col("area") == "session", 1).otherwise(2)
+    place = lambda label: F.concat(label, F.lit(" `"), "key", F.lit("`"))
+    out = each.select("page_id", order.alias("k"), "pos", "key", "value", F.lit("runtime").alias("source"), "container", place(area).alias("location"))
+    jar = cookies.select("page_id", F.lit(3).alias("k"), F.lit(0).alias("pos"), F.col("name").alias("key"), "value", F.lit("runtime").alias("source"), F.lit(False).alias("container"))
+    jar = jar.where(sensitive_key(F.col("key")) | public_key(F.col("key")) | values.jwt_shaped(F.col("value"))).withColumn("location", place(F.lit("Cookie")))
+    asked = url_candidates(calls).select("page_id", F.lit(4).alias("k"), F.lit(0).alias("pos"), "key", "value", "source", F.lit(False).alias("container")).withColumn("location", place(F.lit("URL parameter")))
+    rows = out.unionByName(jar).unionByName(asked)
+    seq = F.row_number().over(Window.partitionBy("page_id").orderBy("k", "key", "pos", "value"))
+    return rows.select("page_id", seq.cast("long").alias("seq"), "key", "value", "source", "container", "location")

@@ -21,20 +21,20 @@ GENERATOR = {"astro": "Astro", "wordpress": "WordPress", "drupal": "Drupal", "hu
 URL = {"/_next/static/": "Next.js", "/_nuxt/": "Nuxt.js", "/page-data/": "Gatsby", "/__remix/": "Remix", "clerk.com/npm/@clerk/": "Clerk", "clerk.accounts.dev": "Clerk", "googletagmanager.com": "GTM", "google-analytics.com": "Google Analytics", "segment.com/analytics.js": "Segment", "cdn.amplitude.com": "Amplitude", "cdn.heapanalytics.com": "Heap", "static.hotjar.com": "Hotjar", "cdn.mxpnl.com": "Mixpanel", "widget.intercom.io": "Intercom", "js.stripe.com": "Stripe", "js.sentry-cdn.com": "Sentry", "cloudflareinsights.com": "Cloudflare", "/_vercel/": "Vercel", "swagger-ui": "Swagger UI", "redoc.standalone": "ReDoc", "rapidoc-min": "RapiDoc", "accounts.google.com/gsi/": "Google Sign-In", "appleid.cdn-apple.com": "Apple Sign-In", "connect.facebook.net": "Facebook Login", "accounts.google.com/o/oauth2": "Google OAuth", "unpkg.com/htmx": "HTMX", "unpkg.com/alpinejs": "Alpine.js", "cdn.jsdelivr.net/npm/alpinejs": "Alpine.js"}
 #: Window globals.
 GLOBALS = {"__REACT_DEVTOOLS_GLOBAL_HOOK__": "React", "__VUE_DEVTOOLS_GLOBAL_HOOK__": "Vue.js", "ng": "Angular", "__svelte": "Svelte", "__NEXT_DATA__": "Next.js", "__NUXT__": "Nuxt.js", "__sveltekit_data": "SvelteKit", "__remixContext": "Remix", "_$HY": "Solid.js", "firebase": "Firebase", "Stripe": "Stripe", "__supabase": "Supabase", "auth0": "Auth0", "Clerk": "Clerk", "__clerk_frontend_api": "Clerk", "Amplify": "AWS Amplify", "dataLayer": "GTM", "gtag": "Google Analytics", "ga": "Google Analytics", "analytics": "Segment", "Intercom": "Intercom", "hj": "Hotjar", "mixpanel": "Mixpanel", "__REDUX_DEVTOOLS_EXTENSION__": "Redux", "__APOLLO_STATE__": "Apollo Client", "__APOLLO_CLIENT__": "Apollo Client", "__REACT_QUERY_DEVTOOLS_GLOBAL_HOOK__": "React Query", "__REACT_QUERY_STATE__": "React Query", "__TSR__": "TanStack Router", "__TSR_DEHYDRATED__": "TanStack Router", "__ZUSTAND_DEVTOOLS__": "Zustand", "htmx": "HTMX", "Alpine": "Alpine.js", "Livewire": "Livewire"}
-#: Keywords of a technology's name in order, by category; the first that is in the name decides.
+#: Keywords of a technology's name in order, and their categories; the first that is in the name decides.
 CATEGORIES = {
-    "Frameworks": "react vue angular svelte next nuxt remix gatsby ember backbone",
-    "Static Site Generators": "astro hugo jekyll eleventy hexo docusaurus vuepress mkdocs pelican",
-    "Backend": "express asp.net php flask django rails fastify koa hapi cowboy",
-    "Infrastructure": "cloudflare nginx apache vercel netlify fly.io caddy iis envoy openresty gunicorn deno_deploy",
-    "Authentication": "auth0 clerk okta",
-    "Payment": "stripe paypal braintree square",
-    "Analytics": "google_analytics gtag gtm mixpanel segment amplitude hotjar heap fullstory plausible",
-    "CMS/Platforms": "wordpress drupal joomla ghost wix squarespace shopify webflow contentful strapi",
-    "Cloud/BaaS": "supabase firebase appwrite aws azure gcp",
-    "Libraries": "jquery lodash axios moment tailwind bootstrap",
-    "State Management": "redux mobx zustand pinia recoil",
-    "Monitoring": "sentry datadog newrelic logr",
+    "react": "Frameworks", "vue": "Frameworks", "angular": "Frameworks", "svelte": "Frameworks", "next": "Frameworks", "nuxt": "Frameworks", "remix": "Frameworks", "gatsby": "Frameworks", "ember": "Frameworks", "backbone": "Frameworks",
+    "astro": "Static Site Generators", "hugo": "Static Site Generators", "jekyll": "Static Site Generators", "eleventy": "Static Site Generators", "hexo": "Static Site Generators", "docusaurus": "Static Site Generators", "vuepress": "Static Site Generators", "mkdocs": "Static Site Generators", "pelican": "Static Site Generators",
+    "express": "Backend", "asp.net": "Backend", "php": "Backend", "flask": "Backend", "django": "Backend", "rails": "Backend", "fastify": "Backend", "koa": "Backend", "hapi": "Backend", "cowboy": "Backend",
+    "cloudflare": "Infrastructure", "nginx": "Infrastructure", "apache": "Infrastructure", "vercel": "Infrastructure", "netlify": "Infrastructure", "fly.io": "Infrastructure", "caddy": "Infrastructure", "iis": "Infrastructure", "envoy": "Infrastructure", "openresty": "Infrastructure", "gunicorn": "Infrastructure", "deno deploy": "Infrastructure",
+    "auth0": "Authentication", "clerk": "Authentication", "okta": "Authentication",
+    "stripe": "Payment", "paypal": "Payment", "braintree": "Payment", "square": "Payment",
+    "google analytics": "Analytics", "gtag": "Analytics", "gtm": "Analytics", "mixpanel": "Analytics", "segment": "Analytics", "amplitude": "Analytics", "hotjar": "Analytics", "heap": "Analytics", "fullstory": "Analytics", "plausible": "Analytics",
+    "wordpress": "CMS/Platforms", "drupal": "CMS/Platforms", "joomla": "CMS/Platforms", "ghost": "CMS/Platforms", "wix": "CMS/Platforms", "squarespace": "CMS/Platforms", "shopify": "CMS/Platforms", "webflow": "CMS/Platforms", "contentful": "CMS/Platforms", "strapi": "CMS/Platforms",
+    "supabase": "Cloud/BaaS", "firebase": "Cloud/BaaS", "appwrite": "Cloud/BaaS", "aws": "Cloud/BaaS", "azure": "Cloud/BaaS", "gcp": "Cloud/BaaS",
+    "jquery": "Libraries", "lodash": "Libraries", "axios": "Libraries", "moment": "Libraries", "tailwind": "Libraries", "bootstrap": "Libraries",
+    "redux": "State Management", "mobx": "State Management", "zustand": "State Management", "pinia": "State Management", "recoil": "State Management",
+    "sentry": "Monitoring", "datadog": "Monitoring", "newrelic": "Monitoring", "logr": "Monitoring",
 }
 VITE = r"/assets/.*-[A-Za-z0-9]{6,10}\.(?:js|css)$"
 
@@ -71,9 +71,8 @@ def detected(*found: DataFrame) -> DataFrame:
 
 def category(name: Column) -> Column:
     low, out = F.lower(name), F.lit("Other")
-    for cat, words in reversed(CATEGORIES.items()):
-        for w in reversed(words.split()):
-            out = F.when(F.contains(low, F.lit(w.replace("_", " "))), cat).otherwise(out)
+    for word, kind in reversed(CATEGORIES.items()):
+        out = F.when(F.contains(low, F.lit(word)), kind).otherwise(out)
     return out
 
 

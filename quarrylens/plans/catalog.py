@@ -81,7 +81,7 @@ def host_request_counts(spark, d):
 
 @query("""select page_id, len(list_distinct(regexp_extract_all(html, '<(?:a|link|img|script|iframe)\\s[^>]*?(?:href|src)="([^"]*)"', 1)))::bigint as links from pages where len(regexp_extract_all(html, '<(?:a|link|img|script|iframe)\\s[^>]*?(?:href|src)="([^"]*)"', 1)) > 0""")
 def link_surface(spark, d):
-    return captures.link_counts(captures.elements(table(spark, d, "pages")))
+    return captures.link_counts(table(spark, d, "pages"))
 
 
 @query("""select page_id, len(regexp_extract_all(html, '<script[ >]'))::bigint as scripts, len(regexp_extract_all(html, '<meta '))::bigint as metas, len(regexp_extract_all(html, '<form[ >]'))::bigint as forms from pages""")
@@ -147,9 +147,11 @@ def secret_entropy(spark, d):
     return v.select("value", F.round(values.entropy(F.col("value")), 6).alias("bits"), values.entropy_signal(F.col("value")).alias("signal"))
 
 
-_PICKED = [p for p in BUILT_IN if p.name in ("aws_key", "stripe_secret_key", "stripe_publishable_key", "github", "slack", "gitlab", "postgres_url", "sendgrid", "openai_api_key", "firebase", "mailgun", "twilio")]
-_SCAN = " union all ".join(f"select page_id, seq, label, '{p.name}' as pattern, list_slice(list_sort(list_distinct(regexp_extract_all(text, '{p.regex}'))), 1, 10) as ms from art" for p in _PICKED)
-_SECRETS = f"art as ({S.ARTIFACTS}), found as (select page_id, seq, label, pattern, unnest(ms) as value from ({_SCAN})), firsts as (select page_id, pattern, value, min(seq) as seq, arg_min(label, seq) as label from found group by page_id, pattern, value)"
+_PICKED = BUILT_IN
+_TEXT = lambda regex: "'" + regex.replace("'", "''") + "'"
+_SCAN = " union all ".join(f"select page_id, seq, label, '{p.name}' as pattern, list_slice(list_sort(list_distinct(regexp_extract_all(text, {_TEXT(p.regex)}))), 1, 10) as ms from art" for p in _PICKED)
+_FOUND = f"found as (select page_id, seq, label, pattern, unnest(ms) as value from ({_SCAN})), firsts as (select page_id, pattern, value, min(seq) as seq, arg_min(label, seq) as label from found group by page_id, pattern, value)"
+_SECRETS = f"art as ({S.ARTIFACTS}), {_FOUND}"
 
 
 @query(f"with {_SECRETS} select pattern, count(*)::bigint as n, count(distinct value)::bigint as distinct_values from found group by pattern")
@@ -180,7 +182,7 @@ def redact(spark, d):
 
 
 _PREFIX = "regexp_replace(value, '^(?:sk_live_|pk_live_|sk_test_|pk_test_|ghp_|AKIA|xoxb-|xoxp-)', '')"
-_SCORED = f"""{_SECRETS}, groups as (select page_id, pattern, seq, label, min(value) as value, list_sort(list(value)) as matches from firsts group by all),
+_SCORES = f"""groups as (select page_id, pattern, seq, label, min(value) as value, list_sort(list(value)) as matches from firsts group by all),
 chars as (select value, unnest(string_split({_PREFIX}, '')) as ch from (select distinct value from groups)), cn as (select value, ch, count(*)::double as n from chars group by all),
 ent as (select value, -sum(n / t * log2(n / t)) as bits from (select value, n, sum(n) over (partition by value) as t from cn) group by value),
 inp as (select g.*, case when label like 'Window Object:%' then 'runtime' when label like 'Source Map:%' then 'source_map' when label like 'Script:%' then 'network' when label in ('localStorage', 'sessionStorage') then 'dom' else 'ast' end as src,
@@ -192,6 +194,7 @@ sc as (select i.*, severity, greatest(0, least(100, greatest(0, greatest(0, 40 +
  + case exploit when 'privileged' then 10 when 'unmet' then -8 when 'benign' then -15 else 0 end))) as raw from inp i join dim using (pattern)),
 final as (select page_id, pattern, seq, label, len(matches)::bigint as n, severity, case when ph then least(raw, 20) else raw end::int as score, case when ph then 'low' when raw >= 75 then 'high' when raw >= 40 then 'medium' else 'low' end as level from sc),
 disp as (select *, case when severity in ('LOW', 'INFO') then 'inventory' when level = 'low' then 'lead' else 'finding' end as disposition from final)"""
+_SCORED = f"{_SECRETS}, {_SCORES}"
 
 
 def _scored(spark, d) -> DataFrame:
@@ -299,8 +302,7 @@ def url_signatures(spark, d):
     return technologies.detected(u).select("page_id", F.array_join("technologies", ",").alias("technologies"))
 
 
-_WORDS = [(w.replace("_", " "), c) for c, ws in technologies.CATEGORIES.items() for w in ws.split()]
-_CATEGORY = lambda col: "case " + " ".join(f"when contains(lower({col}), '{w}') then '{c}'" for w, c in _WORDS) + " else 'Other' end"
+_CATEGORY = lambda col: "case " + " ".join(f"when contains(lower({col}), '{w}') then '{c}'" for w, c in technologies.CATEGORIES.items()) + " else 'Other' end"
 _NAMES = sorted({*technologies.SERVER.values(), *technologies.URL.values(), *technologies.GENERATOR.values(), *technologies.GLOBALS.values()})
 
 
@@ -508,8 +510,8 @@ def ordered_dedupe(spark, d):
 
 
 def _facts(spark, d) -> DataFrame:
-    s = sample(spark, d, S.SCRIPTS).select("page_id", "seq", F.col("label").alias("url"), "text")
-    inline = captures.scripts(captures.elements(table(spark, d, "pages"))).where("body is not null").select("page_id", F.col("pos").cast("long").alias("seq"), F.lit("Inline Script").alias("url"), F.col("body").alias("text"))
+    s = sample(spark, d, S.SCRIPTS).union(sample(spark, d, S.FLOWS)).select("page_id", "seq", F.col("label").alias("url"), "text")
+    inline = captures.scripts(captures.elements(table(spark, d, "pages")), None).where("body is not null").select("page_id", F.col("pos").cast("long").alias("seq"), F.lit("Inline Script").alias("url"), F.col("body").alias("text"))
     return javascript.facts(s.union(inline))
 
 
@@ -535,14 +537,13 @@ def script_literals(spark, d):
 
 @query()
 def gadgets(spark, d):
-    f = _facts(spark, d)
-    return findings.gadget_confidence(javascript.gadgets(javascript.flows(f), javascript.pollution(f), javascript.message_handlers(f), sample(spark, d, S.POLICIES)), F.lit("s.example.com"))
+    return findings.gadget_confidence(javascript.gadgets(_facts(spark, d), sample(spark, d, S.POLICIES)), F.lit("s.example.com"))
 
 
 @query()
 def page_artifact_secrets(spark, d):
-    """All built-in and two custom patterns over every artifact of every page."""
-    pages = table(spark, d, "pages")
+    """All built-in and two custom patterns over every artifact of every page, and of what is put behind each."""
+    pages = sample(spark, d, S.PAGES)
     found = secrets.scan(captures.artifacts(pages), catalog([("token_assignment", TOKEN.regex, "HIGH"), ("password_assignment", PASSWORD.regex, "HIGH")]))
     own = secrets.grouped(secrets.with_token_roles(secrets.first_sources(found)))
     host = pages.select("page_id", urls.host(F.col("url")).alias("target"))

@@ -85,7 +85,10 @@ class _Elements(HTMLParser):
         self.forms: list[dict] = []
 
     def handle_starttag(self, tag, attrs):
-        item = {"tag": tag, "attrs": {k: v or "" for k, v in dict(reversed(attrs)).items()}, "text": None, "pos": len(self.out), "controls": 0}
+        own: dict[str, str] = {}
+        for k, v in attrs:
+            own.setdefault(k, v or "")
+        item = {"tag": tag, "attrs": own, "text": None, "pos": len(self.out), "controls": 0}
         self.out.append(item)
         if tag in self.CONTROLS and self.forms:
             self.forms[-1]["controls"] += 1
@@ -157,15 +160,17 @@ def iframes(e: DataFrame) -> DataFrame:
     return e.where("tag = 'iframe'").select("page_id", "pos", F.coalesce(_attr("src"), F.lit("")).alias("src"))
 
 
-def link_counts(e: DataFrame) -> DataFrame:
-    """(page_id, links): distinct href and src values as written."""
-    each = e.select("page_id", F.explode(F.array(_attr("href"), _attr("src"))).alias("ref")).where("ref is not null")
-    return each.groupBy("page_id").agg(F.count_distinct("ref").alias("links"))
+def link_counts(pages: DataFrame) -> DataFrame:
+    """(page_id, links) of every row that has any: distinct href and src values as written.  Nothing is shuffled."""
+    refs = F.array_compact(F.flatten(F.transform("e", lambda x: F.array(F.try_element_at(x["attrs"], F.lit("href")), F.try_element_at(x["attrs"], F.lit("src"))))))
+    made = pages.select("page_id", elements_of(F.col("html")).alias("e"))
+    return made.select("page_id", F.size(F.array_distinct(refs)).cast("long").alias("links")).where("links > 0")
 
 
-def scripts(e: DataFrame) -> DataFrame:
-    """(page_id, pos, src, body): inline bodies are cut; external ones have none here."""
-    body = F.when(_attr("src").isNull(), F.left(F.coalesce("text", F.lit("")), F.lit(INLINE)))
+def scripts(e: DataFrame, inline: int | None = INLINE) -> DataFrame:
+    """(page_id, pos, src, body): inline bodies are cut to ``inline`` characters, if any are given; external ones have none here."""
+    text = F.coalesce("text", F.lit(""))
+    body = F.when(_attr("src").isNull(), text if inline is None else F.left(text, F.lit(inline)))
     return e.where("tag = 'script'").select("page_id", "pos", _attr("src").alias("src"), body.alias("body"))
 
 
@@ -184,26 +189,57 @@ def islands(e: DataFrame) -> DataFrame:
 PLACES = {"html": 0, "hidden": 1, "data": 2, "local": 3, "session": 4, "script": 5, "window": 6, "map": 7}
 
 
-def artifacts(pages: DataFrame, storage: DataFrame | None = None, bodies: DataFrame | None = None, window_objects: DataFrame | None = None, recovered: DataFrame | None = None) -> DataFrame:
-    """(page_id, seq, label, text): everything of a page that detectors read, in the order of capture.
+def artifacts(pages: DataFrame, storage: DataFrame | None = None, bodies: DataFrame | None = None, window_objects: DataFrame | None = None, recovered: DataFrame | None = None, inline: int | None = INLINE, size: int | None = GLOBAL_SIZE, manifest_size: int | None = MANIFEST_SIZE) -> DataFrame:
+    """(page_id, seq, label, text): everything of a page that detectors read, in the order of capture.  A page is parsed once.
+
+    ``inline``, ``size`` and ``manifest_size``: characters of inline scripts, globals and manifests that are read; null for all.
 
     ``storage``: page_id, area, key, value; ``bodies``: page_id, pos, src, body of external scripts;
     ``window_objects``: page_id, key, value; ``recovered``: page_id, pos, path, content.
     """
-    e = elements(pages)
     seq = lambda kind, c: (F.lit(PLACES[kind] * 10**9) + c).cast("long").alias("seq")
-    out = pages.select("page_id", seq("html", F.lit(0)), F.lit("HTML").alias("label"), F.col("html").alias("text"))
-    out = out.union(hidden_inputs(e).select("page_id", seq("hidden", F.col("pos")), F.concat(F.lit("Hidden Input: "), "name"), "value"))
-    out = out.union(data_attributes(e).select("page_id", seq("data", F.col("pos")), F.concat(F.lit("Data Attributes: "), "tag"), F.to_json("attributes")))
-    out = out.union(scripts(e).where("body is not null").select("page_id", seq("script", F.col("pos")), F.lit("Inline Script"), "body"))
+    piece = lambda kind, x, label, text: F.struct(seq(kind, x["pos"]), label.alias("label"), text.alias("text"))
+    attr = lambda x, name: F.try_element_at(x["attrs"], F.lit(name))
+    said = lambda c: F.coalesce(c, F.lit(""))
+
+    def of(x: Column) -> Column:
+        """What an element gives."""
+        some = F.arrays_overlap(F.map_keys(x["attrs"]), F.array(*[F.lit(k) for k in DATA_KEYS]))
+        hidden = F.when((x["tag"] == "input") & (F.lower(attr(x, "type")) == "hidden"), piece("hidden", x, F.concat(F.lit("Hidden Input: "), said(attr(x, "name"))), said(attr(x, "value"))))
+        data = F.when(some, piece("data", x, F.concat(F.lit("Data Attributes: "), x["tag"]), F.to_json(F.map_filter(x["attrs"], lambda k, v: F.startswith(k, F.lit("data-"))))))
+        code = said(x["text"]) if inline is None else F.left(said(x["text"]), F.lit(inline))
+        return F.array_compact(F.array(hidden, data, F.when((x["tag"] == "script") & attr(x, "src").isNull(), piece("script", x, F.lit("Inline Script"), code))))
+
+    page = F.array(F.struct(seq("html", F.lit(0)), F.lit("HTML").alias("label"), F.col("html").alias("text")))
+    own = pages.select("page_id", "html", elements_of(F.col("html")).alias("e"))
+    out = own.select("page_id", F.inline(F.concat(page, F.flatten(F.transform("e", of)))))
     if storage is not None:
         area = storage.groupBy("page_id", "area").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value"))))).alias("text"))
         out = out.union(area.select("page_id", F.when(F.col("area") == "local", PLACES["local"] * 10**9).otherwise(PLACES["session"] * 10**9).cast("long"), F.concat("area", F.lit("Storage")), "text"))
     if bodies is not None:
         out = out.union(bodies.select("page_id", seq("script", F.col("pos")), F.concat(F.lit("Script: "), "src"), "body"))
     if window_objects is not None:
-        cut = F.when(F.col("key").isin(*MANIFESTS), F.left("value", F.lit(MANIFEST_SIZE))).otherwise(F.left("value", F.lit(GLOBAL_SIZE)))
+        part = lambda n: F.col("value") if n is None else F.left("value", F.lit(n))
+        cut = F.when(F.col("key").isin(*MANIFESTS), part(manifest_size)).otherwise(part(size))
         out = out.union(window_objects.select("page_id", F.lit(PLACES["window"] * 10**9).cast("long"), F.concat(F.lit("Window Object: "), "key"), cut))
     if recovered is not None:
         out = out.union(recovered.where("content is not null and not ignored").select("page_id", seq("map", F.col("pos")), F.concat(F.lit("Source Map: "), "path"), "content"))
     return out.where("text is not null")
+
+
+#: Globals that tell of a debug build, by the flag that they raise.
+DEBUG_GLOBALS = {"__DEBUG__": "window.__DEBUG__", "DEBUG": "window.DEBUG", "__DEV__": "window.__DEV__", "Vue.config.devtools": "vue_devtools_enabled", "__VUE_PROD_DEVTOOLS__": "vue_prod_devtools", "ng.probe": "angular_debug_mode"}
+
+
+def debug_flags(window_objects: DataFrame, e: DataFrame) -> DataFrame:
+    """(page_id, flag), distinct: signs of a debug build in captured globals (page_id, key, value) and elements."""
+    true = ~F.lower(F.trim("value")).isin("false", "null", "undefined", "0", '""', "")
+    named = F.create_map(*[F.lit(x) for kv in DEBUG_GLOBALS.items() for x in kv])[F.col("key")]
+    development = F.when((F.col("key") == "__NEXT_DATA__") & (F.get_json_object("value", "$.buildId") == "development"), "Next.js dev buildId")
+    bundle = F.when((F.col("key") == "__REACT_DEVTOOLS_GLOBAL_HOOK__") & F.rlike("value", F.lit(r'"bundleType"\s*:\s*1\b')), "react_dev_bundle")
+    strict = F.when((F.col("key") == "__DEV__") & (F.trim("value") == "true"), "__DEV__=true")
+    own = window_objects.select("page_id", F.explode(F.array_compact(F.array(F.when(true, named), development, bundle, strict))).alias("flag"))
+    overlay = F.when(_attr("id") == "react-error-overlay", "react-error-overlay")
+    version = F.when(_attr("ng-version").isNotNull(), "angular_ng_version_attr")
+    seen = e.select("page_id", F.explode(F.array_compact(F.array(overlay, version))).alias("flag"))
+    return own.union(seen).distinct()

@@ -7,6 +7,7 @@ a response fills url and headers only where no request did; a body counts only i
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -44,11 +45,11 @@ def merge(events: DataFrame) -> DataFrame:
 
 
 _STATE = "first long, url string, method string, request_headers string, request_body string, status int, response_headers string, body string, size long"
+#: Milliseconds that a call's state waits for more, before and after its end.
+WAIT = 60_000
 
 
 def _absorb(state: dict, rows: list[dict]) -> dict:
-    import json
-
     for r in sorted(rows, key=lambda r: r["seq"]):
         if r["kind"] == "request":
             if not (r["url"] or "").startswith(("http:", "https:")):
@@ -68,33 +69,26 @@ def _absorb(state: dict, rows: list[dict]) -> dict:
 
 
 def _step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    import json
-
     names = [c.split()[0] for c in _STATE.split(", ")]
     now = dict(zip(names, state.get)) if state.exists else dict.fromkeys(names)
-    rows, done = [], False
-    for f in frames:
-        for r in f.to_dict("records"):
-            r = {k: None if not isinstance(v, (dict, list)) and pd.isna(v) else v for k, v in r.items()}
-            rows.append(r)
-            done |= r["kind"] == "finished"
+    rows = [{k: None if not isinstance(v, (dict, list)) and pd.isna(v) else v for k, v in r.items()} for f in frames for r in f.to_dict("records")]
     now = _absorb(now, rows)
-    if (done or state.hasTimedOut) and now["first"] is not None:
-        head = json.loads(now["response_headers"] or "{}")
-        kind = next((v for k, v in head.items() if k.lower() == "content-type"), None)
-        state.remove()
-        yield pd.DataFrame([{"page_id": key[0], "request_id": key[1], "seq": now["first"], "url": now["url"], "method": now["method"] or "", "status": now["status"] or 0, "request_headers": json.loads(now["request_headers"] or "{}"), "response_headers": head, "response_content_type": kind, "request_body": now["request_body"], "response_body": now["body"], "response_size": now["size"]}])
-    elif state.hasTimedOut:
+    if state.hasTimedOut:
         state.remove()
-    else:
-        state.update(tuple(None if now[n] is None else now[n] for n in names))
-        state.setTimeoutDuration(60_000)
+        if now["first"] is not None:
+            head = json.loads(now["response_headers"] or "{}")
+            kind = next((v for k, v in head.items() if k.lower() == "content-type"), None)
+            yield pd.DataFrame([{"page_id": key[0], "request_id": key[1], "seq": now["first"], "url": now["url"], "method": now["method"] or "", "status": now["status"] or 0, "request_headers": json.loads(now["request_headers"] or "{}"), "response_headers": head, "response_content_type": kind, "request_body": now["request_body"], "response_body": now["body"], "response_size": now["size"]}])
+        return
+    state.update(tuple(now[n] for n in names))
+    state.setTimeoutDuration(WAIT)
 
 
 def merge_stream(events: DataFrame) -> DataFrame:
-    """The same merge with state for each call, given out when it has finished or waited a minute for more.
+    """The same merge with state for each call, given out once nothing has come for it for ``WAIT`` milliseconds.
 
-    A call's events within a micro-batch are taken in order of seq.
+    An end doesn't give a call out at once: a redirect's next request under the same id belongs to it.  A call's events
+    within a micro-batch are taken in order of seq; an event that comes after its call was given out opens another.
     """
     return _typed(events).groupBy("page_id", "request_id").applyInPandasWithState(_step, CALL, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
