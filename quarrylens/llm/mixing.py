@@ -3,8 +3,8 @@
 Sources weigh 5, 2, 1 in turn.  The budget is shared by weight; a source whose share exceeds the most
 epochs it may be repeated is clamped there and its excess goes to the others by weight, until none is
 above.  A source's documents are then all taken the whole number of times that its target holds, and
-the rest of the target is sampled without replacement in the order of a seeded hash; the document at
-the border is taken in part, so that targets are met to the word.
+the rest of the target is sampled without replacement in the order of a seeded hash; of the document at
+the border a part counts, so that targets are met to the word (see ``mix`` for what becomes of it).
 
 The sampling order is kept in slices of a source, of a few thousand rows by hash: each has its part of
 the source's remainder in proportion to its words.  So no task ever holds a source, however hot.
@@ -103,19 +103,26 @@ def first_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(pieces, F.lit(1), n), "")
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", length: str | None = "n_chars", budget: float = 1.5, epochs: float = 2.0, seed: int = 17) -> DataFrame:
-    """The mixed corpus: rows of ``docs`` as often as taken, the last time perhaps only the text's first words.
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", length: str | None = "n_chars", budget: float = 1.5, epochs: float = 2.0, seed: int = 17, whole: bool = True) -> DataFrame:
+    """The mixed corpus: rows of ``docs`` as often as taken.
 
-    Columns are those of ``docs``; where a text is cut, the column ``length``, if there, has its new length.
-    Rows that the mix takes nothing of go.
+    The document at a slice's border, of which the mix takes a part, is taken whole or not at all by a seeded draw
+    with that part as its chance; with ``whole`` off it is cut to its first words, so that targets are met to the word.
+    Columns are those of ``docs``, under any names; where a text is cut, the column ``length``, if there, has its new
+    length.  Rows that the mix takes nothing of go: those of null and wordless texts always.  A null source is one of
+    its own; a null key counts as the empty text in the order; equal rows are taken like any others; an empty table stays empty.
     """
     size = fresh(docs, "size")
     plan, n = _planned(docs.withColumn(size, n_words(text_of(docs, text))), size, source, key, text, budget, epochs, seed)
     words, taken = F.col(size), F.col(n["taken"])
     times = F.when(words > 0, F.expr(f"{n['taken']} div {size}")).otherwise(F.lit(0))
     part = F.when(words > 0, taken - times * words).otherwise(F.lit(0))
-    lengths = F.concat(F.array_repeat(words, times.cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
+    draw = F.pmod(F.xxhash64(F.lit(seed + 2), F.col(n["order"])), F.lit(1 << 32)) / F.lit(float(1 << 32))
+    last = F.when(draw * words < part, F.array(words)) if whole else F.when(part > 0, F.array(part))
+    lengths = F.concat(F.array_repeat(words, times.cast("int")), F.coalesce(last, F.array().cast("array<bigint>")))
     many = plan.withColumn(n["cum"], F.explode(lengths))
+    if whole:
+        return many.select(*[docs[c] for c in docs.columns])
     cut = F.col(n["cum"]) < words
     out = []
     for c in docs.columns:

@@ -403,9 +403,16 @@ def test_mixture_meets_targets(spark, odd, empty):
     again = mixing.mixture(docs.repartition(3)).collect()
     assert sorted(got) == sorted(again)
     assert mixing.mixture(odd).count() == odd.count() and mixing.mixture(empty).collect() == []
-    whole = mixing.mix(docs)
-    assert whole.columns == docs.columns
-    assert whole.agg(F.sum(mixing.n_words(F.col("text")))).first()[0] == sum(taken.values())
+    cut = mixing.mix(docs, whole=False)
+    assert cut.columns == docs.columns
+    assert cut.agg(F.sum(mixing.n_words(F.col("text")))).first()[0] == sum(taken.values())
+    whole = mixing.mix(docs).collect()
+    assert sorted(whole) == sorted(mixing.mix(docs.repartition(2)).collect())
+    known = {i: (t, s) for i, t, s in rows}
+    assert all(known[r["doc_id"]] == (r["text"], r["source"]) for r in whole)
+    times = Counter(r["doc_id"] for r in whole)
+    assert all(abs(times[r["doc_id"]] * r["size"] - r["taken"]) < max(1, r["size"]) for r in got)
+    assert abs(sum(len(words(r["text"])) for r in whole) - sum(taken.values())) <= 60 * len(order) * 2
     assert mixing.mix(odd).columns == odd.columns
 
 
