@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..operators import findings, javascript, manifests, posture, secrets, sourcemaps, storage, traffic, versions
-from ..sources import captures
+from ..sources import captures, sections
 from . import catalog as C
 from . import samples as S
 from .catalog import query, table
@@ -316,3 +316,87 @@ def merged_routes(spark, d):
     of = lambda rows, source, *pairs: rows.select("page_id", F.inline(F.array(*[F.struct(F.lit(p).alias("path"), F.lit(k).alias("kind")) for p, k in pairs]))).select("*", F.lit(source).alias("source"), F.lit(False).alias("dynamic"))
     maps = of(r.where("page_id % 2 = 0"), "map", ("/x", "route"), ("/only", "route"))
     return manifests.merged(maps, of(r, "remix:manifest", ("/", "route"), ("/x", "api")), of(r, "chunk", ("/x", "route"))).select("page_id", "path", "kind", "source")
+
+
+# reports
+
+
+_TABLE = "string_agg('| ' || domain || ' | ' || n || ' |', chr(10) order by domain)"
+
+
+@query(f"""with c as (select *, regexp_extract(url, '//([^/]*)', 1) as h, 'h' || (page_id % 9) || '.example.com' as t, regexp_matches(url, '/api/|/graphql|/v1/|/v2/|/v3/') or url like '%.json' as api from ({S.OBSERVED})),
+a as (select page_id, '- Requests: ' || count(*) || chr(10) || '- API-like: ' || count_if(regexp_matches(url, '/api/|/graphql|/v1/|/v2/|/v3/|\\.json')) || chr(10) || '- First party: ' || count_if(h = t) || chr(10) || '- Third party: ' || count_if(h <> t) as text from c group by page_id),
+b as (select page_id, '| Domain | Requests |' || chr(10) || '| --- | --- |' || chr(10) || {_TABLE} as text from (select page_id, h as domain, count(*) as n from c where h <> t group by all) group by page_id),
+m as (select *, bool_or(api) over (partition by page_id) as any_api from c), n as (select *, row_number() over (partition by page_id order by seq, url) as place from m where api or not any_api),
+k as (select page_id, '| Method | Status | Content type | URL | Credentials |' || chr(10) || '| --- | --- | --- | --- | --- |' || chr(10) || string_agg('| ' || case when method = '' then 'GET' else method end || ' | ' || case when status = 0 then '-' else status::varchar end || ' | '
+  || coalesce(response_content_type, case when lower(answered) = 'content-type' then 'm.js.map' end, '-') || ' | `' || replace(url, '|', '\\|') || '` | ' || case asked when 'Authorization' then 'AUTHORIZATION' when 'X-API-Key' then 'X API KEY' else '-' end || ' |', chr(10) order by place) as text from n where place <= 10 group by page_id)
+select page_id, '## Network' || chr(10) || chr(10) || a.text || coalesce(chr(10) || chr(10) || b.text, '') || chr(10) || chr(10) || k.text || chr(10) as text from a left join b using (page_id) join k using (page_id)""")
+def report_network(spark, d):
+    return sections.network(_observed(spark, d), _home(spark, d))
+
+
+@query(f"""with e as (select distinct page_id, url from ({S.ASSETS})), f as (select *, row_number() over (partition by page_id order by url) as nth, count(*) over (partition by page_id) as total from e)
+select page_id, '## Inventory' || chr(10) || chr(10) || '### Endpoints' || chr(10) || chr(10) || string_agg('- `' || url || '`', chr(10) order by nth) || case when any_value(total) > 15 then chr(10) || '- ... and ' || (any_value(total) - 15) || ' more' else '' end || chr(10) as text from f where nth <= 15 group by page_id""")
+def report_endpoints(spark, d):
+    none = spark.createDataFrame([], "page_id long, path string, kind string")
+    kept = spark.createDataFrame([], "page_id long, classification string, keys array<string>, value string, disposition string")
+    return sections.inventory(sample(spark, d, S.ASSETS), none, kept)
+
+
+@query(f"""with c as ({S.COOKIES}), w as (select page_id, name, case when secure then '' else 'missing Secure' end || case when not secure and not http_only then ', ' else '' end || case when http_only then '' else 'missing HttpOnly' end as issues from c where not secure or not http_only),
+n as (select *, row_number() over (partition by page_id order by name, issues) as nth, count(*) over (partition by page_id) as total from w)
+select page_id, '## Security posture' || chr(10) || chr(10) || '| Cookie | Issues |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || name || ' | ' || issues || ' |', chr(10) order by nth) || case when any_value(total) > 50 then chr(10) || '- ... and ' || (any_value(total) - 50) || ' more' else '' end || chr(10) as text from n where nth <= 50 group by page_id""")
+def report_posture(spark, d):
+    none = spark.createDataFrame([], "page_id long, header string")
+    return sections.cookies(posture.weak_cookies(sample(spark, d, S.COOKIES)), none)
+
+
+@query(f"""with s as ({_CASES}), h as (select page_id, label || ':2:1' as location, case k when 2 then 'none' when 3 then 'strict' else 'weak' end as origin_check from s where k in (2, 3, 5)),
+f as (select page_id, location, source, sink from (select page_id, label || ':2:' || case k when 2 then 49 when 3 then 77 else 26 end as location, case k when 6 then 'location.search' else 'e.data' end as source, case k when 2 then 'eval(...)' when 3 then 'document.write(...)' else 'innerHTML' end as sink, label from s where k in (2, 3, 6)) where label like 'https://s.example.com/%'),
+l as (select page_id, 1 as k, '- Flow: `' || source || '` to `' || sink || '` at `' || location || '`' as line, row_number() over (partition by page_id order by location, source, sink) as nth, count(*) over (partition by page_id) as total from f
+ union all select page_id, 2, '- Message handler at `' || location || '`, origin check: ' || origin_check, row_number() over (partition by page_id order by location), count(*) over (partition by page_id) from h),
+g as (select page_id, k, string_agg(line, chr(10) order by nth) || case when any_value(total) > 10 then chr(10) || '- ... and ' || (any_value(total) - 10) || ' more' else '' end as text from l where nth <= 10 group by page_id, k)
+select page_id, '## Leads' || chr(10) || chr(10) || string_agg(text, chr(10) || chr(10) order by k) || chr(10) as text from g group by page_id""")
+def report_leads(spark, d):
+    f = _flow_facts(spark, d)
+    none = spark.createDataFrame([], "page_id long, lead string")
+    return sections.leads(none, findings.flow_confidence(javascript.flows(f), F.lit("s.example.com")), javascript.message_handlers(f))
+
+
+@query(f"""with {C._SCORED}, c as (select page_id, count_if(disposition = 'finding' and severity = 'CRITICAL') as critical, count_if(disposition = 'finding' and severity = 'HIGH') as high, count_if(disposition = 'finding' and severity = 'MEDIUM') as medium, count_if(disposition = 'lead') as leads, count_if(disposition = 'inventory') as inventory from disp group by page_id),
+l as (select page_id, list_filter([case when critical > 0 then 'Revoke and replace the critical credentials now.' end, case when high > 0 then 'Look into the findings of high severity first.' end, case when medium > 0 then 'Plan work on the findings of medium severity.' end, case when leads > 0 then 'Check the leads by hand; they are no findings yet.' end,
+ case when inventory > 0 then 'Review what the inventory shows to everyone.' end, 'Scan again after each release.'], lambda x: x is not null) as said from c)
+select page_id, '## Recommendations' || chr(10) || chr(10) || array_to_string(list_transform(range(1, len(said) + 1), lambda i: i || '. ' || said[i]), chr(10)) || chr(10) as text from l""")
+def report_recommendations(spark, d):
+    return sections.recommendations(findings.summary(findings.of_secrets(C._scored(spark, d))))
+
+
+@query(f"""with w as (select distinct page_id, case key when '__NEXT_DATA__' then 'Next.js' else 'Nuxt' end as framework, case key when '__NEXT_DATA__' then 'next-data' else 'nuxt-payload' end as kind, regexp_extract(value, '"buildId":"([^"]*)"', 1) as build from ({S.WINDOW}) where key in ('__NEXT_DATA__', '__NUXT__')),
+o as (select *, row_number() over (partition by page_id order by framework, kind) as nth from w)
+select page_id, max(nth)::bigint as manifests, count_if(build <> '')::bigint as built from o group by page_id""")
+def report_surface(spark, d):
+    """The manifests' table of each page's client surface, counted in its lines."""
+    found = manifests.captured(sample(spark, d, S.WINDOW))
+    routes = manifests.routes(sample(spark, d, S.WINDOW))
+    told = findings.route_confidence(routes.where("false"), F.lit("a.example.com"))
+    none = spark.createDataFrame([], "page_id long, name string, version string")
+    text = sections.surface(found, told, none)
+    lines = F.filter(F.split("text", "\n"), lambda x: F.rlike(x, F.lit(r"^\| (?:Next|Nuxt)")))
+    return text.select("page_id", F.size(lines).cast("long").alias("manifests"), F.size(F.filter(lines, lambda x: ~F.endswith(x, F.lit("| - |")))).cast("long").alias("built"))
+
+
+@query()
+def report_full(spark, d):
+    """Every section of the pages that have scripts, calls, cookies, globals or secrets."""
+    f = _flow_facts(spark, d)
+    target = F.lit("s.example.com")
+    flows, handlers = findings.flow_confidence(javascript.flows(f), target), findings.handler_confidence(javascript.message_handlers(f), target)
+    gadgets = findings.gadget_confidence(javascript.gadgets(f, sample(spark, d, S.POLICIES)), target)
+    stored = storage.assess(storage.classify(storage.gather(sample(spark, d, S.MAPS), sample(spark, d, S.COOKIES), sample(spark, d, S.CALLS).select("page_id", "seq", "url")), F.lit(1000)))
+    routes = manifests.merged(manifests.routes(sample(spark, d, C._GLOBALS)), manifests.remix_routes(sample(spark, d, S.REMIX)))
+    pages = f.select("page_id").distinct().select("page_id", F.concat(F.lit("https://s.example.com/"), F.col("page_id").cast("string")).alias("url"))
+    names = versions.frameworks(sample(spark, d, S.WINDOW), sample(spark, d, S.LINKED))
+    return sections.report(
+        pages, sections.technologies(names), sections.network(_observed(spark, d), _home(spark, d)), sections.inventory(sample(spark, d, S.ASSETS), routes, stored), sections.leads(versions.wordpress(_observed(spark, d), _meta(spark, d), spark.createDataFrame([], "page_id long, pos long, src string")).select("page_id", F.coalesce("version", F.lit("unknown")).alias("lead")), flows, handlers),
+        sections.dataflow(flows, gadgets, handlers), sections.surface(manifests.captured(sample(spark, d, S.WINDOW)), findings.route_confidence(routes, target), sourcemaps.package_versions(sample(spark, d, S.PATHS))), sections.cookies(posture.weak_cookies(sample(spark, d, S.COOKIES)), posture.missing_on_document(C._calls(spark, d), _home(spark, d))), sections.recommendations(findings.summary(findings.of_secrets(C._scored(spark, d)))),
+    )
