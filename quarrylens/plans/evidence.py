@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import urls
-from ..operators import findings, javascript, manifests, posture, secrets, sourcemaps, storage, traffic, versions
-from ..sources import captures, sections
+from ..functions import urls, values
+from ..operators import advice, findings, javascript, manifests, posture, secrets, sourcemaps, storage, technologies, traffic, versions
+from ..sources import captures, sections, sinks
 from . import catalog as C
 from . import samples as S
 from .catalog import query, table
@@ -400,3 +400,79 @@ def report_full(spark, d):
         pages, sections.technologies(names), sections.network(_observed(spark, d), _home(spark, d)), sections.inventory(sample(spark, d, S.ASSETS), routes, stored), sections.leads(versions.wordpress(_observed(spark, d), _meta(spark, d), spark.createDataFrame([], "page_id long, pos long, src string")).select("page_id", F.coalesce("version", F.lit("unknown")).alias("lead")), flows, handlers),
         sections.dataflow(flows, gadgets, handlers), sections.surface(manifests.captured(sample(spark, d, S.WINDOW)), findings.route_confidence(routes, target), sourcemaps.package_versions(sample(spark, d, S.PATHS))), sections.cookies(posture.weak_cookies(sample(spark, d, S.COOKIES)), posture.missing_on_document(C._calls(spark, d), _home(spark, d))), sections.recommendations(findings.summary(findings.of_secrets(C._scored(spark, d)))),
     )
+
+
+# texts and scores
+
+
+@query("""select p_partkey, case when length(p_name) > 9 then left(p_name, 9) || '...' else p_name end as clipped, case when length(p_name) > 12 then left(p_name, 5) || '...' || right(p_name, 4) else p_name end as middle from part""")
+def text_clips(spark, d):
+    p = table(spark, d, "part")
+    return p.select("p_partkey", values.clip(F.col("p_name"), 9).alias("clipped"), values.clip_middle(F.col("p_name"), 12).alias("middle"))
+
+
+@query("select distinct pattern, array_to_string(list_transform(string_split(pattern, '_'), lambda w: upper(left(w, 1)) || w[2:]), ' ') as title from (select unnest([{}]) as pattern)".format(", ".join(f"'{n}'" for n in S.FORMS)))
+def pattern_titles(spark, d):
+    return spark.createDataFrame([(n,) for n in S.FORMS], "pattern string").select("pattern", values.title(F.col("pattern")).alias("title"))
+
+
+@query("""select p_partkey, case p_partkey % 8 when 0 then '6.' || (p_partkey % 10) when 2 then '6.1.2' when 5 then '5.9' when 6 then '4.' || (p_partkey % 7) || '.1' end as version from part""")
+def generator_versions(spark, d):
+    k = F.col("p_partkey")
+    n = lambda m: (k % m).cast("string")
+    said = F.when(k % 8 == 0, F.concat(F.lit("WordPress 6."), n(10))).when(k % 8 == 1, "WordPress 6.9-beta1").when(k % 8 == 2, "powered by wordpress  6.1.2 today").when(k % 8 == 3, "Hugo 0.1").when(k % 8 == 4, "WordPress").when(k % 8 == 5, "https://wordpress.org/?a=1&v=5.9").when(k % 8 == 6, F.concat(F.lit("https://wordpress.org/?v=4."), n(7), F.lit(".1"))).otherwise("https://wordpress.org/?v=x")
+    return table(spark, d, "part").select("p_partkey", technologies.generator_version(said).alias("version"))
+
+
+_SOURCES = "select p_partkey, case p_partkey % 4 when 0 then 'https://s.example.com/a.js.map' when 1 then '__NUXT__' when 2 then 'https://other.net/x.js' else 'chunk-graph' end as source from part"
+
+
+@query(f"""with r as ({_SOURCES}), s as (select p_partkey, 40 + case p_partkey % 4 when 0 then 12 + 8 when 1 then 20 + 8 + 22 when 2 then -12 else 8 end as v from r) select p_partkey, least(100, greatest(0, v))::int as score, case when v >= 75 then 'high' when v >= 40 then 'medium' else 'low' end as level from s""")
+def route_scores(spark, d):
+    rows = findings.route_confidence(sample(spark, d, _SOURCES), F.lit("example.com"))
+    return rows.select("p_partkey", "confidence.score", "confidence.level")
+
+
+@query(f"""with {C._SCORED}, p as (select distinct page_id from disp), n as (select page_id, count(*)::bigint as secrets from disp group by page_id)
+select page_id, 'https://p' || page_id || '.example.org/' as url, secrets, 0::bigint as vulnerabilities, case when page_id % 5 = 0 then 'timeout while the page was still loading its many parts from elsewhere'[1:60] || '...' when page_id % 5 = 1 then 'refused' else 'ok' end as status from p join n using (page_id)""")
+def batch_summary(spark, d):
+    rows = findings.of_secrets(C._scored(spark, d))
+    pages = rows.select("page_id").distinct().select("page_id", F.concat(F.lit("https://p"), F.col("page_id").cast("string"), F.lit(".example.org/")).alias("url"))
+    k = F.col("page_id") % 5
+    errors = pages.select("page_id", F.when(k == 0, "timeout while the page was still loading its many parts from elsewhere").when(k == 1, "refused").alias("error")).where("error is not null")
+    return sinks.batch_summary(pages, rows, errors)
+
+
+@query(f"""with t as ({S.TOKENS}), p as (select page_id, c_custkey from (select page_id, page_id as c_custkey, value from t) where value like 'eyJ%')
+select page_id, case c_custkey % 6 when 0 then 'expires 9999999999; roles service_role' when 1 then 'issuer supabase; roles anon' when 2 then 'expires 100 (over); scopes read, write' else 'roles admin, user' end as claims from p""")
+def claims_prose(spark, d):
+    t = sample(spark, d, S.TOKENS).select("page_id", storage.claims(F.col("value"), F.lit(1000)).alias("c")).where("c is not null")
+    return t.select("page_id", advice.claims_text(F.col("c")).alias("claims"))
+
+
+@query(f"""with {C._SCORED}, g as (select page_id, pattern, seq, list_sort(list(value)) as ms from firsts group by page_id, pattern, seq)
+select page_id, pattern, seq, case when strlen(ms[1]) <= 12 then repeat('*', length(ms[1])) else left(ms[1], 4) || repeat('*', least(strlen(ms[1]) - 8, 20)::int) || '...' || right(ms[1], 4) end || case when len(ms) > 1 then ' (+' || (len(ms) - 1) || ' more)' else '' end as shown,
+ case pattern {" ".join(f"when '{k}' then '{v.replace(chr(39), chr(39) * 2)}'" for k, v in advice.SECRET.items())} else '{advice.SECRET_OTHER}' end as advice from g""")
+def secret_rows(spark, d):
+    rows = C._scored(spark, d)
+    return rows.select("page_id", "pattern", "seq", advice.shown(F.col("matches")).alias("shown"), advice.secret_advice(F.col("pattern")).alias("advice"))
+
+
+_CLASSES = ", ".join(f"('{k}', '{v[0].replace(chr(39), chr(39) * 2)}', '{v[1].replace(chr(39), chr(39) * 2)}')" for k, v in advice.STORAGE.items())
+
+
+@query(f"""with t as (select * from (values {_CLASSES}) t(classification, context, advice)) select p_partkey, context, advice from part join t on classification = case p_partkey % 6 {" ".join(f"when {i} then '{k}'" for i, k in enumerate(advice.STORAGE))} end""")
+def storage_prose(spark, d):
+    names = F.element_at(F.array(*[F.lit(k) for k in advice.STORAGE]), (F.col("p_partkey") % 6 + 1).cast("int"))
+    none = F.lit(None).cast("struct<issuer:string,audience:array<string>,expires_at:bigint,expired:boolean,roles:array<string>,scopes:array<string>,tenants:array<string>,accounts:array<string>>")
+    return table(spark, d, "part").select("p_partkey", advice.storage_context(names, none).alias("context"), advice.storage_advice(names).alias("advice"))
+
+
+@query(f"""with {C._SCORED}, n as (select page_id, count(*) as n from disp group by page_id) select page_id, 'p' || page_id || '-example-org' as folder, '0.5' as version, least(n, 3)::bigint as kept, case when n > 3 then n::varchar else '-' end as whole from n""")
+def json_report_sizes(spark, d):
+    """JSON documents of a page's secrets, at most three in each."""
+    rows = findings.of_secrets(C._scored(spark, d))
+    pages = rows.select("page_id").distinct().select("page_id", F.concat(F.lit("https://p"), F.col("page_id").cast("string"), F.lit(".example.org/")).alias("url"))
+    made = sinks.json_documents(pages, limit=3, findings=rows)
+    json = F.col("json")
+    return made.select("page_id", "folder", F.get_json_object(json, "$.schema_version").alias("version"), F.json_array_length(F.get_json_object(json, "$.findings")).cast("long").alias("kept"), F.coalesce(F.get_json_object(json, "$.cut.findings"), F.lit("-")).alias("whole"))

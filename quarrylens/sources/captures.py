@@ -55,6 +55,23 @@ class Config:
                 return tomllib.loads(p.read_text())
         return {}
 
+    @classmethod
+    def arguments(cls, args: list[str] | None = None) -> Config:
+        """From a command line, with the settings file's values where the caller gives none; checked."""
+        import argparse
+
+        p = argparse.ArgumentParser(description="Analyse captured pages.")
+        p.add_argument("url", nargs="?")
+        p.add_argument("--file")
+        p.add_argument("--output", default=cls.output)
+        p.add_argument("--format", default=cls.format)
+        p.add_argument("--timeout", type=int, default=cls.timeout)
+        p.add_argument("--ignore-pattern", action="append", default=[], dest="ignore_patterns")
+        p.add_argument("--config")
+        given = vars(p.parse_args(args))
+        settings = cls.read(given.pop("config"))
+        return cls(**given).merge(settings).check()
+
     def merge(self, settings: dict) -> Config:
         default = Config()
         for f in fields(self):

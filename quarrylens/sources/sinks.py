@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
@@ -15,14 +15,25 @@ def folder(url: Column) -> Column:
     return F.coalesce(F.replace(urls.host(url), F.lit("."), F.lit("-")), F.lit("unknown"))
 
 
-def json_documents(pages: DataFrame, **sections: DataFrame) -> DataFrame:
-    """(page_id, folder, json): each page's rows of each section as lists; empty sections and nulls are left out."""
-    out = pages.select("page_id", "url")
+#: Rows of a page that a document holds of one section at most; the rest is counted.
+LIMIT = 10_000
+
+
+def json_documents(pages: DataFrame, limit: int = LIMIT, **sections: DataFrame) -> DataFrame:
+    """(page_id, folder, json): each page's rows of each section as lists; empty sections and nulls are left out.
+
+    Rows are in the order of their JSON.  A section of more than ``limit`` rows is cut there, and ``cut`` has its whole length.
+    """
+    out, longer = pages.select("page_id", "url"), []
     for name, rows in sections.items():
-        cols = [c for c in rows.columns if c != "page_id"]
-        own = rows.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct(*cols)), lambda a, b: F.when(F.to_json(F.struct(a.alias("x"))) < F.to_json(F.struct(b.alias("x"))), -1).when(F.to_json(F.struct(a.alias("x"))) > F.to_json(F.struct(b.alias("x"))), 1).otherwise(0)).alias(name))
-        out = out.join(own, "page_id", "left")
-    body = F.struct(F.lit(SCHEMA_VERSION).alias("schema_version"), "url", *sections)
+        row = F.struct(*[c for c in rows.columns if c != "page_id"])
+        by = Window.partitionBy("page_id")
+        each = rows.select("page_id", row.alias("row")).withColumn("at", F.row_number().over(by.orderBy(F.to_json("row")))).withColumn("of", F.count("*").over(by))
+        own = each.where(F.col("at") <= limit).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("at", "row"))).alias("rows"), F.max("of").alias("of"))
+        out = out.join(own.select("page_id", F.transform("rows", lambda r: r["row"]).alias(name), F.when(F.col("of") > limit, F.col("of")).alias(f"{name}_of")), "page_id", "left")
+        longer.append(F.col(f"{name}_of").alias(name))
+    some = F.when(F.coalesce(*longer).isNotNull(), F.struct(*longer)) if longer else F.lit(None).cast("string")
+    body = F.struct(F.lit(SCHEMA_VERSION).alias("schema_version"), "url", *sections, some.alias("cut"))
     return out.select("page_id", folder(F.col("url")).alias("folder"), F.to_json(body, {"ignoreNullFields": "true"}).alias("json"))
 
 
@@ -31,10 +42,14 @@ def cell(text: Column) -> Column:
     return F.replace(F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"[\r\n]+", " "), F.lit("|"), F.lit("\\|"))
 
 
-def markdown(pages: DataFrame, ranked: DataFrame, summary: DataFrame) -> DataFrame:
-    """(page_id, folder, text): a report with headline, counts and the findings in rank order."""
+def markdown(pages: DataFrame, ranked: DataFrame, summary: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """(page_id, folder, text): a report with headline, counts and the findings in rank order, of each disposition the first ``limit``."""
     line = F.concat(F.lit("| "), F.col("severity"), F.lit(" | "), cell(F.col("title")), F.lit(" | "), F.col("level"), F.lit(" ("), F.col("score"), F.lit(") | "), cell(F.col("source")), F.lit(" |"))
-    body = ranked.groupBy("page_id", "disposition").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("severity_rank")).alias("a"), F.col("place").alias("b"), line.alias("line")))), lambda x: x["line"]), "\n").alias("body"))
+    by = Window.partitionBy("page_id", "disposition")
+    each = ranked.withColumn("line", line).withColumn("at", F.row_number().over(by.orderBy(F.col("severity_rank").desc(), "place", "line"))).withColumn("of", F.count("*").over(by))
+    body = each.where(F.col("at") <= limit).groupBy("page_id", "disposition").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("rows"), F.max("of").alias("of"))
+    more = F.when(F.col("of") > limit, F.concat(F.lit("\n\n... and "), (F.col("of") - limit).cast("string"), F.lit(" more"))).otherwise("")
+    body = body.select("page_id", "disposition", F.concat(F.array_join(F.transform("rows", lambda x: x["line"]), "\n"), more).alias("body"))
     pick = lambda d: F.max(F.when(F.col("disposition") == d, F.col("body")))
     wide = body.groupBy("page_id").agg(pick("finding").alias("text_findings"), pick("lead").alias("text_leads"), pick("inventory").alias("text_stock"))
     rows = pages.select("page_id", "url").join(summary, "page_id", "left").join(wide, "page_id", "left")

@@ -151,6 +151,29 @@ def test_queries_equal_their_sql(spark, name):
     assert sorted(map(str, (tuple(r) for r in df.collect()))) == sorted(map(str, want.fetchall()))
 
 
+def test_command_line(tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    (tmp_path / "own.toml").write_text('format = "md"\ntimeout = 9\nignore_patterns = ["jwt"]\n')
+    c = captures.Config.arguments(["https://a.org/", "--config", "own.toml", "--timeout", "5", "--ignore-pattern", "slack"])
+    assert (c.url, c.format, c.timeout, c.ignore_patterns) == ("https://a.org/", "md", 5, ["slack", "jwt"])
+    with pytest.raises(ValueError):
+        captures.Config.arguments([])
+
+
+def test_scripts_that_nest_too_deeply_say_so():
+    assert javascript.analyse_text("a" + "+a" * 60_000, "u")[-1]["kind"] == "too deep"
+
+
+def test_artifacts_parse_a_page_once(spark):
+    page = "<input type=hidden name=k value=v><div data-token=t data-x=1></div><script>" + "a" * 6000 + "</script><script src=s.js></script>"
+    pages = spark.createDataFrame([(1, "http://a/", page), (2, "http://b/", None)], "page_id long, url string, html string")
+    made = captures.artifacts(pages)
+    assert made._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    got = [(r["label"], len(r["text"])) for r in made.orderBy("page_id", "seq").collect()]
+    assert got == [("HTML", len(page)), ("Hidden Input: k", 1), ("Data Attributes: div", 33), ("Inline Script", 5000)]
+    assert max(len(r["text"]) for r in captures.artifacts(pages, inline=None).where("label = 'Inline Script'").collect()) == 6000
+
+
 def test_remix_paths_reads_all_of_part(spark):
     folder = "/root/testdata/sf0.01"
     assert samples.sample(spark, folder, samples.ROUTES).count() == spark.read.parquet(f"{folder}/part.parquet").count()
