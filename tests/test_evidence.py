@@ -170,7 +170,7 @@ def test_artifacts_parse_a_page_once(spark):
     made = captures.artifacts(pages)
     assert made._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
     got = [(r["label"], len(r["text"])) for r in made.orderBy("page_id", "seq").collect()]
-    assert got == [("HTML", len(page)), ("Hidden Input: k", 1), ("Data Attributes: div", 33), ("Inline Script", 5000)]
+    assert got == [("HTML", len(page)), ("Hidden Input: k", 1), ("Data Attributes: div", 31), ("Inline Script", 5000)]
     assert max(len(r["text"]) for r in captures.artifacts(pages, inline=None).where("label = 'Inline Script'").collect()) == 6000
 
 
