@@ -786,14 +786,18 @@ class Parser:
         return e, self.token[3]
 
 
-def parse(text: str | None) -> Node | None:
-    """The tree, or None for empty, oversize or unparseable text.  RecursionError if it nests too deeply."""
+def parse(text: str | None, deep: bool = False) -> Node | None:
+    """The tree, or None for empty, oversize or unparseable text; one that nests too deeply is, too, or with ``deep`` a RecursionError."""
     if not text or not text.strip() or len(text.encode("utf-8", "replace")) > LIMIT:
         return None
     try:
         return Parser(text).program()
     except SyntaxError:
         return None
+    except RecursionError:
+        if deep:
+            raise
+        return None
 
 
 class Places:

@@ -370,7 +370,7 @@ def analyse_text(text: str, url: str) -> list[dict]:
     sys.setrecursionlimit(20_000)
     out: list[dict] = []
     try:
-        tree = parse(text)
+        tree = parse(text, deep=True)
         if tree is None:
             return []
         _statements(tree)
