@@ -11,7 +11,7 @@ from quarrylens.functions import jsparse, scoring, urls, values
 from quarrylens.functions.patterns import BUILT_IN, catalog
 from quarrylens.operators import javascript, manifests, posture, secrets, sourcemaps, storage, technologies
 from quarrylens.plans import catalog as plans
-from quarrylens.plans import samples
+from quarrylens.plans import evidence, samples  # noqa: F401  evidence adds its queries to the catalog
 from quarrylens.sources import captures
 from quarrylens.streaming import network
 
@@ -137,7 +137,7 @@ def test_targets_and_settings(spark, tmp_path):
         captures.Config().check()
 
 
-NAMES = ("origin_class", "custom_secret_scan", "confidence_grid", "csp_flags", "source_routes", "network_merge", "header_signatures", "api_endpoints")
+NAMES = ("planted_gadgets", "planted_artifact_secrets", "storage_candidates", "key_calls", "remix_manifest_routes", "framework_versions", "report_leads", "origin_class", "custom_secret_scan", "confidence_grid", "csp_flags", "source_routes", "network_merge", "header_signatures", "api_endpoints")
 
 
 @pytest.mark.parametrize("name", NAMES)
