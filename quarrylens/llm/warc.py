@@ -185,24 +185,28 @@ def captures_of_pages(pages: DataFrame, key: str = "page_id", url: str = "url",
     root = F.concat(F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1), F.lit("/"))
     last = F.when(F.col("n") % 2 == 0, second).otherwise(F.col("digest"))
 
-    def capture(some: Column, name: str, address: Column, days: int, digest_: Column | None, etag: Column, modified: Column) -> DataFrame:
+    def capture(some: Column, name: str, address: Column, days: int, digest_: Column | None, etag: Column, modified: Column) -> Column:
         fixed = {"content-type": F.lit("text/html"), "content-length": F.col("size").cast("string"), "cache-control": F.lit("max-age=60")} if digest_ is not None else {"content-length": F.lit("0"), "cache-control": F.lit("max-age=600")}
         heads = F.create_map(*[x for k, v in {**fixed, "etag": etag, "last-modified": modified}.items() for x in (F.lit(k), v)])
-        return base.where(some).select(
+        made = F.struct(
             F.concat(F.lit(name), "n").alias("record_id"), F.lit("revisit" if digest_ is None else "response").alias("type"), address.alias("url"), at(days).alias("ts"), F.lit(304 if digest_ is None else 200).alias("status"),
             F.map_filter(heads, lambda _, v: v.isNotNull()).alias("headers"), (F.lit(None) if digest_ is None else digest_).cast("string").alias("digest"),
         )
+        return F.when(some, made)
 
     nth = F.col("n")
     none, always = F.lit(None).cast("string"), F.lit("2023-06-01")
     stale = F.when(nth % 3 == 1, none).when(nth % 7 == 3, F.lit('"outdated"')).otherwise(F.concat(F.lit("W/"), tag(last)))
-    made = capture(F.lit(True), "r", F.col("url"), 0, F.col("digest"), tag(F.col("digest")), day)
-    made = made.union(capture(nth % 2 == 0, "s", marked, 10, second, tag(second), day))
-    made = made.union(capture(nth % 4 == 0, "h", root, 0, second, none, always))
-    made = made.union(capture(nth % 3 == 0, "w", F.col("url"), 5, None, tag(F.col("digest")), none))
-    made = made.union(capture(F.lit(True), "v", F.col("url"), 30, None, stale, day))
-    made = made.union(capture(nth % 4 == 2, "g", root, 1, None, none, always))
-    return made.union(capture(nth % 10 == 0, "x", F.col("url"), -400, None, tag(F.col("digest")), none))
+    made = F.array(
+        capture(F.lit(True), "r", F.col("url"), 0, F.col("digest"), tag(F.col("digest")), day),
+        capture(nth % 2 == 0, "s", marked, 10, second, tag(second), day),
+        capture(nth % 4 == 0, "h", root, 0, second, none, always),
+        capture(nth % 3 == 0, "w", F.col("url"), 5, None, tag(F.col("digest")), none),
+        capture(F.lit(True), "v", F.col("url"), 30, None, stale, day),
+        capture(nth % 4 == 2, "g", root, 1, None, none, always),
+        capture(nth % 10 == 0, "x", F.col("url"), -400, None, tag(F.col("digest")), none),
+    )
+    return base.select(F.inline(F.array_compact(made)))
 
 
 def page_revisits(pages: DataFrame) -> DataFrame:
