@@ -38,9 +38,9 @@ from .components import components
 BITS = 56
 LOW = np.uint64((1 << BITS) - 1)
 #: Shingles in a bucket, sets in a block, on average.
-BUCKET, BLOCK = 3_000_000, 1024
+BUCKET, BLOCK = 2_500_000, 1024
 #: Shingles that a map task gathers before it packs them.
-FLUSH = 2_000_000
+FLUSH = 1_500_000
 #: Shingles that are counted at most to find the frequent ones, how often one of those occurs there at least, and in all.
 COUNTED, TIMES, FREQUENT = 32_000_000, 16, 20_000
 #: The level of a frequent shingle, above that of any list.
@@ -131,7 +131,7 @@ def _size_of(size: int):
             for own in _sets(batch.column(1), size):
                 n.append(len(own))
                 key.append(fingerprint(own))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.int64())], ["doc_id", "n_shingles", "class"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.int64()), batch.column(2)], ["doc_id", "n_shingles", "class", "print"])
 
     return run
 
@@ -214,35 +214,46 @@ def _back(key: np.ndarray, size: np.ndarray, token: np.ndarray, level: np.ndarra
     return _table(list(_spread(own, size[at], counts, token, level, bucket)))
 
 
+def _formed(keys: np.ndarray, sizes: np.ndarray, doc: np.ndarray, tokens: np.ndarray, whole: bool) -> list[np.ndarray]:
+    """token, class, set size and list length of the postings, once for each class; lists of one class only with ``whole``."""
+    order = np.argsort(tokens).astype(np.int32)
+    t = tokens[order]
+    if not whole and len(t):
+        new = np.concatenate(([True], t[1:] != t[:-1]))
+        many = ~(new & np.append(new[1:], True))
+        order, t = order[many], t[many]
+    key = keys[doc[order]]
+    size = sizes[doc[order]]
+    order = np.lexsort((key, t))  # a class that several tasks have seen counts once
+    t, key, size = t[order], key[order], size[order]
+    once = np.ones(len(t), bool)
+    once[1:] = (t[1:] != t[:-1]) | (key[1:] != key[:-1])
+    t, key, size = t[once], key[once], size[once]
+    first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1]))) if len(t) else np.zeros(0, int)
+    n = np.diff(np.append(first, len(t)))
+    n = np.repeat(n, n)
+    keep = np.ones(len(t), bool) if whole else n > 1
+    return [t[keep], key[keep], size[keep], n[keep]]
+
+
 def _lists(buckets: int):
-    """In one bucket: inverted lists of two classes or more, sent back to their classes; frequent shingles as they are."""
+    """In one bucket: inverted lists of two classes or more, sent back to their classes; frequent shingles as they are.
+
+    A bucket's tokens are taken in eight ranges, one after the other, for memory's sake.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         passing = table.column("bucket")[0].as_py() >= buckets
         keys, sizes, doc, tokens = _gather((p.as_py() for p in table.column("payload")), 4)
-        order = np.argsort(tokens).astype(np.int32)
-        t = tokens[order]
-        del tokens
-        if not passing and len(t):
-            new = np.concatenate(([True], t[1:] != t[:-1]))
-            many = ~(new & np.append(new[1:], True))
-            order, t = order[many], t[many]
-        key = keys[doc[order]]
-        size = sizes[doc[order]]
-        order = np.lexsort((key, t))  # a class that several tasks have seen counts once
-        t, key, size = t[order], key[order], size[order]
-        once = np.ones(len(t), bool)
-        once[1:] = (t[1:] != t[:-1]) | (key[1:] != key[:-1])
-        t, key, size = t[once], key[once], size[once]
-        if passing:
-            return _back(key, size, t, np.full(len(t), TOP, np.uint8), buckets)
+        made = []
+        for k in range(8):
+            own = np.flatnonzero(tokens >> np.uint64(BITS - 3) == k)
+            made.append(_formed(keys, sizes, doc[own], tokens[own], passing))
+        del doc, tokens
+        t, key, size, n = (np.concatenate(x) for x in zip(*made))
         if not len(t):
             return _table([])
-        first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
-        n = np.diff(np.append(first, len(t)))
-        n = np.repeat(n, n)
-        keep = n > 1
-        return _back(key[keep], size[keep], t[keep], _level(n[keep]), buckets)
+        return _back(key, size, t, np.full(len(t), TOP, np.uint8) if passing else _level(n), buckets)
 
     return run
 
@@ -361,8 +372,13 @@ def _search(percent: int):
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4) -> DataFrame:
-    """(doc_id, n_shingles, class) for every row; equal sets have equal classes, the empty set has class 0."""
-    return docs.select(docs[key].alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(_size_of(size), f"doc_id {docs.schema[key].dataType.simpleString()}, n_shingles long, class long")
+    """(doc_id, n_shingles, class, print) for every row; equal sets have equal classes, the empty set has class 0; print is the text's hash."""
+    own = docs.select(docs[key].alias("doc_id"), docs[text].cast("string").alias("text"), _print(docs, text).alias("print"))
+    return own.mapInArrow(_size_of(size), f"doc_id {docs.schema[key].dataType.simpleString()}, n_shingles long, class long, print long")
+
+
+def _print(docs: DataFrame, text: str):
+    return F.xxhash64(docs[text].cast("string"))
 
 
 def _cells(cluster: DataFrame, percent: int, block: int) -> DataFrame:
@@ -413,12 +429,12 @@ def similar_classes(docs: DataFrame, total: int, text: str = "text", size: int =
 
 
 def _grouped(docs: DataFrame, key: str, text: str, size: int, percent: int, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """The ``classes`` of all rows, and (class, root, low, n) of the distinct sets: component, smallest key and number of rows."""
+    """The ``classes`` of all rows, and (class, root, low, print, n) of the distinct sets: component, smallest key, its text's hash, number of rows."""
     begin = written()
     found = materialize(classes(docs, key, text, size), "classes")
-    own = materialize(found.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"), F.max("n_shingles").alias("size")), "sets")
+    own = materialize(found.where("n_shingles > 0").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")).alias("first"), F.count("*").alias("n"), F.max("n_shingles").alias("size")), "sets")
     roots = similar_classes(docs, own.agg(F.sum("size")).first()[0] or 0, text, size, percent, block)
-    named = materialize(own.join(roots, own["class"] == roots["vertex"], "left").select("class", F.coalesce("root", "class").alias("root"), "low", "n"), "named")
+    named = materialize(own.join(roots, own["class"] == roots["vertex"], "left").select("class", F.coalesce("root", "class").alias("root"), F.col("first.doc_id").alias("low"), "first.print", "n"), "named")
     discard(docs.sparkSession, begin + 1, 1)
     return found, named
 
@@ -450,19 +466,16 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     Of equal rows one stays, too; rows without words link with nothing and all stay.  A null key counts
     as the largest.  Columns are those of ``docs``, under any names.
     """
-    _, named = _grouped(docs, key, text, size, percent)
-    least = F.min(F.struct(F.col("low").isNull().alias("none"), "low", "class")).alias("first")
-    own, row = fresh(docs, "class"), fresh(docs, "row")
-    kept = named.groupBy("root").agg(least).select(F.xxhash64("first.low").alias(row), F.col("first.class").alias(own))
+    found, named = _grouped(docs, key, text, size, percent)
+    least = F.min(F.struct(F.col("low").isNull().alias("none"), "low", "class", "print")).alias("first")
+    own, row = fresh(docs, "print"), fresh(docs, "row")
+    kept = named.groupBy("root").agg(least).select(F.xxhash64("first.low").alias(row), F.col("first.print").alias(own))
+    again = found.where("n_shingles > 0").groupBy("doc_id", "print").agg(F.count("*").alias("n")).where("n > 1")
+    again = materialize(again.select(F.xxhash64("doc_id").alias(row), F.col("print").alias(own)), "again")
     some = F.coalesce(F.rlike(docs[text].cast("string"), F.lit(WORD)), F.lit(False))
-    mark = docs.where(some).withColumns({own: _class_of(size)(docs[text].cast("string")), row: F.xxhash64(docs[key])})
-    one = mark.join(kept, [row, own], "left_semi").dropDuplicates([row, own])  # combined before the shuffle
+    mark = docs.where(some).withColumns({own: _print(docs, text), row: F.xxhash64(docs[key])})
+    one = mark.join(kept.hint("shuffle_hash"), [row, own], "left_semi")  # the texts are dealt once and never sorted
+    if again.limit(1).count():  # of equal rows one; they are combined before the shuffle
+        first = one.join(again.hint("shuffle_hash"), [row, own], "left_semi").dropDuplicates([row, own])
+        one = one.join(again.hint("shuffle_hash"), [row, own], "left_anti").unionByName(first)
     return one.select(*docs.columns).union(docs.where(~some))
-
-
-def _class_of(size: int):
-    @F.arrow_udf("long")
-    def of(column: pa.Array) -> pa.Array:
-        return pa.array([fingerprint(own) for own in _sets(column, size)], pa.int64())
-
-    return of
