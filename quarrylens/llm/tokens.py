@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -93,15 +93,12 @@ class Coder:
     """
 
     def __init__(self, path: str, slots: int = SLOTS):
-        from tokenizers import Tokenizer
-
+        self.path = path
         with open(path, encoding="utf-8") as f:
             raw = json.load(f)
         model, steps = raw["model"], (raw.get("pre_tokenizer") or {}).get("pretokenizers", [])
         if model.get("type") != "BPE" or model.get("end_of_word_suffix") != "</w>" or len(steps) != 2 or model.get("dropout") or not steps[0].get("pattern", {}).get("Regex", "").endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"):
             raise ValueError(f"{path}: not a vocabulary of this kind")
-        self.library = Tokenizer.from_file(path)
-        self.bare = Tokenizer.from_str(json.dumps(raw | {"normalizer": None, "pre_tokenizer": steps[1], "added_tokens": []}))
         vocab = model["vocab"]
         pairs = [p.split(" ") if isinstance(p, str) else p for p in model["merges"]]
         self.base = len(vocab)
@@ -125,6 +122,22 @@ class Coder:
         self.mask = np.uint64(slots - 1)
         self.keys, self.n, self.ids = np.zeros(slots, np.uint64), np.zeros(slots, np.uint8), np.zeros((slots, HELD), np.int32)
 
+    @cached_property
+    def library(self):
+        """The library's own coder; made only for texts that need it, because a worker keeps it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    @cached_property
+    def bare(self):
+        """The library's coder of single words in normal form; made only for very long ones."""
+        from tokenizers import Tokenizer
+
+        with open(self.path, encoding="utf-8") as f:
+            raw = json.load(f)
+        return Tokenizer.from_str(json.dumps(raw | {"normalizer": None, "pre_tokenizer": raw["pre_tokenizer"]["pretokenizers"][1], "added_tokens": []}))
+
     def _borders(self, p: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of words."""
         inside = kind != SPACE
