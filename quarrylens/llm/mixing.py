@@ -15,13 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, fresh, materialize, text_of
+from .common import HEAVY, WORD, fresh, lookup, materialize, text_of
 
 WEIGHTS = (5, 2, 1)
 #: Rows in a slice of a source, on average.
 SLICE = 2048
-#: Up to so many sources are broadcast; beyond, they are joined.
-FEW = 50_000
 
 
 def n_words(text: Column) -> Column:
@@ -62,16 +60,19 @@ def water_fill(sources: DataFrame, budget: float, epochs: float, weights: tuple
     return table.select("source", "source_size", "rows", F.least("cap", F.col("weight") * F.lit(level)).alias("target"))
 
 
-def _planned(docs: DataFrame, size: str, source: str, key: str, text: str, budget: float, epochs: float, seed: int) -> tuple[DataFrame, dict[str, str]]:
-    """``docs`` with its source's size and target, and the words taken; and the new columns' names."""
+def _planned(docs: DataFrame, size: str, mark: str, source: str, key: str, budget: float, epochs: float, seed: int) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its source's size and target, and the words taken; and the new columns' names.  ``mark`` is the text's hash."""
     name = {k: fresh(docs, k) for k in ("source_size", "target", "taken", "slice", "order", "cum", "all", "whole", "rest", "rows", "mixed")}
-    own = docs.withColumn(name["mixed"], docs[source].cast("string"))
-    sources = own.groupBy(F.col(name["mixed"]).alias("source")).agg(F.coalesce(F.sum(size), F.lit(0)).alias("source_size"), F.count("*").alias("rows"))
-    plan = materialize(water_fill(materialize(sources, "sizes"), budget, epochs), "targets").select(F.col("source").alias("_source"), F.col("source_size").alias(name["source_size"]), F.col("target").alias(name["target"]), F.col("rows").alias(name["rows"]))
-    if plan.count() <= FEW:
-        plan = F.broadcast(plan)
-    both = own.join(plan, own[name["mixed"]].eqNullSafe(plan["_source"])).drop("_source")
-    order = F.xxhash64(F.lit(seed), F.coalesce(docs[key].cast("string"), F.lit("")), F.xxhash64(docs[text]))
+    own = docs.withColumn(name["mixed"], F.coalesce(F.concat(F.lit("="), docs[source].cast("string")), F.lit("")))
+    sources = own.groupBy(docs[source].cast("string").alias("source")).agg(F.coalesce(F.sum(size), F.lit(0)).alias("source_size"), F.count("*").alias("rows"))
+    plan = materialize(water_fill(materialize(sources, "sizes"), budget, epochs), "targets")
+    plan = plan.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias(name["mixed"]), *[F.col(c).alias(name[c]) for c in ("source_size", "target", "rows")])
+    n = plan.agg(F.count("*"), F.sum(name["rows"])).first()
+    if n[0] <= HEAVY:
+        both = own.join(F.broadcast(plan), name["mixed"])
+    else:
+        both = lookup(own, plan.withColumn(name["cum"], F.col(name["rows"])), name["mixed"], n[1], name["cum"])
+    order = F.xxhash64(F.lit(seed), F.coalesce(docs[key].cast("string"), F.lit("")), F.col(mark))
     both = both.withColumn(name["order"], order).withColumn(name["slice"], F.pmod(F.xxhash64(F.lit(seed + 1), name["order"]), F.ceil(F.col(name["rows"]) / SLICE).cast("long")))
     whole = F.when(F.col(name["source_size"]) > 0, F.floor(F.col(name["target"]) / F.col(name["source_size"]) + 1e-12)).otherwise(F.lit(0)).cast("long")
     rest = F.when(F.col(name["source_size"]) > 0, F.col(name["target"]) / F.col(name["source_size"]) - whole).otherwise(F.lit(0.0))
@@ -93,7 +94,7 @@ def mixture(docs: DataFrame, key: str = "doc_id", text: str = "text", source: st
     rows that tie in it are equal.  Other columns are ignored; an empty table gives an empty result.
     """
     own = docs.select(docs[key].alias("doc_id"), docs[source].cast("string").alias("source"), F.xxhash64(docs[text]).alias("print"), n_words(text_of(docs, text)).alias("size"))
-    plan, n = _planned(own, "size", "source", "doc_id", "print", budget, epochs, seed)
+    plan, n = _planned(own, "size", "print", "source", "doc_id", budget, epochs, seed)
     return plan.select("doc_id", "size", F.col(n["source_size"]).alias("source_size"), F.col(n["target"]).alias("target"), F.col(n["taken"]).alias("taken"))
 
 
@@ -112,8 +113,8 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     length.  Rows that the mix takes nothing of go: those of null and wordless texts always.  A null source is one of
     its own; a null key counts as the empty text in the order; equal rows are taken like any others; an empty table stays empty.
     """
-    size = fresh(docs, "size")
-    plan, n = _planned(docs.withColumn(size, n_words(text_of(docs, text))), size, source, key, text, budget, epochs, seed)
+    size, mark = fresh(docs, "size"), fresh(docs, "print")
+    plan, n = _planned(docs.withColumns({size: n_words(text_of(docs, text)), mark: F.xxhash64(docs[text])}), size, mark, source, key, budget, epochs, seed)
     words, taken = F.col(size), F.col(n["taken"])
     times = F.when(words > 0, F.expr(f"{n['taken']} div {size}")).otherwise(F.lit(0))
     part = F.when(words > 0, taken - times * words).otherwise(F.lit(0))
