@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import rules, warc
+from . import repair, rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,3 +90,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_revisit_resolution", warc.SQL)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return warc.page_revisits(table(spark, folder, "pages"))
+
+
+@query("op13_trie_repair", repair.SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.repairs(table(spark, folder, "conversations"))
