@@ -95,3 +95,10 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op13_trie_repair", repair.SQL)
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return repair.repairs(table(spark, folder, "conversations"))
+
+
+@query("op12_pigeonhole_simhash")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    from .simhash import near_prints
+
+    return near_prints(table(spark, folder, "documents"))
