@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import repair, rules, warc
+from . import negatives, repair, rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,3 +102,8 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     from .simhash import near_prints
 
     return near_prints(table(spark, folder, "documents"))
+
+
+@query("op11_dual_tree_negatives", negatives.SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, folder, "embeddings"))
