@@ -1,69 +1,115 @@
-"""The streams give what the batch operators give."""
+"""The streams give what the batch operators give, in whatever order micro-batches come."""
 
+import itertools
 import json
+import random
 import time
 
 from pyspark.sql import functions as F
 
+from quarrylens.operators import secrets
+from quarrylens.sources import scratch
 from quarrylens.streaming import network
 
-SCHEMA = "page_id long, request_id string, kind string, seq long, url string, method string, status int, headers map<string,string>, body string, size long"
-
-
-def _events():
-    """Calls over two micro-batches: a redirect after an end, a response without request, a request that isn't http, an end without call."""
-    first = [
-        (1, "a", "request", 1, "http://x/1", "GET", None, {"h": "1"}, None, None),
-        (1, "a", "response", 2, "http://x/1", None, 302, {"Location": "/2"}, None, None),
-        (1, "a", "finished", 3, None, None, None, None, "old", 3),
-        (1, "b", "response", 4, "http://y/", None, 200, {"Content-Type": "text/html"}, None, None),
-        (1, "c", "request", 5, "data:x", "GET", None, None, None, None),
-        (2, "d", "finished", 6, None, None, None, None, "nothing", 7),
-    ]
-    second = [
-        (1, "a", "request", 7, "http://x/2", "POST", None, {"h": "2"}, "sent", None),
-        (1, "a", "response", 8, "http://x/2", None, 70_000, {"Content-Type": "a/b"}, None, None),
-        (1, "a", "finished", 9, None, None, None, None, "new", 3),
-        (2, "e", "request", 10, "https://z/", "GET", None, None, None, None),
-    ]
-    return first, second
-
-
-def test_merging_a_stream_equals_the_batch(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(network, "WAIT", 12_000)
-    folder = tmp_path / "in"
-    folder.mkdir()
-    names = [c.split()[0] for c in SCHEMA.split(", ")]
-    batches = _events()
-    events = spark.readStream.schema(SCHEMA).json(str(folder))
-    flow = network.merge_stream(events).writeStream.format("memory").queryName("merged").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).start()
-    until = time.time() + 120
-    try:
-        seen = 0
-        for k, rows in enumerate(batches):
-            (folder / f"{k}.json").write_text("\n".join(json.dumps(dict(zip(names, r))) for r in rows))
-            seen += len(rows)
-            while sum(p["numInputRows"] for p in flow.recentProgress) < seen and time.time() < until:
-                time.sleep(0.2)
-        assert spark.table("merged").count() == 0
-        want = network.merge(spark.createDataFrame([r for b in batches for r in b], SCHEMA))
-        while spark.table("merged").count() < want.count() and time.time() < until:
-            time.sleep(0.5)
-        shown = lambda df: sorted(map(str, df.select(*[F.to_json(F.array_sort(F.map_entries(c))) if c.endswith("_headers") else F.col(c) for c in want.columns]).collect()))
-        assert shown(spark.table("merged")) == shown(want)
-    finally:
-        flow.stop()
+SCHEMA = "page_id long, request_id string, kind string, seq long, url string, method string, status int, headers map<string,string>, body string, size long, ts timestamp"
+
+
+def _events(rng):
+    """Calls with redirects after an end, responses without request, requests that aren't http, ends without call, repeated events."""
+    out, seq = [], 0
+    for k in range(60):
+        base = 1_700_000_000 + 40 * k
+        key = (k % 7, f"r{k // 2}" if k % 2 else f"s{k}")
+        for kind in rng.choice([["request", "response", "finished"], ["request", "response", "finished", "request", "response", "finished"], ["response", "finished"], ["finished"], ["request"], ["finished", "request", "response"]]):
+            seq += 1
+            url = rng.choice(["http://x/", "https://y/", "data:z", None]) if kind == "request" else f"http://answer/{seq}"
+            out.append((*key, kind, seq, url, rng.choice(["GET", "POST", None]), rng.choice([None, 200, 70_000, -1]), rng.choice([None, {"Content-Type": "a/b"}, {"x": "1", "content-type": "t"}]), rng.choice([None, "", f"b{seq}"]), seq, base + rng.randint(0, 5)))
+    return out
+
+
+def _shown(df, columns):
+    return sorted(map(str, df.select(*[F.to_json(F.array_sort(F.map_entries(c))) if c.endswith("_headers") else F.col(c) for c in columns]).collect()))
+
+
+def _frame(spark, rows):
+    return spark.createDataFrame([(*r[:-1], float(r[-1])) for r in rows], SCHEMA.replace("ts timestamp", "t double")).withColumn("ts", F.timestamp_seconds("t")).drop("t")
+
 
+def _started(own, folder, state, delay, **more):
+    events = own.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder)
+    return network.merge_stream(events, delay, **more).writeStream.format("parquet").option("path", f"{state}-out").option("checkpointLocation", state).outputMode("append")
 
-def test_first_values_of_a_stream(spark, tmp_path):
-    rows = [(1, "jwt", "v1", "2024-01-01 00:00:00"), (1, "jwt", "v1", "2024-01-01 00:01:00"), (1, "jwt", "v2", "2024-01-01 00:01:00"), (2, "jwt", "v1", "2024-01-01 00:02:00")]
-    batch = spark.createDataFrame(rows, "page_id long, pattern string, value string, ts string").withColumn("ts", F.to_timestamp("ts"))
-    batch.write.parquet(str(tmp_path / "in"))
-    events = spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in"))
-    flow = network.first_values_stream(events).writeStream.format("memory").queryName("firsts").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).start()
+
+def test_merging_a_stream_equals_the_batch(spark, tmp_path):
+    rng = random.Random(3)
+    rows = _events(rng)
+    rng.shuffle(rows)
+    folder, state = str(tmp_path / "in"), str(tmp_path / "state")
+    for k in range(4):
+        _frame(spark, rows[k::4]).coalesce(1).write.mode("append").parquet(folder)
+    whole = _frame(spark, rows)
+    network.end_of_capture(whole, "2 hours").coalesce(1).write.mode("append").parquet(folder)
+    flow = _started(network.session(spark), folder, state, "2 hours").trigger(availableNow=True).start()
+    flow.awaitTermination()
+    want = network.merge(whole)
+    assert _shown(spark.read.parquet(f"{state}-out"), want.columns) == _shown(want, want.columns)
+    assert want.count() > 30
+
+
+def test_late_events_are_counted_and_a_restart_goes_on(spark, tmp_path):
+    at = 1_700_000_000
+    call = lambda seq, key, kind, t: (1, key, kind, seq, f"http://{seq}/", "GET", 200, None, "b", 1, at + t)
+    first = [call(1, "a", "request", 0), call(2, "a", "response", 1)]
+    second = [call(3, "b", "request", 1000)]
+    late = [call(4, "a", "request", 2), call(5, "c", "request", 3), call(6, "b", "finished", 1001)]
+    folder, state, own, side = str(tmp_path / "in"), str(tmp_path / "state"), network.session(spark), network.LateRows()
+    own.streams.addListener(side)
     try:
-        flow.processAllAvailable()
-        got = sorted((r["page_id"], r["pattern"], r["value"]) for r in spark.table("firsts").collect())
-        assert got == sorted({r[:3] for r in rows})
+        for rows in (first, second, [call(7, "d", "request", 1002)], late, [call(8, "e", "request", 9000)]):
+            _frame(spark, rows).coalesce(1).write.mode("append").parquet(folder)
+            flow = _started(own, folder, state, "1 minute").trigger(availableNow=True).start()  # each time from the state that the last one left
+            flow.awaitTermination()
+        until = time.time() + 30
+        while sum(n for _, _, n in side.rows) < 2 and time.time() < until:
+            time.sleep(0.2)
     finally:
-        flow.stop()
+        own.streams.removeListener(side)
+    assert sum(n for _, _, n in side.rows) == 2
+    got = {r["request_id"]: (r["seq"], r["response_body"]) for r in spark.read.parquet(f"{state}-out").collect()}
+    assert got == {"a": (1, None), "b": (3, "b"), "d": (7, None)}  # a without its late redirect, c not at all, e still open
+
+
+def test_events_are_absorbed_in_any_order():
+    rows = [dict(zip(("kind", "seq", "url", "method", "status", "headers", "body", "size"), r)) for r in (("request", 1, "http://a", "GET", None, "{}", None, None), ("response", 2, "http://a", None, 302, "{}", None, None), ("finished", 3, None, None, None, None, "old", 3), ("request", 4, "http://b", "POST", None, "{}", "x", None), ("finished", 5, None, None, None, None, "new", 4), ("end", 9, None, None, None, None, None, None))]
+    ends = set()
+    for order in itertools.permutations(rows):
+        now = dict.fromkeys(network._FIELDS)
+        for r in order:
+            network.absorb(now, r)
+        ends.add(json.dumps(now))
+    assert len(ends) == 1
+
+
+def test_first_sources_of_a_stream_in_any_order(spark, tmp_path):
+    art = spark.createDataFrame([(k % 5, k, f"label{k}", f"x AKIA{'ABCDEFGH'[k % 8] * 16} y AKIA{'XYZ'[k % 3] * 16} ") for k in range(120)], "page_id long, seq long, label string, text string")
+    rows = art.collect()
+    random.Random(1).shuffle(rows)
+    folder, out, state = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")
+    for k in range(7):
+        spark.createDataFrame(rows[k::7], art.schema).coalesce(1).write.mode("append").parquet(folder)
+    table, seen = network.Upserts(out, ["page_id", "pattern", "value"], "at", fold=2), []
+
+    def put(batch, n):
+        held = spark.createDataFrame(batch.collect(), batch.schema)
+        table.put(held, n)
+        table.put(held, n)  # a batch that is replayed changes nothing
+        seen.append(n)
+
+    found = secrets.scan(network.session(spark).readStream.schema(art.schema).option("maxFilesPerTrigger", 1).parquet(folder))
+    flow = network.first_sources_stream(found).writeStream.foreachBatch(put).option("checkpointLocation", state).outputMode("update").trigger(availableNow=True).start()
+    flow.awaitTermination()
+    assert len(seen) == 7 and any(n.startswith("base=") for n in scratch.names(spark, out))
+    table.put(spark.createDataFrame([(0, "p", "v", (1, "l"))], table.table(spark).schema), 0)  # folded long ago
+    want = secrets.first_sources(secrets.scan(art))
+    got = table.table(spark).select("page_id", "pattern", "value", "at.seq", "at.label")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
