@@ -101,3 +101,42 @@ def query_pairs(url: Column) -> Column:
 def header(headers: Column, name: str) -> Column:
     """The first value whose key equals ``name`` whatever the case."""
     return F.get(F.filter(F.map_entries(headers), lambda e: F.lower(e["key"]) == name), F.lit(0))["value"]
+
+
+#: A reference's scheme, authority with its slashes, path, query and fragment with their marks, as RFC 3986 parts them; empty where absent.
+_PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#[\s\S]*)?$"
+
+
+def parts_of(url: Column) -> Column:
+    """struct(scheme, authority, path, query, fragment); authority, query and fragment keep their marks, so that empty and absent differ."""
+    piece = lambda k: F.regexp_extract(url, _PARTS, k)
+    return F.struct(piece(1).alias("scheme"), piece(2).alias("authority"), piece(3).alias("path"), piece(4).alias("query"), piece(5).alias("fragment"))
+
+
+def without_dots(path: Column) -> Column:
+    """The path with its ``.`` and ``..`` segments worked off, as a fold over its segments."""
+    rooted = F.startswith(path, F.lit("/"))
+    each = F.split(F.when(rooted, F.substring(path, F.lit(2), F.length(path))).otherwise(path), "/")
+    none = F.array().cast("array<string>")
+    kept = F.aggregate(each, none, lambda done, s: F.when(s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(s == ".", done).otherwise(F.concat(done, F.array(s))))
+    ended = F.when(F.element_at(each, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(none)
+    return F.concat(F.when(rooted, "/").otherwise(""), F.array_join(F.concat(kept, ended), "/"))
+
+
+def resolved(base: Column, ref: Column) -> Column:
+    """``ref`` against ``base`` as RFC 3986 resolves references; surrounding ASCII white space goes, a null gives a null."""
+    bare = lambda c: F.regexp_replace(c, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    both = F.array(F.struct(parts_of(bare(base)).alias("b"), parts_of(bare(ref)).alias("r")))
+
+    def joined(x: Column) -> Column:
+        b, r = x["b"], x["r"]
+        own = (r["scheme"] != "") | (r["authority"] != "")
+        above = F.regexp_extract(b["path"], r"^([\s\S]*/)?", 1)
+        merged = F.when((b["authority"] != "") & (b["path"] == ""), F.concat(F.lit("/"), r["path"])).otherwise(F.concat(above, r["path"]))
+        path = F.when(own | F.startswith(r["path"], F.lit("/")), without_dots(r["path"])).when(r["path"] == "", b["path"]).otherwise(without_dots(merged))
+        query = F.when(~own & (r["path"] == "") & (r["query"] == ""), b["query"]).otherwise(r["query"])
+        scheme = F.lower(F.when(r["scheme"] != "", r["scheme"]).otherwise(b["scheme"]))
+        authority = F.when(own, r["authority"]).otherwise(b["authority"])
+        return F.concat(F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""), authority, path, query, r["fragment"])
+
+    return F.when(base.isNotNull() & ref.isNotNull(), F.get(F.transform(both, joined), F.lit(0)))

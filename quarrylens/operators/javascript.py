@@ -425,11 +425,51 @@ def telling_literals(f: DataFrame) -> DataFrame:
     return f.where("kind = 'literal'").select("page_id", "seq", "script_url", F.col("source").alias("kind"), F.col("sink").alias("value"), "location", F.col("detail").alias("context"))
 
 
+#: Characters of a term's signature; of a captured value that are searched at a time, at least; grams that are broadcast at most; parts that a page's values are dealt into.
+GRAM, STRETCH, GRAMS, SALTS = 3, 4096, 65_536, 16
+
+
+def _grams(text: Column) -> Column:
+    """The text's substrings of ``GRAM`` characters; none of a shorter one."""
+    last = F.length(text) - GRAM + 1
+    return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, F.lit(GRAM)))).otherwise(F.array().cast("array<string>"))
+
+
+def contained(terms: DataFrame, values: DataFrame) -> DataFrame:
+    """(page_id, term), distinct: those of ``terms(page_id, term)`` that stand in a value of ``values(page_id, value)`` of the same page.
+
+    A containment join by an index of q-grams.  Each term is entered under one of its grams, a shorter one under none;
+    values are cut into stretches that overlap by the longest term, and a stretch probes the grams that it has.  What meets is
+    checked exactly.  A page's values are dealt by hash, with its terms in each part, so a page of very many values
+    is searched by many tasks, and its values are never gathered.
+    """
+    own = terms.where("term <> ''").distinct()
+    longest = own.agg(F.max(F.length("term"))).first()[0]
+    if longest is None:
+        return own
+    gram = F.array_min(F.transform(_grams(F.col("term")), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"]
+    own = own.withColumn("gram", F.coalesce(gram, F.lit(""))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    step = max(STRETCH, 4 * longest)
+    place = F.explode(F.sequence(F.lit(1), F.greatest(F.length("value"), F.lit(1)), F.lit(step)))
+    piece = values.select("page_id", "value", place.alias("at")).select("page_id", F.substring("value", F.col("at"), F.lit(step + longest - 1)).alias("piece")).distinct()
+    probes = piece.withColumn("gram", F.explode(F.concat(F.array_distinct(_grams(F.col("piece"))), F.array(F.lit("")))))
+    known = own.select("gram").distinct()
+    if known.limit(GRAMS + 1).count() <= GRAMS:  # most grams of values are no term's, and go before the shuffle
+        probes = probes.join(F.broadcast(known), "gram", "left_semi")
+    probes = probes.withColumn("salt", F.pmod(F.xxhash64("piece"), F.lit(SALTS)).cast("int"))
+    met = probes.join(own, ["page_id", "gram", "salt"]).where(F.contains("piece", F.col("term")))
+    return met.select("page_id", "term").distinct()
+
+
 def mark_observed(f: DataFrame, values: DataFrame) -> DataFrame:
-    """Flows whose source or sink stands in a captured value(page_id, value) of three characters or more."""
-    seen = values.where(F.length("value") >= 3).groupBy("page_id").agg(F.collect_set("value").alias("seen"))
-    both = f.drop("runtime_observed").join(seen, "page_id", "left")
-    return both.withColumn("runtime_observed", F.coalesce(F.exists("seen", lambda v: F.contains(v, F.col("source")) | F.contains(v, F.col("sink"))), F.lit(False))).drop("seen")
+    """Flows whose source or sink stands in a captured value(page_id, value) of three bytes or more besides white space."""
+    told = values.where(F.octet_length(F.regexp_replace("value", r"^\s+|\s+$", "")) >= 3)
+    rows = f.drop("runtime_observed")
+    terms = rows.select("page_id", F.explode(F.array("source", "sink")).alias("term"))
+    seen = contained(terms, told).withColumn("runtime_observed", F.lit(True))
+    for side in ("source", "sink"):
+        rows = rows.join(seen.withColumnsRenamed({"term": side, "runtime_observed": f"_{side}"}), ["page_id", side], "left")
+    return rows.withColumn("runtime_observed", F.coalesce("_source", "_sink", F.lit(False))).select(*[c for c in f.columns if c != "runtime_observed"], "runtime_observed")
 
 
 def rendered(source_: Column, path: Column, sink: Column) -> Column:

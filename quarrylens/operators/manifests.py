@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Paths that are the framework's own, and chunk names without meaning.
@@ -45,8 +45,8 @@ def _routes(paths: Column, kind: str, source: str, order: int) -> Column:
     return F.transform(F.coalesce(paths, F.array().cast("array<string>")), lambda p: _route(p, kind, source, order))
 
 
-def routes(globals_: DataFrame, chunks: DataFrame | None = None, islands: DataFrame | None = None) -> DataFrame:
-    """(page_id, path, kind, source, dynamic): each (path, kind) of a page once, by the first source.
+def pushed(globals_: DataFrame, chunks: DataFrame | None = None, islands: DataFrame | None = None) -> DataFrame:
+    """(page_id, pos, path, kind, source, order): every route that some source names, repeats included; sources go by ``order``, a source's routes by ``pos``.
 
     ``globals_``: page_id, key, value (JSON text; what isn't JSON is skipped); ``chunks``: page_id, url;
     ``islands``: page_id, attrs (JSON).
@@ -78,11 +78,56 @@ def routes(globals_: DataFrame, chunks: DataFrame | None = None, islands: DataFr
         rows = rows.unionByName(islands.select("page_id", F.lit(0).alias("pos"), stem.alias("path"), F.lit("component").alias("kind"), F.lit("astro:island").alias("source"), F.lit(8).alias("order")))
     if chunks is not None:
         rows = rows.unionByName(chunks.select("page_id", F.lit(0).alias("pos"), chunk_stem(F.col("url")).alias("path"), F.lit("component").alias("kind"), F.lit("chunk-graph").alias("source"), F.lit(9).alias("order")))
-    rows = rows.where("path is not null and path <> ''")
-    first = rows.groupBy("page_id", "path", "kind").agg(F.min(F.struct("order", "pos", "source")).alias("first"))
+    return rows.where("path is not null and path <> ''")
+
+
+def routes(globals_: DataFrame, chunks: DataFrame | None = None, islands: DataFrame | None = None) -> DataFrame:
+    """(page_id, path, kind, source, dynamic): each (path, kind) of a page once, by the first source; see ``pushed``."""
+    first = pushed(globals_, chunks, islands).groupBy("page_id", "path", "kind").agg(F.min(F.struct("order", "pos", "source")).alias("first"))
     return first.select("page_id", "path", "kind", "first.source", dynamic(F.col("path")).alias("dynamic"))
 
 
+#: Which manifests list the routes that their framework's sources have named so far, and up to which source; and which list their own source's.
+SO_FAR = {"next-data": 0, "nuxt-payload": 6, "sveltekit-start": 7}
+OWN = {"build-manifest": 1, "ssg-manifest": 3}
+#: Places of a source that are numbered together.
+STRETCH = 4096
+
+
+def numbered(rows: DataFrame, by: list[str], order: list[str], place: str, stretch: int = STRETCH) -> DataFrame:
+    """``rows`` with ``place``: from 0, their number in ``by`` in the order of ``order``, whose last two are a source's number and a place in it.
+
+    In two levels: inside a stretch of a source's places, and with the sum of all stretches before.  So no task sorts a group of
+    very many rows; the window over groups only has a row for each stretch.
+    """
+    own = rows.withColumn("_stretch", F.floor(F.col(order[1]) / stretch))
+    cell = [*by, order[0], "_stretch"]
+    each = own.groupBy(*cell).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy(order[0], "_stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    carry = each.withColumn("_before", before).drop("_n")
+    inside = F.row_number().over(Window.partitionBy(*cell).orderBy(*order[1:])) - 1
+    return own.withColumn("_inside", inside).join(carry, cell).withColumn(place, F.col("_before") + F.col("_inside")).drop("_stretch", "_inside", "_before")
+
+
+def listed(globals_: DataFrame) -> DataFrame:
+    """(page_id, framework, manifest_type, place, path): the routes that each manifest lists, in order.
+
+    A manifest that is read when its framework's sources have named some routes lists these, each (path, kind) where it came first; the build
+    and static manifests list what they name themselves.  A row a route: no list of a page is ever gathered.
+    """
+    rows = pushed(globals_)
+    framework = F.when(F.col("order") <= 4, "Next.js").when(F.col("order") <= 6, "Nuxt").otherwise("SvelteKit")
+    first = rows.withColumn("framework", framework).groupBy("page_id", "framework", "path", "kind").agg(F.min(F.struct("order", "pos")).alias("at")).select("page_id", "framework", "path", "kind", "at.order", "at.pos")
+    order = numbered(first, ["page_id", "framework"], ["order", "pos", "path", "kind"], "place")
+    upto = F.create_map(*[F.lit(x) for kv in SO_FAR.items() for x in kv])[F.col("manifest_type")]
+    marks = captured(globals_).where(F.col("manifest_type").isin(*SO_FAR)).select("page_id", "framework", "manifest_type", upto.alias("upto")).distinct()
+    so_far = order.join(marks, ["page_id", "framework"]).where("order <= upto").select("page_id", "framework", "manifest_type", "place", "path")
+    type_ = F.create_map(*[F.lit(x) for k, v in OWN.items() for x in (v, k)])[F.col("order")]
+    own = rows.where(F.col("order").isin(*OWN.values())).select("page_id", F.lit("Next.js").alias("framework"), type_.alias("manifest_type"), "order", "pos", "path")
+    own = numbered(own, ["page_id", "framework", "manifest_type"], ["order", "pos", "path"], "place").select("page_id", "framework", "manifest_type", "place", "path")
+    return so_far.unionByName(own)
+
+
 def remix_entries(globals_: DataFrame) -> DataFrame:
     """(page_id, id, parent_id, path, has_action) of each page's ``__remixManifest``, else of the manifest in ``__remixContext``."""
     own = globals_.where("key in ('__remixManifest', '__remixContext')").groupBy("page_id").agg(F.min_by("value", F.when(F.col("key") == "__remixManifest", 0).otherwise(1)).alias("v"))

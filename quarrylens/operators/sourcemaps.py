@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from urllib.parse import urljoin, urlsplit
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,21 +20,9 @@ def references(text: Column) -> Column:
 
 
 def join_url(base: Column, ref: Column) -> Column:
-    """The reference resolved against its script's URL; null unless the result is http(s).  Spark has no function for it."""
-
-    @F.pandas_udf("string")
-    def joined(bases: pd.Series, refs: pd.Series) -> pd.Series:
-        return pd.Series([_joined(b, r) for b, r in zip(bases, refs)], dtype=object)
-
-    return joined(base, ref)
-
-
-def _joined(base: str | None, ref: str | None) -> str | None:
-    try:
-        u = urljoin(base or "", ref or "")
-        return u if urlsplit(u).scheme in ("http", "https") and urlsplit(u).netloc else None
-    except ValueError:
-        return None
+    """The reference resolved against its script's URL; null unless the result is http(s) with a host."""
+    url = urls.resolved(F.coalesce(base, F.lit("")), F.coalesce(ref, F.lit("")))
+    return F.when(F.rlike(url, F.lit(r"^https?://[^/?#]")), url)
 
 
 def gate(candidates: DataFrame, targets: DataFrame, limit: int = MAPS) -> DataFrame:
