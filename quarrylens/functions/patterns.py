@@ -113,3 +113,32 @@ def catalog(custom: list[tuple[str, str, str]] = (), ignore: list[str] = ()) ->
             continue
         out.append(Pattern(name, regex))
     return out
+
+
+#: Rows of a pattern table at most: patterns become literals of the plan.
+TABLE_ROWS = 2000
+
+
+def compiles(spark, regex: str) -> bool:
+    """Whether Spark's regular expressions take it."""
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import PySparkException
+
+    try:
+        spark._jvm.java.util.regex.Pattern.compile(regex)
+        return True
+    except (Py4JJavaError, PySparkException):
+        return False
+
+
+def of_table(rows, ignore: list[str] = (), built_in: bool = False) -> list[Pattern]:
+    """The patterns of a table (name, regex), of ``TABLE_ROWS`` rows at most, by name; with ``built_in`` after the built-in ones.
+
+    Rows of a null, of an ignored name, of more than 500 bytes, and such as don't compile are left out; of equal names the least regex stays.
+    """
+    spark = rows.sparkSession
+    found = rows.select("name", "regex").where("name is not null and regex is not null and octet_length(regex) <= 500").groupBy("name").agg({"regex": "min"}).toDF("name", "regex").limit(TABLE_ROWS + 1).collect()
+    if len(found) > TABLE_ROWS:
+        raise ValueError(f"more than {TABLE_ROWS} patterns")
+    own = [Pattern(r["name"], r["regex"]) for r in sorted(found) if r["name"] not in set(ignore) and compiles(spark, r["regex"])]
+    return [*(p for p in BUILT_IN if built_in and p.name not in set(ignore)), *own]

@@ -1,8 +1,8 @@
 """Secrets in text artifacts: scan, first-source dedupe, roles of signed tokens, scores and dispositions.
 
-An artifact is (page_id, seq, label, text); ``seq`` is the capture order.  The scan is one projection over
-the artifacts: patterns are literals, so each regex is compiled once, and texts without a pattern's literal
-needle skip it.  Deduping is an aggregation by value with map-side combining, never a global sort.
+An artifact is (page_id, seq, label, text); ``seq`` is the capture order.  The scan shuffles nothing:
+patterns are literals, so each regex is compiled once, and only texts with a pattern's needle
+try it.  Deduping is an aggregation by value with map-side combining, never a global sort.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring, urls, values
+from ..functions.needles import ODD, Index
 from ..functions.patterns import BUILT_IN, DERIVED, Pattern
 
 PER_ARTIFACT = 10
@@ -19,17 +20,24 @@ PER_ARTIFACT = 10
 def matches_of(text: Column, pattern: Pattern, limit: int = PER_ARTIFACT, unicode: bool = True) -> Column:
     """Up to ``limit`` distinct whole matches, in order of value."""
     found = F.regexp_extract_all(text, F.lit(("(?dU)" if unicode else "(?d)") + pattern.regex), F.lit(0))
-    found = F.slice(F.array_sort(F.array_distinct(found)), 1, limit)
-    if not pattern.needles:
-        return found
-    return F.when(urls.any_of(text, pattern.needles), found)
+    return F.slice(F.array_sort(F.array_distinct(found)), 1, limit)
 
 
 def scan(artifacts: DataFrame, patterns: list[Pattern] | tuple[Pattern, ...] = BUILT_IN, limit: int = PER_ARTIFACT, unicode: bool = True) -> DataFrame:
-    """(page_id, seq, label, pattern, matches) of every artifact and pattern that match."""
-    found = F.array(*[F.struct(F.lit(p.name).alias("pattern"), matches_of(F.col("text"), p, limit, unicode).alias("matches")) for p in patterns])
-    rows = artifacts.select("page_id", "seq", "label", F.explode(F.filter(found, lambda x: F.size(F.coalesce(x["matches"], F.array())) > 0)).alias("m"))
-    return rows.select("page_id", "seq", "label", "m.pattern", "m.matches")
+    """(page_id, seq, label, pattern, matches) of every artifact and pattern that match.
+
+    A text is probed once for the needles of all patterns; a row goes on for each pattern that it may match, and tries that one's regex.
+    """
+    index = Index([p.regex for p in patterns], [p.needles for p in patterns])
+    rows = artifacts.select("page_id", "seq", "label", "text", F.lower("text").alias("low"), urls.any_of(F.col("text"), ODD).alias("odd"))
+    rows = rows.select("page_id", "seq", "label", "text", F.explode(index.hits(F.col("text"), F.col("low"), F.col("odd"))).alias("k"))
+    found, name = None, F.element_at(F.array(*[F.lit(p.name) for p in patterns]), F.col("k") + 1)
+    for k, p in enumerate(patterns):
+        own = matches_of(F.col("text"), p, limit, unicode)
+        found = F.when(F.col("k") == k, own) if found is None else found.when(F.col("k") == k, own)
+    # exploded, not filtered: a filter would be pushed below, and would run the regex a second time
+    one = F.filter(F.array(F.struct(name.alias("pattern"), found.alias("matches"))), lambda x: F.size(x["matches"]) > 0)
+    return rows.select("page_id", "seq", "label", F.explode(one).alias("m")).select("page_id", "seq", "label", "m.pattern", "m.matches")
 
 
 def first_sources(found: DataFrame) -> DataFrame:

@@ -122,10 +122,14 @@ _LEAF = "array<struct<path:string,value:string>>"
 _LEAVES = pa.list_(pa.struct([("path", pa.string()), ("value", pa.string())]))
 
 
+def _no_number(name: str) -> str:
+    raise ValueError(f"{name} isn't JSON")
+
+
 def _walk(text: str | None, root: str, depth: int) -> list[dict] | None:
-    """Scalars of a JSON object or list, in order, with their paths; null if the text is neither."""
+    """Scalars of a JSON object or list, in order, with their paths and numbers as written; null if the text is neither."""
     try:
-        value = json.loads(text or "", parse_int=str, parse_float=lambda x: repr(float(x)))
+        value = json.loads(text or "", parse_int=str, parse_float=str, parse_constant=_no_number)
     except (ValueError, RecursionError):
         return None
     if not isinstance(value, dict | list):

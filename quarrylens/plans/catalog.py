@@ -156,13 +156,13 @@ _SECRETS = f"art as ({S.ARTIFACTS}), {_FOUND}"
 
 @query(f"with {_SECRETS} select pattern, count(*)::bigint as n, count(distinct value)::bigint as distinct_values from found group by pattern")
 def builtin_secret_scan(spark, d):
-    found = secrets.scan(sample(spark, d, S.ARTIFACTS), _PICKED).select("pattern", F.explode("matches").alias("value"))
+    found = secrets.scan(sample(spark, d, S.ARTIFACTS, True), _PICKED).select("pattern", F.explode("matches").alias("value"))
     return found.groupBy("pattern").agg(F.count("*").alias("n"), F.count_distinct("value").alias("distinct_values"))
 
 
 @query(f"with {_SECRETS} select page_id, pattern, value, seq, label from firsts")
 def secret_dedupe(spark, d):
-    return secrets.first_sources(secrets.scan(sample(spark, d, S.ARTIFACTS), _PICKED))
+    return secrets.first_sources(secrets.scan(sample(spark, d, S.ARTIFACTS, True), _PICKED))
 
 
 def _values(alias: str) -> str:
@@ -171,13 +171,13 @@ def _values(alias: str) -> str:
 
 @query(f"with {_SECRETS} select distinct value, regexp_matches(lower(value), 'example|test|xxxx|your_|your-|changeme|placeholder|dummy') or regexp_matches(trim(value), '^0{{8,}}$') as placeholder from found")
 def placeholder_filter(spark, d):
-    v = secrets.scan(sample(spark, d, S.ARTIFACTS), _PICKED).select(F.explode("matches").alias("value")).distinct()
+    v = secrets.scan(sample(spark, d, S.ARTIFACTS, True), _PICKED).select(F.explode("matches").alias("value")).distinct()
     return v.select("value", values.placeholder(F.col("value")).alias("placeholder"))
 
 
 @query(f"with {_SECRETS} select distinct value, case when strlen(value) <= 12 then repeat('*', length(value)) else left(value, 4) || repeat('*', least(strlen(value) - 8, 20)::int) || '...' || right(value, 4) end as redacted from found")
 def redact(spark, d):
-    v = secrets.scan(sample(spark, d, S.ARTIFACTS), _PICKED).select(F.explode("matches").alias("value")).distinct()
+    v = secrets.scan(sample(spark, d, S.ARTIFACTS, True), _PICKED).select(F.explode("matches").alias("value")).distinct()
     return v.select("value", values.redact(F.col("value")).alias("redacted"))
 
 
@@ -198,7 +198,7 @@ _SCORED = f"{_SECRETS}, {_SCORES}"
 
 
 def _scored(spark, d) -> DataFrame:
-    found = secrets.grouped(secrets.first_sources(secrets.scan(sample(spark, d, S.ARTIFACTS), _PICKED)))
+    found = secrets.grouped(secrets.first_sources(secrets.scan(sample(spark, d, S.ARTIFACTS, True), _PICKED)))
     return secrets.scored(found, F.lit("example.org"))
 
 
@@ -240,7 +240,7 @@ def batch_totals(spark, d):
 
 @query(f"with {_SECRETS}, st as (select distinct page_id, value from found where seq % 3 = 0), g as (select page_id, pattern, seq, label, list(value) as ms from firsts group by all) select page_id, pattern, seq from g where exists (select 1 from (select unnest(ms) as v) where not exists (select 1 from st where st.page_id = g.page_id and st.value = v))")
 def storage_suppression(spark, d):
-    found = secrets.scan(sample(spark, d, S.ARTIFACTS), _PICKED)
+    found = secrets.scan(sample(spark, d, S.ARTIFACTS, True), _PICKED)
     held = found.where("seq % 3 = 0").select("page_id", F.explode("matches").alias("value")).distinct()
     return findings.uncovered(secrets.grouped(secrets.first_sources(found)), held).select("page_id", "pattern", "seq")
 

@@ -71,7 +71,7 @@ def flow_scores(spark, d):
 
 
 def _pages(spark, d) -> DataFrame:
-    return sample(spark, d, S.PAGES)
+    return sample(spark, d, S.PAGES, True)
 
 
 @query(f"with p as ({S.PAGES}), f as (select page_id, unnest(regexp_extract_all(html, '<form action=\"(/go[0-9]+)\" method=\"post\">', 1)) as action from p) select page_id, action, 'post' as method, 2::int as input_count from f")

@@ -202,8 +202,15 @@ def tables_in(sql: str) -> set[str]:
     return set(re.findall(r"\b(?:from|join)\s+(region|nation|customer|supplier|part|orders|lineitem|events|documents|pages|conversations)\b", sql))
 
 
-def sample(spark: SparkSession, folder: str, sql: str) -> DataFrame:
-    """The table that the SQL makes of the driver's tables in ``folder``."""
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows dealt to all cores, where a file of one row group would leave them to a few; what many tasks read stays as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+def sample(spark: SparkSession, folder: str, sql: str, dealt: bool = False) -> DataFrame:
+    """The table that the SQL makes of the driver's tables in ``folder``; ``dealt``: these are spread first, for work that is long for each row."""
     for name in tables_in(sql):
-        spark.read.parquet(f"{folder}/{name}.parquet").createOrReplaceTempView(name)
+        rows = spark.read.parquet(f"{folder}/{name}.parquet")
+        (spread(rows) if dealt else rows).createOrReplaceTempView(name)
     return spark.sql(sql)
