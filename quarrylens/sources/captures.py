@@ -39,6 +39,7 @@ class Config:
     output: str = "reports"
     format: str = "both"
     timeout: int = 30
+    captured: str = "captured"
     custom_patterns: list = field(default_factory=list)
     ignore_patterns: list = field(default_factory=list)
 
@@ -66,6 +67,7 @@ class Config:
         p.add_argument("--output", default=cls.output)
         p.add_argument("--format", default=cls.format)
         p.add_argument("--timeout", type=int, default=cls.timeout)
+        p.add_argument("--captured", default=cls.captured, help="folder of captured tables, one Parquet table each")
         p.add_argument("--ignore-pattern", action="append", default=[], dest="ignore_patterns")
         p.add_argument("--config")
         given = vars(p.parse_args(args))
@@ -147,9 +149,30 @@ def elements_of(html: Column) -> Column:
     return of(html)
 
 
+#: Characters of a page's error that are kept.
+ERROR = 500
+
+
+def parsed(pages: DataFrame) -> DataFrame:
+    """``pages`` with ``e``, the elements, and ``error``: what kept the page from being parsed, else null.  A page that breaks the parser breaks nothing else."""
+
+    @F.arrow_udf(f"struct<e:{ELEMENTS},error:string>")
+    def of(column: pa.Array) -> pa.Array:
+        rows = []
+        for html in column.to_pylist():
+            try:
+                rows.append({"e": _parse(html), "error": None})
+            except Exception as x:  # of any kind: it is the page's row that tells it
+                rows.append({"e": None, "error": f"{type(x).__name__}: {x}"[:ERROR]})
+        return pa.array(rows, pa.struct([("e", _ARROW), ("error", pa.string())]))
+
+    return pages.withColumn("_p", of(F.col("html"))).select(*pages.columns, "_p.e", "_p.error")
+
+
 def elements(pages: DataFrame) -> DataFrame:
-    """(page_id, pos, tag, attrs, text, controls) of pages(page_id, url, html)."""
-    return pages.select("page_id", F.inline(elements_of(F.col("html")))).select("page_id", "pos", "tag", "attrs", "text", "controls")
+    """(page_id, pos, tag, attrs, text, controls) of pages(page_id, url, html), or of what ``parsed`` made of them."""
+    e = F.col("e") if "e" in pages.columns else elements_of(F.col("html"))
+    return pages.select("page_id", F.inline(e)).select("page_id", "pos", "tag", "attrs", "text", "controls")
 
 
 def _attr(name: str) -> Column:
@@ -207,7 +230,7 @@ PLACES = {"html": 0, "hidden": 1, "data": 2, "local": 3, "session": 4, "script":
 
 
 def artifacts(pages: DataFrame, storage: DataFrame | None = None, bodies: DataFrame | None = None, window_objects: DataFrame | None = None, recovered: DataFrame | None = None, inline: int | None = INLINE, size: int | None = GLOBAL_SIZE, manifest_size: int | None = MANIFEST_SIZE) -> DataFrame:
-    """(page_id, seq, label, text): everything of a page that detectors read, in the order of capture.  A page is parsed once.
+    """(page_id, seq, label, text): everything of a page that detectors read, in the order of capture.  A page is parsed once, or not at all if ``parsed`` did so.
 
     ``inline``, ``size`` and ``manifest_size``: characters of inline scripts, globals and manifests that are read; null for all.
 
@@ -228,7 +251,7 @@ def artifacts(pages: DataFrame, storage: DataFrame | None = None, bodies: DataFr
         return F.array_compact(F.array(hidden, data, F.when((x["tag"] == "script") & attr(x, "src").isNull(), piece("script", x, F.lit("Inline Script"), code))))
 
     page = F.array(F.struct(seq("html", F.lit(0)), F.lit("HTML").alias("label"), F.col("html").alias("text")))
-    own = pages.select("page_id", "html", elements_of(F.col("html")).alias("e"))
+    own = pages.select("page_id", "html", (F.col("e") if "e" in pages.columns else elements_of(F.col("html"))).alias("e"))
     out = own.select("page_id", F.inline(F.concat(page, F.flatten(F.transform("e", of)))))
     if storage is not None:
         area = storage.groupBy("page_id", "area").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value"))))).alias("text"))
