@@ -214,3 +214,14 @@ def sample(spark: SparkSession, folder: str, sql: str, dealt: bool = False) -> D
         rows = spark.read.parquet(f"{folder}/{name}.parquet")
         (spread(rows) if dealt else rows).createOrReplaceTempView(name)
     return spark.sql(sql)
+
+#: Pages of a whole run: a key in every third, an external script in each, an old package in every fourth, and some that no parser takes.
+RUN_PAGES = """select page_id, url, concat(case when page_id % 13 = 5 then '<![odd[x]]>' else '' end, coalesce(html, ''), '<script src="/lib/', cast(page_id as string), '.js"></script><script>var k="', case when page_id % 3 = 0 then concat('AKIA', upper(substr(md5(cast(page_id as string)), 1, 16))) else 'none' end,
+ '"; ', case when page_id % 4 = 2 then 'load("react-server-dom-webpack@19.0.0 ")' else '' end, '</script>') as html from pages where url like 'http%'"""
+#: What they are asked for beside themselves, and wasn't captured.
+RUN_GONE = "select concat(url, case when url like '%/' then '' else '/' end, 'gone-', cast(page_id as string)) as url from pages where url like 'http%' and page_id % 10 = 0"
+#: Their storage: the page's key again, and every fifth page another one.
+RUN_STORAGE = """select page_id, 'local' as area, 'same' as key, concat('AKIA', upper(substr(md5(cast(page_id as string)), 1, 16))) as value from pages where page_id % 3 = 0
+ union all select page_id, 'local', 'other', concat('AKIA', upper(substr(md5(concat('s', cast(page_id as string))), 1, 16))) from pages where page_id % 5 = 0"""
+#: Bodies of their external scripts, of every fourth page.
+RUN_BODIES = """select concat(regexp_extract(url, '^(https?://[^/?#]*)', 1), '/lib/', cast(page_id as string), '.js') as url, concat('f("AKIA', upper(substr(md5(concat('b', cast(page_id as string))), 1, 16)), '")') as body from pages where url like 'http%' and page_id % 4 = 1"""

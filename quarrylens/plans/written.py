@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import runs
 from ..operators import findings
-from ..sources import documents, scratch, sinks
+from ..sources import captures, documents, scratch, sinks
 from . import catalog as C
+from . import samples as S
 from .catalog import query
+from .samples import sample
 
 _ROW = "struct<severity:string,title:string,source:string,level:string,score:int>"
 
@@ -30,3 +33,23 @@ def written_documents(spark, d):
     found = F.explode(F.from_json(F.get_json_object("body", "$.findings"), f"array<{_ROW}>")).alias("r")
     evidence = back.where("name like '%.json'").select("folder", found).select("folder", F.lit("evidence").alias("name"), F.concat_ws("/", "r.severity", "r.title", "r.source", "r.level", "r.score").alias("line"))
     return decisions.unionByName(evidence)
+
+
+@query(f"""with p as ({S.RUN_PAGES}), s as (select page_id, html as text from p where page_id % 13 <> 5), v as (select page_id, count(*) as n from (select distinct page_id, vuln_type, severity, version from ({C._RSC.replace("select page_id, seq,", "select page_id,")})) group by page_id),
+k as (select page_id, url, case when page_id % 13 = 5 then 'broken' else 'ok' end as status, case when page_id % 13 = 5 then 0 else (case when page_id % 3 = 0 then 1 else 0 end + case when page_id % 5 = 0 then 1 else 0 end + case when page_id % 4 = 1 then 1 else 0 end) end::bigint as secrets from p)
+select url, status, secrets, coalesce(n, 0)::bigint as vulnerabilities, case when status = 'ok' then 2 else 0 end::bigint as files, (secrets + coalesce(n, 0))::bigint as evidence from k left join v using (page_id)
+union all select distinct url, 'not captured', 0, 0, 0, 0 from ({S.RUN_GONE})""")
+def whole_run(spark, d):
+    """A list of targets, what was captured of them, all operators, documents on disk and pages that failed; then what of it is to be read."""
+    listed, bodies, path = (scratch.fresh(spark, n) for n in ("targets", "bodies", "documents"))
+    pages, note = sample(spark, d, S.RUN_PAGES), spark.createDataFrame([("# targets",), ("",)], "value string")
+    pages.select("url").union(sample(spark, d, S.RUN_GONE)).union(note).write.text(listed)
+    sample(spark, d, S.RUN_BODIES).write.parquet(bodies)
+    done = runs.run(spark, captures.Config(file=listed), {"pages": pages, "storage": sample(spark, d, S.RUN_STORAGE)}, bodies, path)
+    back = documents.read(spark, path).withColumn("page_id", F.split_part("name", F.lit("-"), F.lit(1)).cast("long"))
+    kinds = F.from_json(F.get_json_object("body", "$.findings"), "array<struct<kind:string>>")
+    told = F.coalesce(F.size(F.filter(kinds, lambda x: x["kind"].isin("secret", "vulnerability"))), F.lit(0))
+    made = back.groupBy("page_id").agg(F.count("*").alias("files"), F.sum(F.when(F.col("name").endswith(".json"), told).otherwise(0)).alias("evidence"))
+    status = F.when(F.col("status").isin("ok", runs.NOT_CAPTURED), F.col("status")).otherwise("broken")
+    rows = done.summary.join(made, "page_id", "left")
+    return rows.select("url", status.alias("status"), "secrets", "vulnerabilities", F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("evidence", F.lit(0)).cast("long").alias("evidence"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scoring, urls
-from .functions.patterns import Pattern, catalog
+from .functions.patterns import catalog, compiles
 from .operators import advisories, bodies, endpoints, findings, posture, secrets, storage
 from .sources import captures, documents, scratch, sinks
 from .sources.captures import Config
@@ -99,7 +99,8 @@ def run(spark: SparkSession, config: Config, tables: dict[str, DataFrame], scrip
         got.select("page_id", "pos", F.col("url").alias("src"), "body").write.parquet(path)  # of another session until it is written
         read = spark.read.parquet(path)
     art = scratch.kept(captures.artifacts(whole, held["storage"], read, held["globals"]), "artifacts")
-    patterns = catalog([(c[0], c[1], "") for c in config.custom_patterns], config.ignore_patterns)
+    own_patterns = [(c[0], c[1], "") for c in config.custom_patterns if compiles(spark, c[1])]
+    patterns = catalog(own_patterns, config.ignore_patterns)
     found = secrets.scored(secrets.grouped(secrets.with_token_roles(secrets.first_sources(secrets.scan(art, patterns)))).join(site, "page_id"), F.col("target"))
     scripts = art.where(F.col("label").startswith("Script: ") | (F.col("label") == "Inline Script"))
     stored = storage.assess(storage.classify(storage.gather(held["storage"], held["cookies"].select("page_id", "name", "value"), held["calls"].select("page_id", "seq", "url")), F.unix_timestamp()))
@@ -121,4 +122,4 @@ def run(spark: SparkSession, config: Config, tables: dict[str, DataFrame], scrip
         documents.write(sinks.documents(decisions[0], evidence[0], decisions[1], evidence[1]), output)
         at = output
     summary = sinks.batch_summary(parsed.select("page_id", "url"), told, errors)
-    return Run(whole, errors, told, endpoints.extract(scripts) if hasattr(endpoints, "extract") else scripts, summary, totals, at)
+    return Run(whole, errors, told, endpoints.endpoints(scripts), summary, totals, at)
