@@ -285,7 +285,8 @@ def framework_versions(spark, d):
 select distinct page_id, flag from (select page_id, unnest(case key when '__DEV__' then case when value = 'true' then ['window.__DEV__', '__DEV__=true'] else [] end when '__NEXT_DATA__' then case when contains(value, '"development"') then ['Next.js dev buildId'] else [] end when '__REACT_DEVTOOLS_GLOBAL_HOOK__' then ['react_dev_bundle'] else [] end) as flag from w
  union all select page_id, 'react-error-overlay' from e union all select page_id, 'angular_ng_version_attr' from e)""")
 def debug_flags(spark, d):
-    p = table(spark, d, "pages").where("page_id % 3 = 0").select("page_id", F.lit('<div id="react-error-overlay"></div><app ng-version="9"></app>').alias("html"))
+    planted = F.when(F.expr("page_id % 3 = 0"), '<div id="react-error-overlay"></div><app ng-version="9"></app>').otherwise("")
+    p = table(spark, d, "pages").select("page_id", F.concat(planted, F.coalesce("html", F.lit(""))).alias("html"))
     return captures.debug_flags(sample(spark, d, S.WINDOW), captures.elements(p))
 
 

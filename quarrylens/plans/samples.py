@@ -173,9 +173,9 @@ OBSERVED = """select s_suppkey % 40 as page_id, s_suppkey as seq, concat('https:
  case when s_suppkey % 12 = 0 then concat('{"generator":"https://wordpress.org/?v=6.', cast(s_suppkey % 5 as string), '"}') when s_suppkey % 12 = 6 then 'not json' end as response_body from supplier"""
 
 #: Globals that frameworks leave, and scripts of their pages.
-WINDOW = """select p_partkey % 90 as page_id, case p_partkey % 6 when 0 then '__NEXT_DATA__' when 1 then 'React.version' when 2 then '__REACT_DEVTOOLS_GLOBAL_HOOK__' when 3 then '__DEV__' when 4 then '__NUXT__' else 'DEBUG' end as key,
- case p_partkey % 6 when 0 then concat('{"buildId":"', case when p_partkey % 4 = 0 then 'development' else concat('b', cast(p_partkey % 90 as string)) end, '","page":"/x"}') when 1 then '18.2.0' when 2 then '{"renderers":[{"version":"17.0.2","bundleType":1}]}' when 3 then case when p_partkey % 4 = 3 then 'false' else 'true' end when 4 then concat('{"config":{"app":{"buildId":"n', cast(p_partkey % 90 as string), '"}}}') else '0' end as value from part where p_partkey % 7 < 3"""
-LINKED = """select p_partkey % 90 as page_id, p_partkey as pos, concat('https://', case p_partkey % 4 when 0 then concat('unpkg.com/react@16.', cast(p_partkey % 9 as string), '.1/umd/react.js') when 1 then 'a.example.com/_next/static/chunks/app/page.js' when 2 then 'a.example.com/_next/static/chunks/pages/index.js' else 'cdn.jsdelivr.net/npm/lodash@4.0.0/x.js' end) as src from part where p_partkey % 11 < 3"""
+WINDOW = """select p_partkey % 90 as page_id, case when p_partkey % 7 > 2 then 'other' else case p_partkey % 6 when 0 then '__NEXT_DATA__' when 1 then 'React.version' when 2 then '__REACT_DEVTOOLS_GLOBAL_HOOK__' when 3 then '__DEV__' when 4 then '__NUXT__' else 'DEBUG' end end as key,
+ case p_partkey % 6 when 0 then concat('{"buildId":"', case when p_partkey % 4 = 0 then 'development' else concat('b', cast(p_partkey % 90 as string)) end, '","page":"/x"}') when 1 then '18.2.0' when 2 then '{"renderers":[{"version":"17.0.2","bundleType":1}]}' when 3 then case when p_partkey % 4 = 3 then 'false' else 'true' end when 4 then concat('{"config":{"app":{"buildId":"n', cast(p_partkey % 90 as string), '"}}}') else '0' end as value from part"""
+LINKED = """select p_partkey % 90 as page_id, p_partkey as pos, concat('https://', case when p_partkey % 11 > 2 then concat('b.example.com/', cast(p_partkey as string), '.js') else case p_partkey % 4 when 0 then concat('unpkg.com/react@16.', cast(p_partkey % 9 as string), '.1/umd/react.js') when 1 then 'a.example.com/_next/static/chunks/app/page.js' when 2 then 'a.example.com/_next/static/chunks/pages/index.js' else 'cdn.jsdelivr.net/npm/lodash@4.0.0/x.js' end end) as src from part"""
 
 #: Manifests of Remix pages: a root, a nested user, a splat and an API.
 REMIX = """select s_suppkey as page_id, case when s_suppkey % 3 = 0 then '__remixContext' else '__remixManifest' end as key,
