@@ -359,6 +359,8 @@ def literals(tree: Node) -> list[tuple[str, str, int, str]]:
     return out
 
 
+#: Scripts whose texts and facts a worker has as Python objects at once.
+AT_ONCE = 500
 FACT = "page_id long, seq long, script_url string, kind string, source string, sink string, path array<string>, location string, detail string"
 
 
@@ -398,7 +400,7 @@ def facts(scripts: DataFrame) -> DataFrame:
     kinds = [pa.int64(), pa.int64(), *[pa.string()] * 4, pa.list_(pa.string()), pa.string(), pa.string()]
 
     def run(batches):
-        for b in batches:
+        for b in (b.slice(at, AT_ONCE) for b in batches for at in range(0, b.num_rows, AT_ONCE)):
             rows = []
             for page, seq, url, text in zip(*(b.column(k).to_pylist() for k in range(4))):
                 rows += [(page, seq, url, f["kind"], f["source"], f["sink"], f["path"], f["location"], f["detail"]) for f in analyse_text(text or "", url or "")]

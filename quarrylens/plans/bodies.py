@@ -24,7 +24,7 @@ select page_id, src, s.url, case when outcome = 'asked' and body is null then 'n
 def external_scripts(spark, d):
     kept = scratch.fresh(spark, "bodies")
     sample(spark, d, BODIES).write.parquet(kept)
-    pages = sample(spark, d, LINKED)
+    pages = sample(spark, d, LINKED, True)
     found = bodies.external(captures.scripts(captures.elements(pages)).where("src is not null"), pages, kept)
     return found.select("page_id", "src", "url", "outcome", F.md5("body").alias("digest"))
 

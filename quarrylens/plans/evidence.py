@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls, values
 from ..operators import advice, findings, javascript, manifests, posture, secrets, sourcemaps, storage, technologies, traffic, versions
-from ..sources import captures, sections, sinks
+from ..sources import captures, scratch, sections, sinks
 from . import catalog as C
 from . import samples as S
 from .catalog import query, table
@@ -17,7 +17,7 @@ from .samples import sample
 
 
 def _flow_facts(spark, d) -> DataFrame:
-    s = sample(spark, d, S.FLOWS).select("page_id", "seq", F.col("label").alias("url"), "text")
+    s = sample(spark, d, S.FLOWS, True).select("page_id", "seq", F.col("label").alias("url"), "text")
     return javascript.facts(s)
 
 
@@ -359,7 +359,7 @@ l as (select page_id, 1 as k, '- Flow: `' || source || '` to `' || sink || '` at
 g as (select page_id, k, string_agg(line, chr(10) order by nth) || case when any_value(total) > 10 then chr(10) || '- ... and ' || (any_value(total) - 10) || ' more' else '' end as text from l where nth <= 10 group by page_id, k)
 select page_id, '## Leads' || chr(10) || chr(10) || string_agg(text, chr(10) || chr(10) order by k) || chr(10) as text from g group by page_id""")
 def report_leads(spark, d):
-    f = _flow_facts(spark, d)
+    f = scratch.kept(_flow_facts(spark, d), "facts")  # read twice, parsed once
     none = spark.createDataFrame([], "page_id long, lead string")
     return sections.leads(none, findings.flow_confidence(javascript.flows(f), F.lit("s.example.com")), javascript.message_handlers(f))
 
@@ -389,7 +389,7 @@ def report_surface(spark, d):
 @query()
 def report_full(spark, d):
     """Every section of the pages that have scripts, calls, cookies, globals or secrets."""
-    f = _flow_facts(spark, d)
+    f = scratch.kept(_flow_facts(spark, d), "facts")  # of many sections, parsed once
     target = F.lit("s.example.com")
     flows, handlers = findings.flow_confidence(javascript.flows(f), target), findings.handler_confidence(javascript.message_handlers(f), target)
     gadgets = findings.gadget_confidence(javascript.gadgets(f, sample(spark, d, S.POLICIES)), target)
@@ -472,7 +472,7 @@ def storage_prose(spark, d):
 @query(f"""with {C._SCORED}, n as (select page_id, count(*) as n from disp group by page_id) select page_id, 'p' || page_id || '-example-org' as folder, '0.5' as version, least(n, 3)::bigint as kept, case when n > 3 then n::varchar else '-' end as whole from n""")
 def json_report_sizes(spark, d):
     """JSON documents of a page's secrets, at most three in each."""
-    rows = findings.of_secrets(C._scored(spark, d))
+    rows = scratch.kept(findings.of_secrets(C._scored(spark, d)), "findings")  # read twice, scanned once
     pages = rows.select("page_id").distinct().select("page_id", F.concat(F.lit("https://p"), F.col("page_id").cast("string"), F.lit(".example.org/")).alias("url"))
     made = sinks.json_documents(pages, limit=3, findings=rows)
     json = F.col("json")

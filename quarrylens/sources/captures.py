@@ -139,12 +139,22 @@ def _parse(html: str | None) -> list[dict]:
     return [e | {"attrs": list(e["attrs"].items())} for e in p.out]
 
 
+#: Pages whose elements a worker has as Python objects at once.
+AT_ONCE = 64
+
+
+def _sliced(column: pa.Array, made, kind: pa.DataType) -> pa.Array:
+    """What ``made`` gives of the column's values, some at a time: a batch of pages is far larger as objects than as an array."""
+    parts = [made(column.slice(at, AT_ONCE).to_pylist()) for at in range(0, len(column), AT_ONCE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 def elements_of(html: Column) -> Column:
     """Start tags in order, with attributes (the first of equal names), raw text of scripts and the like, and a form's controls."""
 
     @F.arrow_udf(ELEMENTS)
     def of(column: pa.Array) -> pa.Array:
-        return pa.array([_parse(h) for h in column.to_pylist()], _ARROW)
+        return _sliced(column, lambda html: pa.array([_parse(h) for h in html], _ARROW), _ARROW)
 
     return of(html)
 
@@ -156,15 +166,18 @@ ERROR = 500
 def parsed(pages: DataFrame) -> DataFrame:
     """``pages`` with ``e``, the elements, and ``error``: what kept the page from being parsed, else null.  A page that breaks the parser breaks nothing else."""
 
+    def tried(html: str | None) -> dict:
+        try:
+            return {"e": _parse(html), "error": None}
+        except MemoryError:  # of the worker, not of the page
+            raise
+        except Exception as x:  # of any other kind: it is the page's row that tells it
+            return {"e": None, "error": f"{type(x).__name__}: {x}"[:ERROR]}
+
     @F.arrow_udf(f"struct<e:{ELEMENTS},error:string>")
     def of(column: pa.Array) -> pa.Array:
-        rows = []
-        for html in column.to_pylist():
-            try:
-                rows.append({"e": _parse(html), "error": None})
-            except Exception as x:  # of any kind: it is the page's row that tells it
-                rows.append({"e": None, "error": f"{type(x).__name__}: {x}"[:ERROR]})
-        return pa.array(rows, pa.struct([("e", _ARROW), ("error", pa.string())]))
+        kind = pa.struct([("e", _ARROW), ("error", pa.string())])
+        return _sliced(column, lambda html: pa.array([tried(h) for h in html], kind), kind)
 
     return pages.withColumn("_p", of(F.col("html"))).select(*pages.columns, "_p.e", "_p.error")
 
