@@ -1,10 +1,14 @@
 """Work is dealt to all cores, done once, and held in pieces."""
 
+import math
+from collections import Counter
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from quarrylens.functions import values
 from quarrylens.functions.jsparse import Parser, parse
-from quarrylens.plans import evidence
+from quarrylens.plans import catalog, evidence
 from quarrylens.plans import samples as S
 from quarrylens.sources import captures
 
@@ -64,3 +68,17 @@ def test_pages_are_objects_in_pieces_only():
     got = captures._sliced(pages, made, captures._ARROW)
     assert max(sizes) == captures.AT_ONCE and got.equals(made(pages.to_pylist()))
     assert len(captures._sliced(pages.slice(0, 0), made, captures._ARROW)) == 0
+
+
+def test_reports_scan_for_secrets_once(spark):
+    for query in (catalog.report_markdown, catalog.report_json, evidence.json_report_sizes):
+        assert "sk-ant-api03" not in query(spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_entropy_counts_a_character_in_one_pass(spark):
+    texts = ["", "a", "aab", "AKIAaabb", "é😀é́中 \n", "0123456789abcdef" * 9 + "x"]
+    rows = spark.createDataFrame([(t,) for t in texts], "v string").select("v", values.entropy(F.col("v")).alias("bits")).collect()
+    for r in rows:
+        own = r["v"].removeprefix("AKIA")
+        want = -sum(n / len(own) * math.log2(n / len(own)) for n in Counter(own).values())
+        assert abs(r["bits"] - want) < 1e-12
