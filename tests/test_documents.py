@@ -69,3 +69,29 @@ def test_two_documents_a_page(spark):
     assert sorted(tuple(r) for r in sinks.documents(decisions, evidence).collect()) == [("h", "1-decision.md", "t"), ("h", "1-evidence.json", "{}"), ("h", "2-evidence.json", "{}")]
     with pytest.raises(ValueError):
         sinks.documents(None, None)
+
+
+def test_packed_documents_take_no_file_each(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/out"
+    rows = [("a-example-com", f"{i}-decision.md", f"line\n{i} é \r\n" * 40) for i in range(3000)] + [("b-net", "x" * 150, "{}"), ("b-net", "empty", ""), ("c", "null", None)]
+    docs = spark.createDataFrame(rows, "folder string, name string, body string").repartition(3)
+    documents.write(docs, path, packed=True)
+    assert _shown(spark, path) == sorted(r for r in rows if r[2])
+    assert len(_files(tmp_path / "out")) == 3 + 2  # archives, their list and the pointer
+    assert sum(os.path.getsize(tmp_path / "out" / f) for f in _files(tmp_path / "out")) < 200_000  # a block each would be 12 MB
+    documents.write(docs.where("folder = 'b-net'"), path)
+    assert [r[1] for r in _shown(spark, path)] == ["x" * 150]
+    documents.write(docs.where("false"), path, packed=True)
+    assert _shown(spark, path) == []
+
+
+def test_archives_of_failed_attempts_are_not_read(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(documents, "ARCHIVE", 100)
+    path = f"file://{tmp_path}/out"
+    writer = documents.DocumentWriter(path, True, True)
+    row = lambda i: {"folder": "h", "name": f"{i}.md", "body": "é" * 30}
+    writer.write(iter([row(i) for i in range(5)]))  # an attempt that nobody heard of
+    told = writer.write(iter([row(i) for i in range(9)]))
+    assert told.documents == 9 and len(told.archives) == 5 and writer.write(iter([])).archives == ()
+    writer.commit([told])
+    assert [r[1] for r in _shown(spark, path)] == [f"{i}.md" for i in range(9)]
