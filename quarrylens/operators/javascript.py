@@ -1,8 +1,9 @@
 """Static analysis of scripts: tainted flows, prototype pollution, message handlers, gadgets, telling literals.
 
 A script is parsed once and all analyses run over its tree in one Python step per Arrow batch; scripts are
-independent, so nothing is shuffled.  What an analysis finds becomes rows, and the rest (gadgets, scores,
-dedupes) is columns.
+independent, so nothing is shuffled.  Scripts that are alike but for their URL and for what leading comments say (a
+library on many pages, a build's number) are analysed once a task.  What an analysis finds becomes rows, and the rest
+(gadgets, scores, dedupes) is columns.
 
 The walker keeps, for each function scope, which names hold a value from a source and by which steps.  What
 counts as a source or a sink is in the tables below, by the access path's first and last name.
@@ -364,46 +365,86 @@ AT_ONCE = 500
 FACT = "page_id long, seq long, script_url string, kind string, source string, sink string, path array<string>, location string, detail string"
 
 
-def analyse_text(text: str, url: str) -> list[dict]:
-    """All facts of one script; unparseable ones have none.  One that nests too deeply has those found by then, and a fact that says so."""
+#: Characters of scripts whose facts a task remembers, and the most of one script.
+REMEMBERED, LONGEST = 4_000_000, 100_000
+_COMMENT = re.compile(r"//[^\n\r\u2028\u2029]*|/\*[\s\S]*?\*/")
+_INK = re.compile(r"[^\n\r\u2028\u2029]")
+#: What stands before the first string, template, regex, division or tag: there, and only there, these two always begin a comment.
+_PLAIN = re.compile(rf"[^'\"`/<]*+(?:(?:{_COMMENT.pattern})[^'\"`/<]*+)*")
+
+
+def without_ink(text: str) -> str:
+    """The text with spaces for its first comments: no token, offset or line is another."""
+    end = _PLAIN.match(text).end()
+    return _COMMENT.sub(lambda m: _INK.sub(" ", m[0]), text[:end]) + text[end:]
+
+
+def _analysed(text: str) -> list[tuple]:
+    """(kind, source, sink, path, place, detail) of all facts of one script; see ``analyse_text``."""
     import sys
 
     limit = sys.getrecursionlimit()
     sys.setrecursionlimit(20_000)
-    out: list[dict] = []
+    out: list[tuple] = []
     try:
         tree = parse(text, deep=True)
         if tree is None:
             return []
         _statements(tree)
-        where = Places(text)
-        loc = lambda at: f"{url}:{where.of(at)}"
+        loc = Places(text).of
         for pollution, kind in ((False, "flow"), (True, "pollution")):
             w = Walk(pollution)
             w.visit(tree)
             first = {}
             for src, sink, path, at in w.found:
                 first.setdefault((src, sink, loc(at)), path)
-            out += [{"kind": kind, "source": s, "sink": k, "path": list(p), "location": at, "detail": None} for (s, k, at), p in first.items()]
-        out += [{"kind": "handler", "source": check, "sink": None, "path": [], "location": loc(at), "detail": json.dumps(sink)} for check, sink, at in handlers(tree)]
-        out += [{"kind": "literal", "source": kind, "sink": value, "path": [], "location": loc(at), "detail": context} for kind, value, at, context in literals(tree)]
+            out += [(kind, s, k, list(p), at, None) for (s, k, at), p in first.items()]
+        out += [("handler", check, None, [], loc(at), json.dumps(sink)) for check, sink, at in handlers(tree)]
+        out += [("literal", kind, value, [], loc(at), context) for kind, value, at, context in literals(tree)]
         return out
     except RecursionError:
-        return [*out, {"kind": "too deep", "source": None, "sink": None, "path": [], "location": f"{url}:1:1", "detail": None}]
+        return [*out, ("too deep", None, None, [], "1:1", None)]
     finally:
         sys.setrecursionlimit(limit)
 
 
+class Remembered:
+    """``_analysed`` with the facts of scripts seen before, as far as ``REMEMBERED`` goes; then it begins anew."""
+
+    def __init__(self, size: int = REMEMBERED):
+        self.size, self.held, self.known = size, 0, {}
+
+    def __call__(self, text: str) -> list[tuple]:
+        if len(text) > LONGEST:  # its bytes may be near the parser's limit, which counts comments
+            return _analysed(text)
+        text = without_ink(text)
+        out = self.known.get(text)
+        if out is None:
+            out = _analysed(text)
+            self.held += len(text) + 200 * (len(out) + 1)
+            if self.held > self.size:
+                self.held, self.known = 0, {}
+            self.known[text] = out
+        return out
+
+
+def analyse_text(text: str, url: str) -> list[dict]:
+    """All facts of one script; unparseable ones have none.  One that nests too deeply has those found by then, and a fact that says so."""
+    return [{"kind": kind, "source": s, "sink": k, "path": path, "location": f"{url}:{place}", "detail": detail} for kind, s, k, path, place, detail in _analysed(text)]
+
+
 def facts(scripts: DataFrame) -> DataFrame:
     """Everything that the analyses find in scripts(page_id, seq, url, text), one row each."""
     names = [c.split()[0] for c in FACT.split(", ")]
     kinds = [pa.int64(), pa.int64(), *[pa.string()] * 4, pa.list_(pa.string()), pa.string(), pa.string()]
 
     def run(batches):
+        of = Remembered()
         for b in (b.slice(at, AT_ONCE) for b in batches for at in range(0, b.num_rows, AT_ONCE)):
             rows = []
             for page, seq, url, text in zip(*(b.column(k).to_pylist() for k in range(4))):
-                rows += [(page, seq, url, f["kind"], f["source"], f["sink"], f["path"], f["location"], f["detail"]) for f in analyse_text(text or "", url or "")]
+                url = url or ""
+                rows += [(page, seq, url, kind, s, k, path, f"{url}:{place}", detail) for kind, s, k, path, place, detail in of(text or "")]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
     return scripts.select(F.col("page_id").cast("long"), F.col("seq").cast("long"), "url", "text").mapInArrow(run, FACT)

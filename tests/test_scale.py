@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quarrylens.functions import values
 from quarrylens.functions.jsparse import Parser, parse
+from quarrylens.operators import javascript
 from quarrylens.plans import catalog, evidence
 from quarrylens.plans import samples as S
 from quarrylens.sources import captures
@@ -82,3 +83,23 @@ def test_entropy_counts_a_character_in_one_pass(spark):
         own = r["v"].removeprefix("AKIA")
         want = -sum(n / len(own) * math.log2(n / len(own)) for n in Counter(own).values())
         assert abs(r["bits"] - want) < 1e-12
+
+
+def test_comments_lose_their_ink_only_where_they_are_comments():
+    end = "el.innerHTML = location.hash"
+    for text in (f"// 12\n/* é\n z */ {end} // 3", f"a/*1*//*2*//re/.test(b); {end}", f"a //x\r\n\u2028 /* y\u2029 */ {end}", f"'/* s */'; /* u */ {end}", f"x = `/* ${{location.hash}} */`; /* q */ eval(x); {end}", f"f = () => <b>don't /* t */</b>; {end}", f"/a[/]*b/.test(c) /* d */; {end}", f"function f() {{ return /*\n*/ 1 }} {end}", f"{end}; /* open"):
+        plain = javascript.without_ink(text)
+        assert len(plain) == len(text) and repr(parse(plain)) == repr(parse(text)) and javascript._analysed(plain) == javascript._analysed(text)
+    assert javascript.without_ink("/* 1 */ a; // 2\n 'x' /* 3 */") == "        a;     \n 'x' /* 3 */"
+
+
+def test_scripts_that_differ_by_comments_are_analysed_once(monkeypatch):
+    forms = ["eval(location.hash); /* {} */", "// build {}\nwindow.onmessage = e => {{ if (e.origin.includes('a')) el.innerHTML = e.data }}", "// {}\nfetch('/api/x/y')", "a(", "'{}'"]
+    texts = [f.format(100 + i) for i in range(50) for f in forms[:4]] + [forms[4].format(i) for i in range(9)] + ["", "// " + "x" * javascript.LONGEST]
+    want, read = [javascript._analysed(t) for t in texts], []
+    alone = javascript._analysed
+    monkeypatch.setattr(javascript, "_analysed", lambda t: read.append(t) or alone(t))
+    of = javascript.Remembered()
+    assert [of(t) for t in texts] == want and len(read) == 4 + 9 + 2
+    small = javascript.Remembered(600)
+    assert [small(t) for t in texts] == want and small.held <= 600 and len(small.known) <= 3
