@@ -113,3 +113,39 @@ def test_first_sources_of_a_stream_in_any_order(spark, tmp_path):
     want = secrets.first_sources(secrets.scan(art))
     got = table.table(spark).select("page_id", "pattern", "value", "at.seq", "at.label")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_micro_batch_is_read_by_all_cores(spark):
+    from quarrylens.plans import streams
+
+    rows = spark.range(40_000).withColumn("text", F.sha2(F.col("id").cast("string"), 256))
+    files = spark.read.parquet(streams.shuffled(rows, "id")).groupBy(F.input_file_name()).count().collect()
+    n = streams.BATCHES * streams.at_once(spark)
+    assert len(files) == n and streams.at_once(spark) >= spark.sparkContext.defaultParallelism
+    assert sum(r["count"] for r in files) == 40_000 and max(r["count"] for r in files) < 2 * 40_000 / n
+
+
+def test_a_timer_moves_only_when_it_expires():
+    from types import SimpleNamespace
+
+    class State:
+        held = None
+        get = lambda self: self.held
+
+        def update(self, value):
+            self.held = value
+
+        def clear(self):
+            self.held = None
+
+    timers, calls = [], network.Calls(10)
+    calls.handle, calls.call = SimpleNamespace(registerTimer=timers.append), State()
+    event = lambda seq, at: {"event": json.dumps(dict.fromkeys(("url", "method", "status", "headers", "body", "size")) | {"kind": "request", "seq": seq, "url": f"https://h/{seq}", "at": at})}
+    at = lambda now: SimpleNamespace(getCurrentWatermarkInMs=lambda: now)
+    for batch in ([event(1, 100), event(2, 105)], [event(4, 300), event(3, 200)], [event(5, 250)]):
+        assert list(calls.handleInputRows((1, "a"), iter(batch), at(0))) == []
+    assert timers == [115]
+    assert list(calls.handleExpiredTimer((1, "a"), at(309), None)) == [] and timers == [115, 310]
+    (row,) = calls.handleExpiredTimer((1, "a"), at(310), None)
+    assert (row["seq"], row["url"]) == (1, "https://h/5") and calls.call.get() is None
+    assert list(calls.handleExpiredTimer((1, "a"), at(400), None)) == [] and timers == [115, 310]
