@@ -7,6 +7,7 @@ a response fills url and headers only where no request did; a body counts only i
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -68,7 +69,10 @@ def absorb(now: dict, row) -> None:
 
 
 class Calls(StatefulProcessor):
-    """A value for each call, in event time: every event moves the call's one timer to ``wait`` after its latest event; the timer gives the call out."""
+    """A value for each call, in event time: its one timer gives it out when ``wait`` has passed after its latest event, or is set anew if that came meanwhile.
+
+    A row's ``event`` has its fields as JSON: each column of a row costs as much to be brought to Python.
+    """
 
     def __init__(self, wait: int = WAIT) -> None:
         self.wait = wait
@@ -78,24 +82,29 @@ class Calls(StatefulProcessor):
         self.call = handle.getValueState("call", _STATE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        now = dict(zip(_FIELDS, self.call.get())) if self.call.exists() else dict.fromkeys(_FIELDS)
+        known = self.call.get()
+        now = dict.fromkeys(_FIELDS) if known is None else dict(zip(_FIELDS, known))
         last = 0
         for row in rows:
-            absorb(now, row)
-            last = max(last, row["at"])
-        until = max(last + self.wait, now["until"] or 0)
-        if until != now["until"]:
-            if now["until"] is not None:
-                self.handle.deleteTimer(now["until"])
-            self.handle.registerTimer(until)
-        now["until"] = until
+            event = json.loads(row["event"])
+            absorb(now, event)
+            last = max(last, event["at"])
+        now["until"] = max(last + self.wait, now["until"] or 0)
+        if known is None:
+            self.handle.registerTimer(now["until"])
         self.call.update(tuple(now[n] for n in _FIELDS))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now = dict(zip(_FIELDS, self.call.get())) if self.call.exists() else None
+        known = self.call.get()
+        if known is None:
+            return
+        now = dict(zip(_FIELDS, known))
+        if now["until"] > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(now["until"])
+            return
         self.call.clear()
-        if now is None or now["first"] is None:
+        if now["first"] is None:
             return
         there = now["f_seq"] is not None and now["f_seq"] > now["first"]
         yield Row(
@@ -118,7 +127,8 @@ def merge_stream(events: DataFrame, delay: str = "10 minutes", wait: int = WAIT)
     (see ``LateRows``).  State is one value and one timer a call, in RocksDB: start the query in a ``session`` of this module's.
     """
     slim = _typed(events.withColumn("ts", F.col("ts").cast("timestamp")), "ts").withColumn("at", F.unix_millis("ts")).withColumn("headers", F.to_json("headers")).withWatermark("ts", delay)
-    given = slim.groupBy("page_id", "request_id").transformWithState(Calls(wait), _GIVEN, "append", "eventTime")
+    event = F.to_json(F.struct("kind", "seq", "url", "method", "status", "headers", "body", "size", "at"), {"ignoreNullFields": "false"})
+    given = slim.select("ts", "page_id", "request_id", event.alias("event")).groupBy("page_id", "request_id").transformWithState(Calls(wait), _GIVEN, "append", "eventTime")
     maps = lambda c: F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>")).alias(c)
     out = given.select("page_id", "request_id", "seq", "url", "method", "status", maps("request_headers"), maps("response_headers"), "request_body", "response_body", "response_size")
     kind = F.get(F.filter(F.map_entries("response_headers"), lambda x: F.lower(x["key"]) == "content-type"), F.lit(0))["value"]
