@@ -2,7 +2,7 @@
 
 Counts of all training tokens are gathered by hash.  The most frequent words have a class and vectors
 each; their number grows with the cube root of the corpus' distinct words.  Less frequent ones share a class
-with all words of their frequency's power of two, as far as the executors hold them; the rest is one class.
+with all words of their frequency's power of two, as far as the executors hold them; the rest is one class.  Texts are coded as classes once.
 The model predicts the next class from the two before it: q = r_a C_1 + r_b C_2, s(w) = q . r_w + b_w.
 Executors learn from every triple of the training corpus against noise classes from the unigram
 distribution, some millions of triples a task, and their weights are averaged after each round.
@@ -34,6 +34,8 @@ DIM, NOISE = 20, 128
 #: Triples of a minibatch, and the least a round learns from (small corpora are repeated) and a task is given.
 BATCH, LEAST, TASK = 1024, 1_500_000, 4_000_000
 ROUNDS = 2
+#: Normalising sums that a worker remembers (12 bytes each); bytes worked on at a time, of texts and of what they are coded as.
+ROOM, PIECE, CODED = 1 << 22, 1 << 22, 1 << 20
 
 
 def own_classes(distinct: int) -> int:
@@ -116,6 +118,53 @@ def _classes(head: Head, w: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.
     return place, cls, ends
 
 
+def _pieces(batches, column: int, most: int):
+    """Slices of batches that have at most so many bytes in a column each; a longer value is one."""
+    for b in batches:
+        at, i = tv.raw(b.column(column))[1], 0
+        while i < b.num_rows:
+            j = max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1)
+            yield b.slice(i, j - i)
+            i = j
+
+
+def _unit(k: int) -> np.dtype:
+    """What a class is stored as."""
+    return np.dtype("<u2" if k <= 1 << 16 else "<i4")
+
+
+def _binary(a: np.ndarray, at: np.ndarray) -> pa.Array:
+    """The stretches of an array between offsets."""
+    return pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(np.ascontiguousarray(at * a.itemsize, np.int64)), pa.py_buffer(a.tobytes())])
+
+
+def _coded(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The classes of texts and their n + 1 offsets."""
+    data, at = tv.raw(column)
+    return data.view(_unit(k)).astype(np.int32), at // _unit(k).itemsize
+
+
+def _encode(head, first_shared: int, k: int):
+    """Of each text: its classes, how many words the head has, sums of log10(count + 1) over these and over those in shared classes, and the other words' hashes."""
+
+    def run(batches):
+        hd = head.value
+        own = np.log10(hd.c + 1.0)
+        for b in _pieces(batches, 3, PIECE):
+            w, at = tv.words(*tv.raw(b.column(3)))
+            n = len(at) - 1
+            place, cls, ends = _classes(hd, w, at)
+            found, row = np.flatnonzero(place >= 0), np.repeat(np.arange(n), np.diff(at))
+            of, place = row[found], place[found]
+            sums = [np.bincount(of, weights=x, minlength=n) for x in (own[place], np.where(hd.cls[place] >= first_shared, own[place], 0.0))]
+            known = np.bincount(of, minlength=n)
+            rare = np.delete(w, found)
+            rest = np.concatenate(([0], np.cumsum(np.diff(at) - known)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), _binary(cls.astype(_unit(k)), ends).cast(pa.binary()), pa.array(known), *map(pa.array, sums), _binary(rare, rest).cast(pa.binary())], ["key", "doc_id", "held_out", "cls", "known", "base", "shared", "rare"])
+
+    return run
+
+
 def _triples(cls: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The class two before, the class before and the class of every token."""
     one = np.concatenate(([START], cls[:-1])).astype(np.int32)
@@ -128,8 +177,73 @@ def _triples(cls: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return two, one, cls
 
 
-def _sum_rows(at: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
-    return np.bincount((at[:, None].astype(np.int64) * DIM + np.arange(DIM)).ravel(), rows.ravel(), k * DIM).reshape(k, DIM).astype(np.float32)
+class Groups:
+    """Equal numbers among ``at``, all below ``k``: ``own`` are the distinct ones, ``back`` says which of them each is."""
+
+    def __init__(self, at: np.ndarray, k: int):
+        order = np.argsort(at.astype(np.uint16) if k <= 1 << 16 else at, kind="stable")
+        of = at.take(order)
+        fresh = np.concatenate(([True], of[1:] != of[:-1]))
+        self.own, self.back = of[fresh], np.empty(len(at), np.int64)
+        self.back[order] = np.cumsum(fresh) - 1
+
+    def sums(self, rows: np.ndarray) -> np.ndarray:
+        """The sums of the rows of equal numbers."""
+        d = rows.shape[1]
+        out = np.zeros(len(self.own) * d, rows.dtype)
+        np.add.at(out, (self.back[:, None] * d + np.arange(d)).ravel(), rows.ravel())
+        return out.reshape(-1, d)
+
+
+class Rows:
+    """Adam for a matrix of which each step has gradients for few rows; the others cost it nothing.
+
+    What momentum goes on to do to a row without gradients is made up for when it is next read: its steps
+    fall by 0.9 / 0.99 ** 0.5 each, so their sum is closed, but for the changes of rate and bias meanwhile.
+    """
+
+    FALL, LONG = 0.9 / 0.99**0.5, 4000
+
+    def __init__(self, p: np.ndarray):
+        self.p, self.m, self.v = p, np.zeros_like(p), np.zeros_like(p)
+        self.last, self.size, self.t = np.zeros(len(p), np.int64), np.zeros(len(p), np.float32), 0
+
+    def read(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct rows as they are after all steps so far, and their moments for ``step``."""
+        p, m, v = self.p.take(at, 0), self.m.take(at, 0), self.v.take(at, 0)
+        missed = np.minimum(self.t - self.last.take(at), self.LONG).astype(np.float32)
+        fall, slow = np.float32(0.9) ** missed, np.float32(0.99) ** missed
+        drift = self.size.take(at) * (1 - fall / np.sqrt(slow)) * np.float32(self.FALL / (1 - self.FALL))
+        root = np.sqrt(v)
+        root += np.float32(1e-12)
+        np.divide(m, root, out=root)
+        root *= drift[:, None]
+        p -= root
+        m *= fall[:, None]
+        v *= slow[:, None]
+        return p, m, v
+
+    def step(self, at: np.ndarray, read: tuple[np.ndarray, np.ndarray, np.ndarray], g: np.ndarray, rate: float) -> None:
+        """One step with gradients of rows just read."""
+        self.t += 1
+        p, m, v = read
+        g *= np.float32(0.1)
+        m *= np.float32(0.9)
+        m += g
+        g *= g
+        v *= np.float32(0.99)
+        v += g
+        bias = (1 - 0.99**self.t) ** 0.5
+        np.sqrt(v, out=g)
+        g += np.float32(1e-8 * bias)
+        np.divide(m, g, out=g)
+        g *= np.float32(rate * bias / (1 - 0.9**self.t))
+        p -= g
+        self.p[at], self.m[at], self.v[at], self.last[at] = p, m, v, self.t
+        self.size[at] = rate * (1 - 0.99 ** (self.t + 1)) ** 0.5 / (1 - 0.9 ** (self.t + 1))
+
+    def all(self) -> np.ndarray:
+        return self.read(np.arange(len(self.last)))[0]
 
 
 class Model:
@@ -141,7 +255,7 @@ class Model:
         rng = np.random.default_rng(seed)
         k = len(uni)
         small = lambda *s: (rng.standard_normal(s) * 0.1).astype(np.float32)
-        self.uni, self.k = uni, k
+        self.uni, self.k, self.room = uni, k, None
         self.p = {"R": small(k, DIM), "C1": small(DIM, DIM), "C2": small(DIM, DIM), "Q": small(k, DIM), "b": np.log(np.maximum(uni, 1e-9)).astype(np.float32)}
 
     def flat(self) -> np.ndarray:
@@ -156,49 +270,84 @@ class Model:
         return self
 
     def learner(self, seed: int):
-        """step(x, y, w, rate): one minibatch; all its triples share the noise."""
+        """step(x, y, w, rate): one minibatch; all its triples share the noise, of which equal classes are reckoned once.  end(): the model has the weights learned."""
         p, k, rng = self.p, self.k, np.random.default_rng(seed)
-        lift, ucum, adam = np.log(NOISE * np.maximum(self.uni, 1e-12)).astype(np.float32), np.cumsum(self.uni), Adam(self.p, 0.01)
+        lift, ucum = np.log(NOISE * np.maximum(self.uni, 1e-12)).astype(np.float32), np.cumsum(self.uni)
+        ins, outs, adam = Rows(p["Q"]), Rows(np.column_stack((p["R"], p["b"]))), Adam({n: p[n] for n in ("C1", "C2")}, 0.01)
 
         def step(x, y, w, rate):
-            z = np.minimum(np.searchsorted(ucum, rng.random(NOISE)), k - 1)
-            q = p["Q"][x] @ p["C1"] + p["Q"][y] @ p["C2"]
-            g = ((sigmoid(np.einsum("bd,bd->b", q, p["R"][w]) + p["b"][w] - lift[w]) - 1) / len(w)).astype(np.float32)
-            gz = (sigmoid(q @ p["R"][z].T + (p["b"][z] - lift[z])) / len(w)).astype(np.float32)
-            dq = g[:, None] * p["R"][w] + gz @ p["R"][z]
-            gr = _sum_rows(np.concatenate((w, z)), np.concatenate((g[:, None] * q, gz.T @ q)), k)
-            gb = np.bincount(np.concatenate((w, z)), np.concatenate((g, gz.sum(0))), k).astype(np.float32)
-            gq = _sum_rows(np.concatenate((x, y)), np.concatenate((dq @ p["C1"].T, dq @ p["C2"].T)), k)
+            n = len(w)
+            z, times = np.unique(np.minimum(np.searchsorted(ucum, rng.random(NOISE)), k - 1), return_counts=True)
+            seen, said = Groups(np.concatenate((x, y)), k), Groups(np.concatenate((w, z)), k)
+            into_rows, out_rows = ins.read(seen.own), outs.read(said.own)
+            row, col = into_rows[0], out_rows[0]
+            q, first, second = np.ones((n, DIM + 1), np.float32), seen.back[:n], seen.back[n:]  # the last column goes with the bias
+            np.add((row @ p["C1"]).take(first, 0), (row @ p["C2"]).take(second, 0), out=q[:, :DIM])
+            r, rz = col.take(said.back[:n], 0), col.take(said.back[n:], 0)
+            g = ((sigmoid(np.einsum("bd,bd->b", q, r) - lift[w]) - 1) / n).astype(np.float32)
+            minus = -rz
+            minus[:, DIM] += lift[z]
+            gz = q @ minus.T
+            with np.errstate(over="ignore"):
+                np.exp(gz, out=gz)
+            gz += 1
+            np.divide((times / n).astype(np.float32), gz, out=gz)
+            dq = gz @ rz[:, :DIM]
+            dq += g[:, None] * r[:, :DIM]
+            out, into = np.empty((n + len(z), DIM + 1), np.float32), np.empty((2 * n, DIM), np.float32)
+            np.multiply(g[:, None], q, out=out[:n])
+            np.matmul(gz.T, q, out=out[n:])
+            np.matmul(dq, p["C1"].T, out=into[:n])
+            np.matmul(dq, p["C2"].T, out=into[n:])
+            turn = {"C1": row.take(first, 0).T @ dq, "C2": row.take(second, 0).T @ dq}
+            outs.step(said.own, out_rows, said.sums(out), rate)
+            ins.step(seen.own, into_rows, seen.sums(into), rate)
             adam.rate = rate
-            adam.step({"R": gr, "b": gb, "Q": gq, "C1": p["Q"][x].T @ dq, "C2": p["Q"][y].T @ dq})
+            adam.step(turn)
+
+        def end():
+            col = outs.all()
+            p["R"], p["b"], p["Q"] = col[:, :DIM].copy(), col[:, DIM].copy(), ins.all().copy()
 
-        return step
+        return step, end
 
     def sums(self, pair: np.ndarray) -> np.ndarray:
         """The logarithm of the normalising sum after each pair of classes (first * k + second)."""
-        first, second = self.p["Q"] @ self.p["C1"], self.p["Q"] @ self.p["C2"]
-        out, n = np.empty(len(pair), np.float32), max(1, (1 << 21) // self.k)
+        first, second = (np.pad(self.p["Q"] @ self.p[n], ((0, 0), (0, 1)), constant_values=v).astype(np.float32) for n, v in (("C1", 1), ("C2", 0)))
+        rows = np.ascontiguousarray(np.delete(np.column_stack((self.p["R"], self.p["b"])), START, 0).T)
+        out, n, ones = np.empty(len(pair), np.float32), max(1, (1 << 19) // self.k), np.ones(self.k - 1, np.float32)
         for i in range(0, len(pair), n):
-            s = (first[pair[i : i + n] // self.k] + second[pair[i : i + n] % self.k]) @ self.p["R"].T
-            s += self.p["b"]
-            s[:, START] = -np.inf
+            s = (first[pair[i : i + n] // self.k] + second[pair[i : i + n] % self.k]) @ rows
             m = s.max(1)
             s -= m[:, None]
-            out[i : i + n] = m + np.log(np.exp(s, out=s).sum(1))
+            out[i : i + n] = m + np.log(np.exp(s, out=s) @ ones)
         return out
 
-    def log10(self, x: np.ndarray, y: np.ndarray, w: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
-        """log10 P(w | x, y); ``known`` keeps sums by pair between calls."""
+    def recall(self, pair: np.ndarray) -> np.ndarray:
+        """``sums``, which a worker remembers between its batches and tasks as long as it has this model, in a table of fixed size."""
+        if self.room is None:
+            self.room = np.full(ROOM, -1, np.int64), np.empty(ROOM, np.float32)
+        pairs, sums = self.room
+        slot = lambda p: (p.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) % ROOM
+        at = slot(pair)
+        out, new = sums[at], np.flatnonzero(pairs[at] != pair)
+        if len(new):
+            u, back = np.unique(pair[new], return_inverse=True)
+            found, at = self.sums(u), slot(u)
+            out[new] = found[back]
+            pairs[at], sums[at] = u, found
+        return out
+
+    def log10(self, x: np.ndarray, y: np.ndarray, w: np.ndarray, recall: bool = False) -> np.ndarray:
+        """log10 P(w | x, y); ``recall`` is for a model that doesn't change any more."""
         first, second = self.p["Q"] @ self.p["C1"], self.p["Q"] @ self.p["C2"]
         out = np.empty(len(w))
         pair = x.astype(np.int64) * self.k + y
-        if known is None:
+        if recall:
+            z = self.recall(pair)
+        else:
             u, back = np.unique(pair, return_inverse=True)
             z = self.sums(u)[back]
-        else:
-            u = np.unique(pair[np.isnan(known[pair])])
-            known[u] = self.sums(u)
-            z = known[pair]
         for i in range(0, len(w), 1 << 16):
             s = slice(i, i + (1 << 16))
             out[s] = np.einsum("bd,bd->b", first[x[s]] + second[y[s]], self.p["R"][w[s]]) + self.p["b"][w[s]] - z[s]
@@ -217,46 +366,46 @@ def train(code: np.ndarray, n: np.ndarray, steps: int = 3000, batch: int = 512,
     k, rng = VOCAB, np.random.default_rng(seed)
     a, b, w = code // (k * k), code // k % k, code % k
     model = Model(noise(np.bincount(w, weights=n, minlength=k)), seed)
-    step, cum = model.learner(seed), np.cumsum(n / n.sum())
+    (step, end), cum = model.learner(seed), np.cumsum(n / n.sum())
     for i in range(steps):
         pick = np.minimum(np.searchsorted(cum, rng.random(batch)), len(code) - 1)
         step(a[pick], b[pick], w[pick], 0.01 * (1 - i / steps) + 0.0003)
+    end()
     x, y, z = (v.ravel() for v in np.meshgrid(*[np.arange(k)] * 3, indexing="ij"))
     out = model.log10(x, y, z)
     out[z == START] = -np.inf
     return out.astype(np.float32)
 
 
-def _learn(head, model, epochs: int, expected: int, begin: float, end: float, block: int = 4096, hold: int = 2_000_000):
+def _learn(model, epochs: int, expected: int, begin: float, end: float, block: int = 4096, hold: int = 2_000_000):
     """(block, n, weights): the model after all triples of a task; the rate falls from ``begin`` to ``end`` over the expected ones."""
 
     def run(batches):
         own = Model(model.value.uni).load(model.value.flat())
-        step, rng, seen, held, waiting = own.learner(7), np.random.default_rng(11), 0, [], 0
+        (step, end_of), rng, seen, held, waiting = own.learner(7), np.random.default_rng(11), 0, [], 0
 
         def learn():
-            x, y, z = (np.concatenate(v) for v in zip(*held, strict=True))
+            rows = np.concatenate(held)
             done = seen
             for _ in range(epochs):
-                order = rng.permutation(len(z))
-                for i in range(0, len(z), BATCH):
-                    pick = order[i : i + BATCH]
-                    step(x[pick], y[pick], z[pick], begin + (end - begin) * min(1.0, done / expected))
-                    done += len(pick)
+                order = rng.permutation(np.arange(len(rows), dtype=np.int32))
+                for i in range(0, len(rows), BATCH):
+                    x, y, z = np.ascontiguousarray(rows.take(order[i : i + BATCH], 0).T)
+                    step(x, y, z, begin + (end - begin) * min(1.0, done / expected))
+                    done += len(z)
             return done
 
         for b in batches:
-            w, at = tv.words(*tv.raw(b.column(0)))
-            if len(at) < 2:
+            if not b.num_rows:
                 continue
-            _, cls, ends = _classes(head.value, w, at)
-            held.append(_triples(cls, ends))
-            waiting += len(cls)
+            held.append(np.column_stack(_triples(*_coded(b.column(0), own.k))))
+            waiting += len(held[-1])
             if waiting > hold:
                 seen, held, waiting = learn(), [], 0
         if held:
             seen = learn()
         if seen:
+            end_of()
             flat = own.flat()
             parts = [flat[i : i + block].tobytes() for i in range(0, len(flat), block)]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([seen] * len(parts), pa.int64()), pa.array(parts, pa.binary())], ["block", "n", "v"])
@@ -271,8 +420,8 @@ def _mean(rows: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array([rows.column("block")[0].as_py()], pa.int32()), "v": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
 
-def fit(corpus: DataFrame, head, uni: np.ndarray, total: int) -> Model:
-    """The model of a corpus of ``total`` tokens: each round learns from all its triples."""
+def fit(corpus: DataFrame, uni: np.ndarray, total: int) -> Model:
+    """The model of a corpus of ``total`` tokens, given as texts' classes: each round learns from all its triples."""
     spark, model = corpus.sparkSession, Model(uni)
     if not total:
         return model
@@ -281,27 +430,23 @@ def fit(corpus: DataFrame, head, uni: np.ndarray, total: int) -> Model:
     for r in range(ROUNDS):
         rate = lambda i: 0.01 * (1 - i / ROUNDS) + 0.0003
         shared = spark.sparkContext.broadcast(model)
-        learned = corpus.coalesce(tasks).mapInArrow(_learn(head, shared, epochs, expected, rate(r), rate(r + 1)), "block int, n long, v binary")
+        learned = corpus.coalesce(tasks).mapInArrow(_learn(shared, epochs, expected, rate(r), rate(r + 1)), "block int, n long, v binary")
         rows = learned.groupBy("block").applyInArrow(_mean, "block int, v binary").collect()
         model = Model(uni).load(np.concatenate([np.frombuffer(x["v"], np.float32) for x in sorted(rows, key=lambda x: x["block"])]))
     return model
 
 
-def _tail(head):
+def _tail(batches):
     """(row, hash, times) of words that the head doesn't have."""
-
-    def run(batches):
-        for b in batches:
-            key = b.column(0).to_numpy(zero_copy_only=False)
-            w, at = tv.words(*tv.raw(b.column(1)))
-            rare = np.flatnonzero(head.value.find(w) < 0)
-            row = np.searchsorted(at, rare, "right") - 1
-            order = np.lexsort((w[rare], row))
-            h, row = w[rare][order], row[order]
-            new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])))) if len(h) else np.zeros(0, int)
-            yield pa.RecordBatch.from_arrays([pa.array(key[row[new]], pa.int64()), pa.array(h[new].view(np.int64)), pa.array(np.diff(np.append(new, len(h))).astype(np.int32))], ["key", "h", "n"])
-
-    return run
+    for b in _pieces(batches, 1, CODED):
+        key = b.column(0).to_numpy(zero_copy_only=False)
+        w, at = tv.raw(b.column(1))
+        w = w.view(np.uint64)
+        row = np.repeat(np.arange(len(key)), np.diff(at) // 8)
+        order = np.lexsort((w, row))
+        h, row = w[order], row[order]
+        new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])))) if len(h) else np.zeros(0, int)
+        yield pa.RecordBatch.from_arrays([pa.array(key[row[new]], pa.int64()), pa.array(h[new].view(np.int64)), pa.array(np.diff(np.append(new, len(h))).astype(np.int32))], ["key", "h", "n"])
 
 
 def _score(head, model, first_shared: int, end: int, total: int, distinct: int):
@@ -310,29 +455,18 @@ def _score(head, model, first_shared: int, end: int, total: int, distinct: int):
 
     def run(batches):
         hd, m = head.value, model.value
-        own = np.log10(hd.c + 1.0)
         mass = np.bincount(hd.cls, weights=hd.c, minlength=m.k)
         kinds = np.bincount(hd.cls, minlength=m.k)
         mass[OTHER] = total - end - int(hd.c.sum())
         kinds[OTHER] = max(0, distinct - (1 if end else 0) - len(hd.h)) + 1
         shared_at = np.log10(np.maximum(mass + kinds, 1))
         shared_at[START], shared_at[END], shared_at[3:first_shared] = 0, 0, 0
-        sums = np.full(m.k * m.k, np.nan, np.float32) if m.k <= 3000 else None
-        for b in batches:
-            w, at = tv.words(*tv.raw(b.column(3)))
-            n = len(at) - 1
-            if not n:
-                continue
-            place, cls, ends = _classes(hd, w, at)
-            row = np.repeat(np.arange(n), np.diff(at))
-            found = place >= 0
-            add = np.where(found, own[np.maximum(place, 0)], 0.0) if len(own) else np.zeros(len(w))
-            known = np.bincount(row, weights=found, minlength=n).astype(np.int64) + (1 if end else 0)
-            tokens = np.diff(at) + 1
-            base = np.bincount(row, weights=add, minlength=n) + np.log10(end + 1.0) - tokens * base_at
-            seq = np.add.reduceat(m.log10(*_triples(cls, ends), sums) - shared_at[cls], ends[:-1])
-            shared = hd.cls[np.maximum(place, 0)] >= first_shared if len(own) else np.zeros(len(w), bool)
-            seq += np.bincount(row, weights=np.where(found & shared, add, 0.0), minlength=n)
+        for b in _pieces(batches, 3, CODED):
+            cls, ends = _coded(b.column(3), m.k)
+            tokens = np.diff(ends)
+            known = b.column(4).to_numpy() + (1 if end else 0)
+            base = b.column(5).to_numpy() + np.log10(end + 1.0) - tokens * base_at
+            seq = np.add.reduceat(m.log10(*_triples(cls, ends), recall=True) - shared_at[cls], ends[:-1]) + b.column(6).to_numpy()
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(tokens), pa.array(known), pa.array(base), pa.array(seq)], ["key", "doc_id", "held_out", "n_tokens", "known", "base", "seq"])
 
     return run
@@ -362,10 +496,12 @@ def lm_scores(docs: DataFrame, modulus: int = 7, remainder: int = 2, key: str =
     n = np.bincount(cls, weights=c, minlength=k)
     n[END], n[OTHER] = end, total - end - c.sum()
     head = spark.sparkContext.broadcast(Head(h, c, cls))
-    model = spark.sparkContext.broadcast(fit(corpus, head, noise(n), total))
-    pairs = own.select("key", "text").mapInArrow(_tail(head), "key long, h long, n int")
+    kept = f"key long, doc_id {docs.schema[key].dataType.simpleString()}, held_out boolean"
+    coded = materialize(own.mapInArrow(_encode(head, first_shared, k), f"{kept}, cls binary, known long, base double, shared double, rare binary"), "classes")
+    model = spark.sparkContext.broadcast(fit(coded.where("not held_out").select("cls"), noise(n), total))
+    pairs = coded.select("key", "rare").mapInArrow(_tail, "key long, h long, n int")
     rare = pairs.join(counts, "h").groupBy("key").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("add"), F.sum("n").alias("hits"))
-    rows = own.mapInArrow(_score(head, model, first_shared, end, total, distinct), f"key long, doc_id {docs.schema[key].dataType.simpleString()}, held_out boolean, n_tokens long, known long, base double, seq double")
+    rows = coded.select("key", "doc_id", "held_out", "cls", "known", "base", "shared").mapInArrow(_score(head, model, first_shared, end, total, distinct), f"{kept}, n_tokens long, known long, base double, seq double")
     rows = rows.withColumn("copies", F.count("*").over(Window.partitionBy("key")))  # equal rows have sent their words as often
     add, hits = F.coalesce(F.col("add") / F.col("copies"), F.lit(0.0)), F.coalesce(F.expr("hits div copies"), F.lit(0))
     return rows.join(rare, "key", "left").select("doc_id", "held_out", "n_tokens", (F.col("known") + hits).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + add).alias("base_score"), (F.col("seq") + add).alias("score"))

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -13,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrylens.llm import logbilinear, media, mixing, packing, pii, quality, rules, setjoin, textvec, tokens, toxicity, warc
+from quarrylens.llm.samples import Adam
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FOLD = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -725,3 +727,61 @@ def test_language_model_classes_grow_and_cover_the_tail():
     model = logbilinear.Model(logbilinear.noise(np.bincount(cls, weights=c, minlength=k)))
     p = 10.0 ** model.log10(np.full(k, 5), np.full(k, k - 1), np.arange(k))
     assert abs(p[np.arange(k) != logbilinear.START].sum() - 1) < 1e-3
+
+
+def test_language_model_steps_cost_no_more_with_more_classes():
+    def seconds(k):
+        rng = np.random.default_rng(1)
+        n = np.zeros(k)
+        n[3:403] = 1000
+        model = logbilinear.Model(logbilinear.noise(n))
+        made = model.learner(1)
+        step, best = made[0] if isinstance(made, tuple) else made, math.inf
+        for _ in range(4):
+            begin = time.process_time()
+            for _ in range(20):
+                step(*rng.integers(3, 403, (3, 1024)).astype(np.int32), 0.01)
+            best = min(best, time.process_time() - begin)
+        return best
+
+    assert seconds(100_000) < 4 * seconds(1000)
+
+
+def test_language_model_rows_without_gradients_follow_adam():
+    rng = np.random.default_rng(4)
+    start = rng.standard_normal((60, 3)).astype(np.float32)
+    rows, dense = logbilinear.Rows(start.copy()), Adam({"p": start.copy()}, 0.01)
+    for _ in range(400):
+        at = np.flatnonzero(rng.random(60) < np.linspace(0.01, 0.5, 60))
+        g, whole = rng.standard_normal((len(at), 3)).astype(np.float32) + 1, np.zeros((60, 3), np.float32)
+        whole[at] = g
+        rows.step(at, rows.read(at), g.copy(), 0.01)
+        dense.step({"p": whole})
+    moved = np.abs(dense.p["p"] - start).mean()
+    assert moved > 0.5 and np.abs(rows.all() - dense.p["p"]).mean() < 0.02 * moved
+
+
+def test_language_model_remembers_normalising_sums(monkeypatch):
+    k, rng = 300, np.random.default_rng(6)
+    model = logbilinear.Model(logbilinear.noise(rng.random(k)))
+    pairs = rng.integers(0, k * k, 5000)
+    want = model.sums(pairs)
+    monkeypatch.setattr(logbilinear, "ROOM", 64)  # nearly all collide
+    assert np.allclose([model.recall(pairs), model.recall(pairs)], want, atol=1e-5)
+    monkeypatch.setattr(logbilinear, "ROOM", 1 << 22)
+    model.room, reckoned = None, []
+    monkeypatch.setattr(model, "sums", lambda p, f=model.sums: reckoned.append(len(p)) or f(p))
+    assert np.allclose([model.recall(pairs), model.recall(pairs)], want, atol=1e-5)
+    assert sum(reckoned) < 1.02 * len(np.unique(pairs))
+
+
+def test_language_model_texts_come_back_from_their_codes():
+    at = np.array([0, 3, 4, 9])
+    for k in (300, 70_000):
+        cls = np.random.default_rng(k).integers(0, k, 9).astype(np.int32)
+        column = logbilinear._binary(cls.astype(logbilinear._unit(k)), at).cast(pa.binary())
+        for a in range(3):
+            got, ends = logbilinear._coded(column.slice(a), k)
+            assert (got == cls[at[a] :]).all() and (ends == at[a:] - at[a]).all()
+        sizes = [b.num_rows for b in logbilinear._pieces([pa.record_batch([column], ["cls"])], 0, 4 * logbilinear._unit(k).itemsize)]
+        assert sizes == [2, 1]
