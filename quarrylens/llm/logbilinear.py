@@ -7,7 +7,7 @@ The model predicts the next class from the two before it: q = r_a C_1 + r_b C_2,
 Executors learn from every triple of the training corpus against noise classes from the unigram
 distribution, some millions of triples a task, and their weights are averaged after each round.
 Scores are normalised: the sum over all classes is a batched matrix product, once for a pair of context
-classes.  A word in a shared class costs its class and, given that, its own add-one estimate among such words.
+classes; e ** (q . r_w) is a product of what the two contexts give, so a table of sums is one matrix by another.  A word in a shared class costs its class and, given that, its own add-one estimate among such words.
 
 Words are told apart by 64 bits of their hash.
 """
@@ -34,8 +34,10 @@ DIM, NOISE = 20, 128
 #: Triples of a minibatch, and the least a round learns from (small corpora are repeated) and a task is given.
 BATCH, LEAST, TASK = 1024, 1_500_000, 4_000_000
 ROUNDS = 2
-#: Normalising sums that a worker remembers (12 bytes each); bytes worked on at a time, of texts and of what they are coded as.
-ROOM, PIECE, CODED = 1 << 22, 1 << 22, 1 << 20
+#: The most frequent classes whose pairs' normalising sums a worker reckons at once (4 bytes each), and how many others it remembers (12 bytes each).
+DENSE, ROOM = 4096, 1 << 22
+#: Bytes worked on at a time, of texts and of what they are coded as.
+PIECE, CODED = 1 << 22, 1 << 22
 
 
 def own_classes(distinct: int) -> int:
@@ -311,10 +313,31 @@ class Model:
 
         return step, end
 
-    def sums(self, pair: np.ndarray) -> np.ndarray:
-        """The logarithm of the normalising sum after each pair of classes (first * k + second)."""
-        first, second = (np.pad(self.p["Q"] @ self.p[n], ((0, 0), (0, 1)), constant_values=v).astype(np.float32) for n, v in (("C1", 1), ("C2", 0)))
-        rows = np.ascontiguousarray(np.delete(np.column_stack((self.p["R"], self.p["b"])), START, 0).T)
+    def _halves(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each class as first and as second context and of each target without START: rows whose products are the halves of the scores."""
+        none, one = np.zeros((self.k, 1), np.float32), np.ones((self.k, 1), np.float32)
+        return (
+            np.hstack((self.p["Q"] @ self.p["C1"], none)),
+            np.hstack((self.p["Q"] @ self.p["C2"], one)),
+            np.delete(np.hstack((self.p["R"], self.p["b"][:, None])), START, 0),
+        )
+
+    def _factors(self, x: np.ndarray, y: np.ndarray, width: int = 256):
+        """The sum after first x[i] and second y[j] is the product of rows i and j, which come by so many targets, times e ** (tx[i] + ty[j]): (tx, ty, (rows, rows)...)."""
+        first, second, targets = self._halves()
+
+        def scaled(rows):
+            top = np.concatenate([(rows[i : i + width] @ targets.T).max(1) for i in range(0, len(rows), width)])
+            return np.hstack((rows, -top[:, None])), top
+
+        (a, tx), (b, ty) = scaled(first[x]), scaled(second[y])
+        targets = np.hstack((targets, np.ones((len(targets), 1), np.float32)))
+        return tx, ty, ((np.exp(a @ t.T), np.exp(b @ t.T)) for t in (targets[i : i + width] for i in range(0, len(targets), width)))
+
+    def _each(self, pair: np.ndarray) -> np.ndarray:
+        """``sums`` by all targets' exponentials for each pair."""
+        first, second, targets = self._halves()
+        rows = np.ascontiguousarray(targets.T)
         out, n, ones = np.empty(len(pair), np.float32), max(1, (1 << 19) // self.k), np.ones(self.k - 1, np.float32)
         for i in range(0, len(pair), n):
             s = (first[pair[i : i + n] // self.k] + second[pair[i : i + n] % self.k]) @ rows
@@ -323,18 +346,56 @@ class Model:
             out[i : i + n] = m + np.log(np.exp(s, out=s) @ ones)
         return out
 
-    def recall(self, pair: np.ndarray) -> np.ndarray:
-        """``sums``, which a worker remembers between its batches and tasks as long as it has this model, in a table of fixed size."""
+    def sums(self, pair: np.ndarray) -> np.ndarray:
+        """The logarithm of the normalising sum after each pair of classes (first * k + second)."""
+        if len(pair) < 4 * self.k:
+            return self._each(pair)
+        (x, at), (y, by) = (np.unique(v, return_inverse=True) for v in (pair // self.k, pair % self.k))
+        tx, ty, factors = self._factors(x, y)
+        out, n = np.zeros(len(pair), np.float32), 1024
+        for a, b in factors:
+            for i in range(0, len(pair), n):
+                out[i : i + n] += np.einsum("bd,bd->b", a.take(at[i : i + n], 0), b.take(by[i : i + n], 0))
+        return self._logs(out, tx[at] + ty[by], pair)
+
+    def _logs(self, sums: np.ndarray, top: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """Logarithms of scaled sums; those too small for their factors' precision are reckoned apart."""
+        small = np.flatnonzero(sums < 1e-20)
+        out = np.log(np.maximum(sums, 1e-30)) + top
+        if len(small):
+            out[small] = self._each(pair[small])
+        return out
+
+    def _dense(self, classes: np.ndarray) -> np.ndarray:
+        """``sums`` after all pairs of some classes."""
+        tx, ty, factors = self._factors(classes, classes)
+        out, n = np.zeros((len(classes), len(classes)), np.float32), 512
+        for a, b in factors:
+            for i in range(0, len(out), n):
+                out[i : i + n] += a[i : i + n] @ b.T
+        for i in range(len(out)):
+            out[i] = self._logs(out[i], tx[i] + ty, classes[i].astype(np.int64) * self.k + classes)
+        return out
+
+    def recall(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """``sums``, which a worker keeps as long as it has this model: those between frequent classes in a table, others as far as there is room."""
         if self.room is None:
-            self.room = np.full(ROOM, -1, np.int64), np.empty(ROOM, np.float32)
-        pairs, sums = self.room
-        slot = lambda p: (p.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) % ROOM
-        at = slot(pair)
-        out, new = sums[at], np.flatnonzero(pairs[at] != pair)
-        if len(new):
+            often, place = np.argsort(-self.uni, kind="stable")[:DENSE], np.full(self.k, -1, np.int32)
+            if START not in often:
+                often[-1] = START
+            place[often] = np.arange(len(often))
+            self.room = place, self._dense(often), np.full(ROOM if self.k > DENSE else 0, -1, np.int64), np.empty(ROOM if self.k > DENSE else 0, np.float32)
+        place, table, pairs, sums = self.room
+        a, b = place[x], place[y]
+        out, rest = table[a, b], np.flatnonzero((a < 0) | (b < 0))
+        if len(rest):
+            slot = lambda p: (p.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) % len(pairs)
+            pair = x[rest].astype(np.int64) * self.k + y[rest]
+            at = slot(pair)
+            out[rest], new = sums[at], np.flatnonzero(pairs[at] != pair)
             u, back = np.unique(pair[new], return_inverse=True)
             found, at = self.sums(u), slot(u)
-            out[new] = found[back]
+            out[rest[new]] = found[back]
             pairs[at], sums[at] = u, found
         return out
 
@@ -342,11 +403,10 @@ class Model:
         """log10 P(w | x, y); ``recall`` is for a model that doesn't change any more."""
         first, second = self.p["Q"] @ self.p["C1"], self.p["Q"] @ self.p["C2"]
         out = np.empty(len(w))
-        pair = x.astype(np.int64) * self.k + y
         if recall:
-            z = self.recall(pair)
+            z = self.recall(x, y)
         else:
-            u, back = np.unique(pair, return_inverse=True)
+            u, back = np.unique(x.astype(np.int64) * self.k + y, return_inverse=True)
             z = self.sums(u)[back]
         for i in range(0, len(w), 1 << 16):
             s = slice(i, i + (1 << 16))
@@ -438,7 +498,7 @@ def fit(corpus: DataFrame, uni: np.ndarray, total: int) -> Model:
 
 def _tail(batches):
     """(row, hash, times) of words that the head doesn't have."""
-    for b in _pieces(batches, 1, CODED):
+    for b in _pieces(batches, 1, PIECE):
         key = b.column(0).to_numpy(zero_copy_only=False)
         w, at = tv.raw(b.column(1))
         w = w.view(np.uint64)
