@@ -18,10 +18,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.jsparse import Node, Places, parse
+from ..functions.jsparse import Node, Places, parse, room
 from .posture import csp_flags
 
+#: Gadgets of a page that a query with this cut shows.
 CAP = 200
+#: Nodes inside of each other from which on a script gives a fact that says so.
+DEEP = 10_000
 #: Reads that give a source, as "first name.last name".
 SOURCES = {
     "location.href": "location.href",
@@ -36,6 +39,7 @@ SOURCES = {
     "self.name": "window.name",
     "top.name": "window.name",
 }
+READS = frozenset(k.split(".")[1] for k in SOURCES)
 #: Constructors, and calls of methods, that give one.
 CONSTRUCTORS = ("URLSearchParams", "URL")
 STORES = ("localStorage", "sessionStorage")
@@ -74,7 +78,7 @@ def bare(e: Node) -> Node:
 def source(e: Node) -> str | None:
     e = bare(e)
     if e.kind == "member" and e.name:
-        return "location.searchParams" if e.name == "searchParams" else SOURCES.get(f"{first_name(e.object)}.{e.name}")
+        return "location.searchParams" if e.name == "searchParams" else SOURCES.get(f"{first_name(e.object)}.{e.name}") if e.name in READS else None
     if e.kind == "new" and e.callee.kind == "ident" and e.callee.name in CONSTRUCTORS:
         return f"new {e.callee.name}(...)"
     if e.kind == "call" and e.callee.kind == "member":
@@ -157,7 +161,7 @@ class Walk:
                 return f"{self.message}.data", ()
             return self.step(self.mark(e.object), "property access")
         if e.kind == "template":
-            return self.step(next(filter(None, map(self.mark, e.values)), None), "template literal")
+            return self.step(self.first(e.values), "template literal")
         if e.kind == "binary":
             return self.step(self.mark(e.left) or self.mark(e.right), "concatenation")
         if e.kind == "call":
@@ -166,13 +170,19 @@ class Walk:
             return self.step(self.mark(e.callee.object), "method call") if e.callee.kind == "member" else None
         return None
 
+    def first(self, values: list[Node]):
+        """The mark of the first value that has one.  A loop, because nested calls out of ``filter`` or ``map`` would take C stack."""
+        for e in values:
+            if m := self.mark(e):
+                return m
+        return None
+
     @staticmethod
     def step(m, name):
         return m and (m[0], m[1] if m[1][-1:] == (name,) else (*m[1], name))
 
     def report(self, m, sink: str, at: int):
-        if len(self.found) < CAP:
-            self.found.append((m[0], sink, m[1], at))
+        self.found.append((m[0], sink, m[1], at))
 
     def learn(self, name: str, value: Node):
         if m := self.mark(value):
@@ -243,19 +253,21 @@ class Walk:
             label = called_sink(e)
             if label and label.endswith("(string)") and not (e.args and e.args[0].kind in ("string", "template", "ident", "binary")):
                 label = None
-        if label and (m := next(filter(None, (self.mark(a.value if a.kind == "spread" else a) for a in e.args)), None)):
+        if label and (m := self.first([a.value if a.kind == "spread" else a for a in e.args])):
             self.report(m, label, e.at)
 
 
-def _statements(e: Node):
-    """Marks declarations that stand as statements, not in loop heads or exports."""
-    stack = [e]
+def _statements(e: Node) -> int:
+    """Marks declarations that stand as statements, not in loop heads or exports; gives the tree's depth."""
+    stack, deepest = [(e, 1)], 0
     while stack:
-        n = stack.pop()
+        n, depth = stack.pop()
+        deepest = max(deepest, depth)
         for k in n.kids():
             if k.kind == "declaration" and n.kind not in ("for", "for_each", "export"):
                 k.parts["statement"] = True
-            stack.append(k)
+            stack.append((k, depth + 1))
+    return deepest
 
 
 def handlers(tree: Node) -> list[tuple[str, bool, int]]:
@@ -288,8 +300,6 @@ def handlers(tree: Node) -> list[tuple[str, bool, int]]:
         return ("none", "weak", "strict")[check], bool(sink)
 
     def visit(e: Node):
-        if len(out) >= CAP:
-            return
         if e.kind == "call":
             if (f := listener(e)) is not None:
                 out.append((*body(f), e.at))
@@ -360,7 +370,7 @@ def literals(tree: Node) -> list[tuple[str, str, int, str]]:
     return out
 
 
-#: Scripts whose texts and facts a worker has as Python objects at once.
+#: Facts that a worker gathers before it gives them out, and a script's more.
 AT_ONCE = 500
 FACT = "page_id long, seq long, script_url string, kind string, source string, sink string, path array<string>, location string, detail string"
 
@@ -381,17 +391,12 @@ def without_ink(text: str) -> str:
 
 def _analysed(text: str) -> list[tuple]:
     """(kind, source, sink, path, place, detail) of all facts of one script; see ``analyse_text``."""
-    import sys
-
-    limit = sys.getrecursionlimit()
-    sys.setrecursionlimit(20_000)
+    tree = parse(text)
+    if tree is None:
+        return []
     out: list[tuple] = []
-    try:
-        tree = parse(text, deep=True)
-        if tree is None:
-            return []
-        _statements(tree)
-        loc = Places(text).of
+    loc, depth = Places(text).of, _statements(tree)
+    with room(text):
         for pollution, kind in ((False, "flow"), (True, "pollution")):
             w = Walk(pollution)
             w.visit(tree)
@@ -401,11 +406,9 @@ def _analysed(text: str) -> list[tuple]:
             out += [(kind, s, k, list(p), at, None) for (s, k, at), p in first.items()]
         out += [("handler", check, None, [], loc(at), json.dumps(sink)) for check, sink, at in handlers(tree)]
         out += [("literal", kind, value, [], loc(at), context) for kind, value, at, context in literals(tree)]
-        return out
-    except RecursionError:
-        return [*out, ("too deep", None, None, [], "1:1", None)]
-    finally:
-        sys.setrecursionlimit(limit)
+    if depth > DEEP:
+        out.append(("too deep", None, None, [], "1:1", None))
+    return out
 
 
 class Remembered:
@@ -415,7 +418,7 @@ class Remembered:
         self.size, self.held, self.known = size, 0, {}
 
     def __call__(self, text: str) -> list[tuple]:
-        if len(text) > LONGEST:  # its bytes may be near the parser's limit, which counts comments
+        if len(text) > LONGEST:
             return _analysed(text)
         text = without_ink(text)
         out = self.known.get(text)
@@ -429,7 +432,7 @@ class Remembered:
 
 
 def analyse_text(text: str, url: str) -> list[dict]:
-    """All facts of one script; unparseable ones have none.  One that nests too deeply has those found by then, and a fact that says so."""
+    """All facts of one script; unparseable ones have none.  One that nests too deeply for a person to follow has also a fact that says so."""
     return [{"kind": kind, "source": s, "sink": k, "path": path, "location": f"{url}:{place}", "detail": detail} for kind, s, k, path, place, detail in _analysed(text)]
 
 
@@ -438,14 +441,19 @@ def facts(scripts: DataFrame) -> DataFrame:
     names = [c.split()[0] for c in FACT.split(", ")]
     kinds = [pa.int64(), pa.int64(), *[pa.string()] * 4, pa.list_(pa.string()), pa.string(), pa.string()]
 
+    def made(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
+
     def run(batches):
-        of = Remembered()
-        for b in (b.slice(at, AT_ONCE) for b in batches for at in range(0, b.num_rows, AT_ONCE)):
-            rows = []
-            for page, seq, url, text in zip(*(b.column(k).to_pylist() for k in range(4))):
-                url = url or ""
-                rows += [(page, seq, url, kind, s, k, path, f"{url}:{place}", detail) for kind, s, k, path, place, detail in of(text or "")]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
+        of, rows = Remembered(), []
+        for b in batches:
+            for page, seq, url, text in zip(*b.columns):  # one text at a time, however long
+                page, seq, url = page.as_py(), seq.as_py(), url.as_py() or ""
+                rows += [(page, seq, url, kind, s, k, path, f"{url}:{place}", detail) for kind, s, k, path, place, detail in of(text.as_py() or "")]
+                if len(rows) >= AT_ONCE:
+                    yield made(rows)
+                    rows = []
+        yield made(rows)
 
     return scripts.select(F.col("page_id").cast("long"), F.col("seq").cast("long"), "url", "text").mapInArrow(run, FACT)
 
@@ -528,8 +536,8 @@ def sink_class(sink: Column) -> Column:
     )
 
 
-def gadgets(f: DataFrame, csp: DataFrame, cap: int = CAP) -> DataFrame:
-    """(page_id, category, description, script_url, exploitability_hint, place): flows, pollution, handlers, then CSP; the first ``cap`` of a page.
+def gadgets(f: DataFrame, csp: DataFrame, cap: int | None = None) -> DataFrame:
+    """(page_id, category, description, script_url, exploitability_hint, place): flows, pollution, handlers, then CSP; all of a page, or its first ``cap``.
 
     ``f``: the facts, which are read once; ``csp``: page_id, header.  A page's first flow into HTML or code gives a
     second row where the page's policy would let it through.
@@ -553,4 +561,5 @@ def gadgets(f: DataFrame, csp: DataFrame, cap: int = CAP) -> DataFrame:
     second = F.when((F.col("class") == "dom-xss") & (F.col("mark") == 1) & F.col("open"), row(3, F.lit("csp-bypass"), through, F.col("script_url"), "a sink is there and the policy would not stop it"))
     rows = own.select("page_id", "seq", "location", F.explode(F.array_compact(F.array(first, second))).alias("g")).select("page_id", "seq", "location", "g.*")
     place = F.row_number().over(Window.partitionBy("page_id").orderBy("k", "seq", "location", "description"))
-    return rows.withColumn("place", place).where(F.col("place") <= cap).select("page_id", "category", "description", "script_url", "exploitability_hint", "place")
+    rows = rows.withColumn("place", place)
+    return (rows if cap is None else rows.where(F.col("place") <= cap)).select("page_id", "category", "description", "script_url", "exploitability_hint", "place")

@@ -57,7 +57,7 @@ def planted_literals(spark, d):
    qualify row_number() over (partition by page_id order by seq, location) = 1)
 select page_id, category, description, row_number() over (partition by page_id order by o, seq, location, description)::int as place from (select * from r union all select * from x) qualify place <= 200""")
 def planted_gadgets(spark, d):
-    return javascript.gadgets(_flow_facts(spark, d), sample(spark, d, S.POLICIES)).select("page_id", "category", "description", "place")
+    return javascript.gadgets(_flow_facts(spark, d), sample(spark, d, S.POLICIES), javascript.CAP).select("page_id", "category", "description", "place")
 
 
 @query(f"""with s as ({_CASES}) select page_id, seq, kind, case when label like 'https://s.example.com/%' then 'first' else 'third' end as origin,

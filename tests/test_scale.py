@@ -6,7 +6,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quarrylens.functions import values
+from quarrylens.functions import jsparse, values
 from quarrylens.functions.jsparse import Parser, parse
 from quarrylens.operators import javascript
 from quarrylens.plans import catalog, evidence
@@ -103,3 +103,31 @@ def test_scripts_that_differ_by_comments_are_analysed_once(monkeypatch):
     assert [of(t) for t in texts] == want and len(read) == 4 + 9 + 2
     small = javascript.Remembered(600)
     assert [small(t) for t in texts] == want and small.held <= 600 and len(small.known) <= 3
+
+
+def _found(spark, *texts):
+    return javascript.facts(spark.createDataFrame([(1, k, f"https://s/{k}.js", t) for k, t in enumerate(texts)], "page_id long, seq long, url string, text string"))
+
+
+def test_pollution_of_long_many_and_deep_scripts_is_found(spark):
+    write = "o.__proto__ = location.hash;"
+    long = "var pad = 'é';\n" * 40_000 + write
+    deep = "{" * 30_000 + write + "}" * 30_000
+    assert len(long.encode()) > 500_000
+    got = javascript.pollution(_found(spark, long, f"{write}\n" * 450, "(" * 300 + write[:-1] + ")" * 300, deep)).groupBy("seq").count().collect()
+    assert {r["seq"]: r["count"] for r in got} == {0: 1, 1: 450, 2: 1, 3: 1}
+
+
+def test_what_is_read_ahead_is_read_once():
+    for form, end in (("(a,", ")"), ("(`${", "}`)"), ("async(", ")"), ("(()=>{(", ")})")):
+        text = "x = " + form * 1500 + "1" + end * 1500
+        read = []
+
+        class Counting(Parser):
+            def _scan(self, at, after_value):
+                read.append(at)
+                return super()._scan(at, after_value)
+
+        with jsparse.room(text):
+            Counting(text).program()
+        assert len(read) < 8 * len(text)
