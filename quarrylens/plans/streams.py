@@ -50,7 +50,7 @@ def secret_dedupe_stream(spark, d):
     path = shuffled(art, "seq")
     own, out = network.session(spark), scratch.fresh(spark, "firsts")
     table = network.Upserts(out, ["page_id", "pattern", "value"], "at", fold=2)
-    found = secrets.scan(own.readStream.schema(art.schema).option("maxFilesPerTrigger", at_once(spark)).parquet(path), _PICKED)
+    found = secrets.scan(own.readStream.schema(art.schema).option("maxFilesPerTrigger", at_once(spark)).parquet(path), _PICKED, secrets.PER_ARTIFACT)
     flow = network.first_sources_stream(found).writeStream.foreachBatch(table.put).option("checkpointLocation", f"{out}-state").outputMode("update").trigger(availableNow=True).start()
     flow.awaitTermination()
     return table.table(spark).select("page_id", "pattern", "value", "at.seq", "at.label")

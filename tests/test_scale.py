@@ -131,3 +131,23 @@ def test_what_is_read_ahead_is_read_once():
         with jsparse.room(text):
             Counting(text).program()
         assert len(read) < 8 * len(text)
+
+
+def test_report_markdown_holds_all_matches_groups_and_findings(spark, monkeypatch):
+    def key(k):
+        return f"AKIA{k:016X}"
+
+    keys = ", ".join(f"'{key(k)}'" for k in range(25))
+    art = f"select id as page_id, id as seq, 'HTML' as label, array_join(array({keys}), ' ') as text from range(2) union all select 0, 5, 'Inline Script', '{key(24)} {key(30)}'"
+    stored = "select 7 as page_id, id as seq, 'auth.access_token' as key, md5(cast(id as string)) as value, 'dom' as source, false as container from range(300)"
+    monkeypatch.setattr(S, "ARTIFACTS", art)
+    monkeypatch.setattr(S, "STORAGE", stored)
+    found = sorted((r["page_id"], r["seq"], len(r["matches"])) for r in catalog._scored(spark, FOLDER, None).collect())
+    assert found == [(0, 0, 25), (0, 5, 1), (1, 1, 25)]
+    for f in (catalog.sinks.markdown, catalog.sinks.markdown_parts):
+        monkeypatch.setattr(f, "__defaults__", (2,))
+    rows = catalog.report_markdown(spark, FOLDER).where("page_id in (0, 1, 7)").collect()
+    lines = [(r["page_id"], x.split(" | ")[1]) for r in rows for x in r["text"].split("\n") if x.startswith("| ") and not x.startswith(("| Severity", "| ---"))]
+    lines = Counter((k, t) for k, t in lines if t in ("Aws Key", "Access Token"))
+    assert lines == {(0, "Aws Key"): 2, (1, "Aws Key"): 1, (7, "Access Token"): 300}  # storage alone makes a page, and its parts hold all of it
+    assert len({(r["page_id"], r["part"]) for r in rows}) == len(rows) and {r["part"] for r in rows if r["page_id"] == 7} == set(range(150))
