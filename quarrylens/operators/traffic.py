@@ -77,12 +77,13 @@ def totals(calls: DataFrame, targets: DataFrame) -> DataFrame:
     return own.join(by, "page_id", "left").select("page_id", "requests", "api", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("first_party", "third_party", "domains")])
 
 
-def key_calls(calls: DataFrame, n: int = SHOWN) -> DataFrame:
-    """(page_id, place, method, status, content_type, url, hints): each page's first ``n`` calls to APIs, or simply its first if it has none."""
+def key_calls(calls: DataFrame, n: int | None = SHOWN) -> DataFrame:
+    """(page_id, place, method, status, content_type, url, hints): each page's first ``n`` calls to APIs, or simply its first if it has none; without ``n`` all."""
     shown = calls.withColumn("like", urls.is_api_like(F.col("url"))).withColumn("kind", content_type(calls)).withColumn("hints", auth_hints(F.col("request_headers")))
     some = F.max("like").over(Window.partitionBy("page_id"))
     place = F.row_number().over(Window.partitionBy("page_id").orderBy("seq", "url"))
-    rows = shown.withColumn("some", some).where("like or not some").withColumn("place", place).where(F.col("place") <= n)
+    rows = shown.withColumn("some", some).where("like or not some").withColumn("place", place)
+    rows = rows if n is None else rows.where(F.col("place") <= n)
     cell = lambda c: F.replace(c, F.lit("|"), F.lit("\\|"))
     method, status = F.coalesce(F.nullif("method", F.lit("")), F.lit("GET")), F.when(F.coalesce("status", F.lit(0)) == 0, "-").otherwise(F.col("status").cast("string"))
     return rows.select("page_id", "place", method.alias("method"), status.alias("status"), values.clip_middle(cell(F.coalesce("kind", F.lit("-"))), 40).alias("content_type"), cell(values.clip_middle(F.col("url"), 120)).alias("url"), "hints")

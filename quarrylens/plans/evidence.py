@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -386,21 +388,39 @@ def report_surface(spark, d):
     return text.select("page_id", F.size(lines).cast("long").alias("manifests"), F.size(F.filter(lines, lambda x: ~F.endswith(x, F.lit("| - |")))).cast("long").alias("built"))
 
 
+#: Every table that a full report reads, by its page.
+_CAPTURED = (S.SCRIPTS, S.FLOWS, S.ARTIFACTS, S.OBSERVED, S.CALLS, S.POLICIES, S.COOKIES, S.MAPS, C._GLOBALS, S.WINDOW, S.REMIX, S.LINKED, S.ASSETS, S.CHUNKS, S.PATHS, "select page_id from pages")
+
+
 @query()
 def report_full(spark, d):
-    """Every section of the pages that have scripts, calls, cookies, globals or secrets."""
-    f = scratch.kept(_flow_facts(spark, d), "facts")  # of many sections, parsed once
+    """Every section of every page that anything was captured of: its first rows in part 0, all others in further parts."""
+    f = scratch.kept(C._facts(spark, d), "facts")  # of many sections, parsed once
     target = F.lit("s.example.com")
     flows, handlers = findings.flow_confidence(javascript.flows(f), target), findings.handler_confidence(javascript.message_handlers(f), target)
     gadgets = findings.gadget_confidence(javascript.gadgets(f, sample(spark, d, S.POLICIES)), target)
-    stored = storage.assess(storage.classify(storage.gather(sample(spark, d, S.MAPS), sample(spark, d, S.COOKIES), sample(spark, d, S.CALLS).select("page_id", "seq", "url")), F.lit(1000)))
-    routes = manifests.merged(manifests.routes(sample(spark, d, C._GLOBALS)), manifests.remix_routes(sample(spark, d, S.REMIX)))
-    pages = f.select("page_id").distinct().select("page_id", F.concat(F.lit("https://s.example.com/"), F.col("page_id").cast("string")).alias("url"))
-    names = versions.frameworks(sample(spark, d, S.WINDOW), sample(spark, d, S.LINKED))
+    stored = storage.assess(storage.classify(storage.gather(sample(spark, d, S.MAPS), sample(spark, d, S.COOKIES), sample(spark, d, S.CALLS).select("page_id", "seq", "url"), None), F.lit(1000)))
+    stored = scratch.kept(findings.storage_confidence(stored), "storage")
+    every = scratch.kept(findings.unify(findings.of_secrets(C._scored(spark, d, None)), findings.of_storage(stored), C._vulnerabilities(spark, d)), "findings")
+    named = sample(spark, d, S.CHUNKS)
+    mapped = sourcemaps.routes(sample(spark, d, S.PATHS)).select("page_id", "path", "kind", F.lit("sources.js.map").alias("source"), "dynamic")
+    routes = manifests.merged(mapped, manifests.routes(sample(spark, d, C._GLOBALS), named), manifests.remix_routes(sample(spark, d, S.REMIX)))
+    captured = manifests.captured(sample(spark, d, S.WINDOW).union(sample(spark, d, S.REMIX)), named)
+    known = functools.reduce(DataFrame.union, (sample(spark, d, t).select(F.col("page_id").cast("long")) for t in _CAPTURED)).distinct()
+    pages = known.select("page_id", F.concat(F.lit("https://s.example.com/"), F.col("page_id").cast("string")).alias("url"))
+    wordpress = versions.wordpress(_observed(spark, d), _meta(spark, d), spark.createDataFrame([], "page_id long, pos long, src string")).select("page_id", F.coalesce("version", F.lit("unknown")).alias("lead"))
     return sections.report(
-        pages, sections.technologies(names), sections.network(_observed(spark, d), _home(spark, d)), sections.inventory(sample(spark, d, S.ASSETS), routes, stored), sections.leads(versions.wordpress(_observed(spark, d), _meta(spark, d), spark.createDataFrame([], "page_id long, pos long, src string")).select("page_id", F.coalesce("version", F.lit("unknown")).alias("lead")), flows, handlers),
-        sections.dataflow(flows, gadgets, handlers), sections.surface(manifests.captured(sample(spark, d, S.WINDOW)), findings.route_confidence(routes, target), sourcemaps.package_versions(sample(spark, d, S.PATHS))), sections.cookies(posture.weak_cookies(sample(spark, d, S.COOKIES)), posture.missing_on_document(C._calls(spark, d), _home(spark, d))), sections.recommendations(findings.summary(findings.of_secrets(C._scored(spark, d)))),
-    )
+        pages,
+        sections.technologies(versions.frameworks(sample(spark, d, S.WINDOW), sample(spark, d, S.LINKED)), True),
+        sections.findings(findings.rank(every), True),
+        sections.network(_observed(spark, d), _home(spark, d), True),
+        sections.inventory(sample(spark, d, S.ASSETS), routes, stored, True),
+        sections.leads(wordpress, flows, handlers, True),
+        sections.dataflow(flows, gadgets, handlers, True),
+        sections.surface(captured, findings.route_confidence(routes, target), sourcemaps.package_versions(sample(spark, d, S.PATHS)), True),
+        sections.cookies(posture.weak_cookies(sample(spark, d, S.COOKIES)), posture.missing_on_document(C._calls(spark, d), _home(spark, d)), True),
+        sections.recommendations(findings.summary(every)),
+    )
 
 
 # texts and scores

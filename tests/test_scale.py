@@ -151,3 +151,22 @@ def test_report_markdown_holds_all_matches_groups_and_findings(spark, monkeypatc
     lines = Counter((k, t) for k, t in lines if t in ("Aws Key", "Access Token"))
     assert lines == {(0, "Aws Key"): 2, (1, "Aws Key"): 1, (7, "Access Token"): 300}  # storage alone makes a page, and its parts hold all of it
     assert len({(r["page_id"], r["part"]) for r in rows}) == len(rows) and {r["part"] for r in rows if r["page_id"] == 7} == set(range(150))
+
+
+def test_full_report_has_every_page_and_every_row(spark, monkeypatch):
+    monkeypatch.setattr(S, "ASSETS", "select 1 as page_id, concat('https://s1.example.com/', cast(id as string), '.js') as url from range(2500)")
+    monkeypatch.setattr(S, "OBSERVED", S.OBSERVED.replace("s_suppkey % 40 as page_id", "7 as page_id").replace("from supplier", "from (select id as s_suppkey from range(60))"))
+    rows = evidence.report_full(spark, FOLDER).select("page_id", "part", "text").collect()
+    pages = {r["page_id"] for name in ("ARTIFACTS", "MAPS", "REMIX", "FLOWS") for r in S.sample(spark, FOLDER, getattr(S, name)).select("page_id").collect()}
+    assert {r["page_id"] for r in rows if r["part"] == 0} >= pages and len({(r["page_id"], r["part"]) for r in rows}) == len(rows)
+    lines = Counter(x for r in rows if r["page_id"] == 1 for x in r["text"].split("\n") if x.startswith("- `https://s1.example.com/"))
+    assert set(lines) == {f"- `https://s1.example.com/{i}.js`" for i in range(2500)} and max(lines.values()) == 1
+    first = next(r["text"] for r in rows if r["page_id"] == 1 and r["part"] == 0)
+    assert "- ... and 2485 more" in first and {r["part"] for r in rows if r["page_id"] == 1} >= {0, 1, 2, 3}
+    calls = S.sample(spark, FOLDER, S.OBSERVED).where("url like '%/api/%' or url like '%.json'").count()
+    shown = sum("| `https://h" in x and ("/api/" in x or ".json`" in x) for r in rows if r["page_id"] == 7 for x in r["text"].split("\n"))
+    assert shown == calls > 10
+    found = Counter(r["page_id"] for r in catalog._scored(spark, FOLDER, None).collect())
+    for k in (k for k in found if k > 30):
+        text = next(r["text"] for r in rows if r["page_id"] == k and r["part"] == 0)
+        assert "### " in text and "1. " in text
