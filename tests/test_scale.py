@@ -170,3 +170,18 @@ def test_full_report_has_every_page_and_every_row(spark, monkeypatch):
     for k in (k for k in found if k > 30):
         text = next(r["text"] for r in rows if r["page_id"] == k and r["part"] == 0)
         assert "### " in text and "1. " in text
+
+
+def test_flows_of_long_many_and_deep_scripts_are_found(spark):
+    sink = "el.innerHTML = location.hash;"
+    deep = "f(" * 2000 + "location.search" + ")" * 2000
+    texts = ["var pad = 'é';\n" * 40_000 + sink, f"{sink}\n" * 450, "if (a) {" * 400 + sink + "}" * 400, f"eval({deep});", "el.innerHTML = location.hash" + " + a" * 60_000]
+    f = _found(spark, *texts).persist()
+    got = {r["seq"]: r["count"] for r in javascript.flows(f).groupBy("seq").count().collect()}
+    assert got == {0: 1, 1: 450, 2: 1, 3: 1, 4: 1}
+    f.unpersist()
+    heard = 'addEventListener("message", e => { eval(e.data) });\n' * 450
+    f = _found(spark, heard)
+    assert javascript.message_handlers(f).count() == javascript.flows(f).count() == 450
+    csp = spark.createDataFrame([], "page_id long, header string")
+    assert javascript.gadgets(f, csp).count() == 900 and javascript.gadgets(f, csp, javascript.CAP).count() == 200
