@@ -76,3 +76,18 @@ def test_command_line(spark, tmp_path, capsys):
     assert command.main(["https://z.example.org/", *given], spark) == 1
     with pytest.raises(ValueError):
         command.main(["https://z.example.org/", "--captured", f"file://{tmp_path}/nothing"], spark)
+
+
+def test_texts_are_read_to_their_ends(spark):
+    key = lambda k: f"AKIA7DKQ2MNB4XYZ{k:04d}"
+    script = "<script>" + "a = 1; " * 1000 + 'load("react-server-dom-webpack@19.0.0 "); fetch("/api/at/the/end")</script>' + " ".join(map(key, range(14)))
+    pages = spark.createDataFrame([(1, "https://a.example.org/", script)], "page_id long, url string, html string")
+    globals_ = spark.createDataFrame([(1, "state", "x" * 11_000 + f" {key(100)}"), (1, "__next_f", "x" * 210_000 + f" {key(101)}")], "page_id long, key string, value string")
+    deep = '{"a":' * 9 + '{"access_token":"0123456789abcdefghij"}' + "}" * 9
+    stored = [(1, "local", "deep", deep), *[(1, "session", f"t{k}", f'{{"access_token":"{k:04d}56789abcdefghij"}}') for k in range(140)]]
+    tables = {"pages": pages, "globals": globals_, "storage": spark.createDataFrame(stored, "page_id long, area string, key string, value string")}
+    done = runs.run(spark, Config(url="https://a.example.org/"), tables)
+    found = done.findings.collect()
+    assert sorted(r["source"] for r in found if r["title"] == "Aws Key") == ["HTML", "Window Object: __next_f", "Window Object: state"]
+    assert done.totals["vulnerability"] == 4 and done.totals["storage"] == 141
+    assert any("/api/at/the/end" in str(r) for r in done.endpoints.collect())
